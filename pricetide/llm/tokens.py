@@ -20,8 +20,6 @@ CACHE_WORDS = 600_000
 #: str.split() also cuts at these, which are no white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-#: Letters, then marks: at this change the tokenizer always cuts, and case does not matter to it.
-_PARTS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?-@\\[-`{}~]*)")
 _PLAIN = re.compile("[a-zà-öø-ÿ]+|[!-&(-/:-;=?-@\\[-`{}~]+")
 
 
@@ -77,17 +75,7 @@ class WordCache:
     def _learn(self, missing: list[str]) -> None:
         if len(self.at) + len(missing) > self.limit:
             self._reset()
-        parts = [m.groups() if (m := _PARTS.fullmatch(w)) else (w, "") for w in missing]
-        parts = [(a.lower() if m else a, m) if m or a.isascii() and a.isalpha() else (a, m) for a, m in parts]
-        new = list(dict.fromkeys(x for pair in parts for x in pair if x and x not in self.at))
-        if new:
-            self._add(new, *self.encode_words(new))
-        rest = [(w, p) for w, p in zip(missing, parts, strict=True) if w not in self.at]
-        if rest:
-            pairs = np.fromiter((self.at[x] for _, p in rest for x in p if x), np.int64)
-            flat, lengths = self._ids(pairs)
-            sizes = np.fromiter((1 + bool(p[1]) for _, p in rest), np.int64, len(rest))
-            self._add([w for w, _ in rest], flat, np.add.reduceat(lengths, np.cumsum(sizes) - sizes))
+        self._add(missing, *self.encode_words(missing))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts, and the ends of each text in them."""
