@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from pricetide.llm.common import slices, texts_of
-from pricetide.llm.tokens import WordCache, is_plain
+from pricetide.llm.tokens import WordCache, is_simple
 
 #: Longer fragments are merged one by one, with a heap.
 WIDE = 64
@@ -59,6 +59,7 @@ class Vocabulary:
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pretoken = regex.compile(split["pattern"]["Regex"])
+        self.pretoken_or_end = regex.compile("\n|" + split["pattern"]["Regex"])
         self.first = np.array([self.vocab[letters[b]] for b in range(256)], np.int32)
         self.last = np.array([self.vocab[letters[b] + self.suffix] for b in range(256)], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
@@ -190,9 +191,21 @@ class Vocabulary:
             return [bytes(map(self.byte_of.__getitem__, x)) for x, _ in found]
         return [x.encode() for x in self.pretoken.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))]
 
+    def _split_simple(self, words: list[str]) -> Iterator[list[bytes]]:
+        """Pre-tokens of Latin-1 words without added tokens, by one search over all of them."""
+        part: list[bytes] = []
+        for x in self.pretoken_or_end.findall("\n".join([*words, ""]).lower()):
+            if x == "\n":
+                yield part
+                part = []
+            else:
+                part.append(x.encode())
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of words (no ASCII white space inside), and each word's length."""
-        parts = [[w.encode()] if is_plain(w) else self.pretokens_of(w) for w in words]
+        simple = [w for w in words if is_simple(w)]
+        found = iter(self._split_simple(simple))
+        parts = [next(found) if is_simple(w) else self.pretokens_of(w) for w in words]
         flat_parts = [x for p in parts for x in p]
         pre = [x for x in flat_parts if isinstance(x, bytes)]
         lengths = np.ones(len(flat_parts), np.int64)
@@ -223,45 +236,60 @@ def encoder(path: str) -> WordCache:
     return WordCache(vocabulary(path).encode_words)
 
 
-def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every whole text: rows (id, n_tokens, ids as little-endian unsigned 32-bit bytes).
+def _coded(own: WordCache, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Flat ids, offsets of each text in them, and the ids of each as bytes."""
+    flat, ends = own.encode(texts)
+    offsets = np.concatenate(([0], ends))
+    ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
+    return flat, offsets, ids
+
+
+def _joined(strings: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The tokens' strings of each row, joined by blanks."""
+    tokens = strings.take(pa.array(flat.astype(np.int64)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens), " ")
+
+
+def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Ids of every whole text: rows (id, n_tokens, ids as little-endian unsigned 32-bit bytes), and
+    with ``decoded`` what ``decode`` makes of these ids, in the same pass.
 
     Null and empty texts have no ids.  Rows stay apart whatever their id (null and repeated ids
     too); other columns are not read; an empty table gives no rows.
     """
     id_type = df.schema[id_col].dataType
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    if decoded:
+        out.add("decoded", T.StringType())
     kind = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
+        strings = pa.array(vocabulary(tokenizer).strings)
         for part in slices(batches, text_col):
-            flat, ends = own.encode(texts_of(part, text_col))
-            offsets = np.concatenate(([0], ends))
-            ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([part.column(id_col).cast(kind), pa.array(np.diff(offsets)), ids], names=out.names)
+            flat, offsets, ids = _coded(own, texts_of(part, text_col))
+            columns = [part.column(id_col).cast(kind), pa.array(np.diff(offsets)), ids]
+            if decoded:
+                columns.append(_joined(strings, np.frombuffer(ids.buffers()[2], "<u4")[: len(flat)], offsets))
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return df.select(id_col, text_col).mapInArrow(run, out)
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
-    """``df`` with its ids column replaced by ``decoded`` text: the tokens' strings joined by blanks
-    (the vocabulary has no decoder of its own).  Null ids give null; no ids give the empty text."""
-    fields = [f for f in df.schema.fields if f.name != ids_col]
-    out = T.StructType([*fields, T.StructField("decoded", T.StringType()), T.StructField(ids_col, T.BinaryType())])
+    """``df`` with ``decoded`` text added: the tokens' strings joined by blanks (the vocabulary has no
+    decoder of its own).  Null ids give null; no ids give the empty text."""
+    out = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = pa.array(vocabulary(tokenizer).strings)
         for part in slices(batches, ids_col):
-            ids = part.column(ids_col)
-            ids = ids.cast(pa.binary())
+            ids = part.column(ids_col).cast(pa.binary())
             lengths = pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False)
-            offsets = np.concatenate(([0], np.cumsum(lengths // 4))).astype(np.int32)
             flat = np.frombuffer(b"".join(x for x in ids.to_pylist() if x), "<u4")
-            tokens = strings.take(pa.array(flat.astype(np.int64)))
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), " ")
+            joined = _joined(strings, flat, np.concatenate(([0], np.cumsum(lengths // 4))))
             if ids.null_count:
                 joined = pc.if_else(ids.is_valid(), joined, None)
-            yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], joined, ids], names=out.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, joined], names=out.names)
 
     return df.mapInArrow(run, out)

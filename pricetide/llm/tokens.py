@@ -15,17 +15,17 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Words a worker keeps at most; the cache starts anew beyond that.
-CACHE_WORDS = 600_000
+#: Words a worker keeps; beyond that it goes on with the half that has come most often.
+CACHE_WORDS = 1_000_000
 #: str.split() also cuts at these, which are no white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
-_PLAIN = re.compile("[a-zà-öø-ÿ]+|[!-&(-/:-;=?-@\\[-`{}~]+")
+_SIMPLE = re.compile("[!-;=-~¡-¬®-ÿ]+")
 
 
-def is_plain(word: str) -> bool:
-    """Lower-case Latin letters only, or ASCII marks only: one pre-token that normalization leaves alone."""
-    return bool(_PLAIN.fullmatch(word))
+def is_simple(word: str) -> bool:
+    """Visible Latin-1 without "<": normalization only changes its case, and no added token is in it."""
+    return bool(_SIMPLE.fullmatch(word))
 
 
 def words_of(text: str) -> list[str]:
@@ -43,6 +43,7 @@ class WordCache:
         self.at: dict[str, int] = {}
         self.start = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
+        self.seen = np.zeros(1024, np.int64)
         self.pool = np.zeros(8192, np.uint32)
         self.used = 0
 
@@ -56,7 +57,7 @@ class WordCache:
 
     def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         n, k = len(self.at), len(words)
-        self.start, self.length = self._room(self.start, n + k), self._room(self.length, n + k)
+        self.start, self.length, self.seen = (self._room(a, n + k) for a in (self.start, self.length, self.seen))
         self.pool = self._room(self.pool, self.used + len(flat))
         self.pool[self.used : self.used + len(flat)] = flat
         self.length[n : n + k] = lengths
@@ -72,10 +73,15 @@ class WordCache:
         where += np.arange(len(where))
         return self.pool[where], lengths
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.at) + len(missing) > self.limit:
-            self._reset()
-        self._add(missing, *self.encode_words(missing))
+    def _forget(self) -> None:
+        n, words = len(self.at), list(self.at)
+        kept = np.sort(np.argsort(-self.seen[:n], kind="stable")[: self.limit // 2])
+        kept = kept[self.seen[kept] > 1]
+        seen = self.seen[kept] // 2
+        flat, lengths = self._ids(kept)
+        self._reset()
+        self._add([words[k] for k in kept.tolist()], flat, lengths)
+        self.seen[: len(kept)] = seen
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts, and the ends of each text in them."""
@@ -87,19 +93,16 @@ class WordCache:
             words += w
         if not words:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if len(self.at) > self.limit:
+            self._forget()
         codes = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         lost = np.flatnonzero(codes < 0)
         if len(lost):
-            before = len(self.at)
-            self._learn(list(dict.fromkeys(words[i] for i in lost)))
-            if len(self.at) < before:  # begun anew
-                missing = [w for w in dict.fromkeys(words) if w not in self.at]
-                if missing:
-                    limit, self.limit = self.limit, len(self.at) + 3 * len(missing) + 1
-                    self._learn(missing)
-                    self.limit = limit
-                lost = np.arange(len(words))
+            missing = list(dict.fromkeys(words[i] for i in lost))
+            self._add(missing, *self.encode_words(missing))
             codes[lost] = np.fromiter((self.at[words[i]] for i in lost), np.int64, len(lost))
+        n = len(self.at)
+        self.seen[:n] += np.bincount(codes, minlength=n)
         flat, lengths = self._ids(codes)
         word_ends = np.concatenate(([0], np.cumsum(lengths)))
         return flat, word_ends[np.cumsum(counts)]
