@@ -123,11 +123,12 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return whole.unionByName(single)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = ANCHOR, collapse: bool = True) -> DataFrame:
     """``df`` with repeated words removed from ``text_col``, and ``n_words``, ``n_removed`` and
     ``removed`` (maximal spans of word positions) added.
 
-    Kept words are joined by one blank, unchanged.  Windows are judged on the input.  A null text
+    Kept words are joined by one blank, unchanged; without ``collapse`` this is only done to texts
+    that lose words.  Windows are judged on the input.  A null text
     has no words and stays null; rows without an integer id neither lose words nor count as
     sources; rows of the same id never count against each other; columns named like an added one
     are replaced; an empty table gives none.
@@ -156,7 +157,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rest += words[begin:first]
                     begin = last
                 rest += words[begin:]
-                kept.append(None if text is None else b" ".join(rest).decode())
+                kept.append(None if text is None else (b" ".join(rest) if merged or collapse else text).decode())
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(rest))
                 removed.append([{"first": a, "last": b} for a, b in merged])
