@@ -25,8 +25,8 @@ from pricetide.llm.common import slices, texts_of
 SAMPLE = 12_000
 BUCKETS = 1 << 18
 GRADES = 4
-#: Letters of a word's beginning that make a feature, for longer words.
-BEGINNING = 5
+#: Letters of a word's beginning that make a feature, for longer words: inflected and compound forms share them.
+BEGINNINGS = (4, 5)
 _MARKS = "".join(map(chr, [*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 _CACHE = 300_000
 
@@ -44,8 +44,7 @@ class Features:
                 self.of.clear()
             w = raw.strip(_MARKS)
             names = [w] if w else []
-            if len(w) > BEGINNING:
-                names.append(w[:BEGINNING] + "*")
+            names += [w[:n] + "*" for n in BEGINNINGS if len(w) > n]
             got = self.of[raw] = tuple(xxhash.xxh3_64_intdigest(x) % BUCKETS for x in names)
         return got
 
@@ -74,15 +73,19 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, grades: int = GRA
     return np.where(toxic > 0, np.clip(np.ceil(np.log2(np.maximum(hits, 2))), 1, grades - 1), 0).astype(np.int64)
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, l1: float = 0.9, rate: float = 0.5, rounds: int = 300, least_rows: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, l1: float = 0.9, rate: float = 0.5, rounds: int = 300, least_rows: int = 3, least_z: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by proximal AdaGrad on the mean log-likelihood.  The shrinkage
-    is ``l1`` by the number of rows (a prior); features in fewer than ``least_rows`` rows get no weight."""
+    is ``l1`` by the number of rows (a prior).  Features in fewer than ``least_rows`` rows, and those
+    whose share of rows above grade 0 is within ``least_z`` standard errors of all rows', get no weight."""
     w, theta = np.zeros(BUCKETS), np.arange(1, grades, dtype=float)
     n = len(rows)
     if not n or grade.max() == 0:
         return w, np.full(grades - 1, 30.0)
     flat, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    often = np.bincount(flat, minlength=BUCKETS)[flat] >= least_rows
+    seen, high = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, (grade > 0)[row], minlength=BUCKETS)
+    share = (grade > 0).mean()
+    telling = np.abs(high - seen * share) >= least_z * np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+    often = ((seen >= least_rows) & telling)[flat]
     used, at = np.unique(flat[often], return_inverse=True)
     row, l1 = row[often], l1 / n
     v, g_w, g_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(grades - 1, 1e-8)
