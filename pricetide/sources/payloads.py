@@ -5,7 +5,7 @@ where the payloads lie."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.columns import contains_any, first_case, found
@@ -70,6 +70,37 @@ def stock_from_words(text: Column) -> Column:
     return first_case([(contains_any(low, ["agotado", "sin stock", "no disponible", "out of stock"]), F.lit("agotado")), (contains_any(low, ["disponible", "en stock", "in stock", "añadir"]), F.lit("disponible"))], F.lit("desconocido"))
 
 
+#: How shop platforms mark a product card in a list page, and its id.
+CARDS = {
+    "woocommerce": (r"(?is)<li[^>]*class=\"[^\"]*\bproduct\b[^\"]*\"[^>]*>.*?</li>", r"(?i)data-product_id=\"(\d+)\""),
+    "prestashop": (r"(?is)<article[^>]*product-miniature[^>]*>.*?</article>", r"(?i)data-id-product=\"(\d+)\""),
+    "opencart": (r"(?is)<div[^>]*product-thumb[^>]*>.*?(?=<div[^>]*product-thumb|$)", r"(?i)product_id=(\d+)"),
+}
+
+
+def html_cards(df: DataFrame, platform: str, html: str = "html") -> DataFrame:
+    """One row per product card of list pages: id, name, url, price, stock; the first card of each id.
+
+    The price is the inserted one of a reduction, else the last amount in the card.  Stock comes
+    from the card's classes or else its words.  Cards without a name or a link are left out."""
+    card, own_id = CARDS[platform]
+    c = df.select(*df.drop(html).columns, F.posexplode(F.regexp_extract_all(html, F.lit(card), F.lit(0))).alias("_at", "_card"))
+    text = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))
+    name = text(F.coalesce(found(F.col("_card"), r"(?is)<h[2-4][^>]*>(.*?)</h[2-4]>"), found(F.col("_card"), r"(?is)class=\"name\"[^>]*>(.*?)</")))
+    price = F.coalesce(last_money(text(found(F.col("_card"), r"(?is)<ins[^>]*>(.*?)</ins>"))), last_money(text(F.col("_card"))))
+    head = F.lower(F.regexp_extract("_card", "(?is)^<[^>]*>", 0))
+    stock = first_case([(contains_any(head, ["outofstock", "out-of-stock"]), F.lit("agotado")), (F.contains(head, F.lit("instock")), F.lit("disponible"))], stock_from_words(text(F.col("_card"))))
+    rows = c.select(*df.drop(html).columns, "_at", found(F.col("_card"), own_id).alias("id_product"), F.nullif(name, F.lit("")).alias("name"), found(F.col("_card"), r"(?i)<a[^>]+href=\"([^\"]+)\"").alias("url"), price.alias("price"), stock.alias("stock_status"))
+    keys = [*df.drop(html).columns, F.coalesce("id_product", "url")]
+    first = Window.partitionBy(*keys).orderBy("_at")
+    return rows.filter("name is not null and url is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_at")
+
+
+def next_page(html: Column) -> Column:
+    """The pager's link to the next page, null on the last one."""
+    return F.coalesce(found(html, r"(?i)<a[^>]*class=\"[^\"]*next[^\"]*\"[^>]*href=\"([^\"]+)\""), found(html, r"(?i)<a[^>]*rel=\"next\"[^>]*href=\"([^\"]+)\""), found(html, r"(?i)<link[^>]*rel=\"next\"[^>]*href=\"([^\"]+)\""))
+
+
 def json_ld(df: DataFrame, html: str = "html", strict: bool = False) -> DataFrame:
     """Product data of pages with a JSON-LD product (the first one); pages without one are left out.
 
