@@ -62,7 +62,7 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     turns = turns.withColumn("_block", F.floor(F.col("_turn") / BLOCK))
 
     order = ["_turn", "_role", "_text"]
-    blocks = turns.groupBy(*keys, "_block").agg(F.sum("_tokens").alias("_sum"), F.min(F.struct("_turn", "_role", "_text")).alias("_first"))
+    blocks = turns.groupBy(*keys, "_block").agg(F.sum("_tokens").alias("_sum"))
     of_conv = Window.partitionBy(*keys)
     in_order = of_conv.orderBy("_block")
     blocks = blocks.select(
@@ -84,15 +84,20 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     head = F.length(escape(F.col("_role"), True)) + len(START) + 1
     turns = turns.select(*keys, "_window", "_begin", "_end", "_last", "_total", "_system", "_rank", "_block", piece.alias("piece"), (F.col("_role") == "assistant").alias("target"), head.cast("long").alias("skip"), F.length(escape(F.col("_text"))).cast("long").alias("size"))
 
-    own = F.struct(F.col("_window").alias("w"), F.lit(False).alias("context"))
-    follows = F.when((F.col("_last") < F.col("_total")) & (F.col("_begin") >= F.col("_last") - history_tokens) & ~F.col("_system"), F.struct(F.floor(F.col("_last") / new_tokens).alias("w"), F.lit(True).alias("context")))
-    placed = turns.select("*", F.explode(F.filter(F.array(own, follows), lambda x: x.isNotNull())).alias("_at"))
-    cell = F.struct(F.col("_begin").alias("begin"), F.col("_block").alias("block"), F.col("_rank").alias("rank"), "piece", F.col("_at.context").alias("context"), "target", "skip", "size")
-    windows = placed.groupBy(*keys, F.col("_at.w").alias("window")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    system = turns.filter("_system").select(*keys, F.struct("_window", F.struct(F.col("_begin").alias("begin"), F.col("_block").alias("block"), F.col("_rank").alias("rank"), "piece", F.lit(True).alias("context"), "target", "skip", "size").alias("cell")).alias("_sys"))
-    windows = windows.join(system, keys, "left")
-    cells = F.when(F.col("_sys").isNotNull() & (F.col("_sys._window") < F.col("window")), F.concat(F.array("_sys.cell"), "cells")).otherwise(F.col("cells"))
-    windows = windows.select(*keys, "window", cells.alias("cells"))
+    def cell(context: bool) -> Column:
+        return F.struct(F.lit(0 if context else 1).alias("after"), F.col("_begin").alias("begin"), F.col("_block").alias("block"), F.col("_rank").alias("rank"), "piece", F.lit(context).alias("context"), "target", "skip", "size")
+
+    # own turns stay where they are; only what a later window repeats moves
+    own = turns.groupBy(*keys, F.col("_window").alias("window")).agg(F.collect_list(cell(False)).alias("own"))
+    follows = turns.filter((F.col("_last") < F.col("_total")) & (F.col("_begin") >= F.col("_last") - history_tokens) & ~F.col("_system"))
+    repeated = follows.select(*keys, F.floor(F.col("_last") / new_tokens).alias("window"), cell(True).alias("cell"))
+    places = turns.select(*keys, F.col("_window").alias("window")).distinct()
+    system = turns.filter("_system").select(*keys, F.col("_window").alias("_first"), cell(True).alias("cell"))
+    system = places.join(system, keys).filter("window > _first").select(*keys, "window", "cell")
+    context = repeated.unionByName(system).groupBy(*keys, "window").agg(F.collect_list("cell").alias("context"))
+    nothing = F.array().cast(own.schema["own"].dataType)
+    cells = F.sort_array(F.concat(F.coalesce("context", nothing), "own"))
+    windows = own.join(context, [*keys, "window"], "left").select(*keys, "window", cells.alias("cells"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
     step = lambda acc, c: F.struct(
