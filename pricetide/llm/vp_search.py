@@ -93,8 +93,8 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     of largest cosine among all rows with another id.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
-    ids; rows of a repeated id count once (the smallest vector); vectors of another
-    length than the most common one raise an error; ties go to the smaller id; other columns are
+    ids; rows of a repeated id count once (the smallest vector); vectors of different lengths are not
+    compared; ties go to the smaller id; other columns are
     not read; an empty table, or one without queries, gives no rows.  Scores are dot product by
     the product of norms, in double precision, summed from the first component.
     """
@@ -130,7 +130,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
         return pd.DataFrame({"query_id": np.repeat(ids[query], some.sum(axis=1)), "id": ids[~query][found[some]]})
 
     columns = ["shard", "block", "query", "id", "v"]
-    near = points.select(columns).unionByName(asked.select(columns)).groupBy("shard", "block").applyInPandas(run, "query_id long, id long")
+    near = points.select(columns).unionByName(asked.select(columns)).groupBy("shard", "block", F.size("v").alias("length")).applyInPandas(run, "query_id long, id long")
     scored = near.join(rows, "id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
     score = dot("q", "v") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v")))

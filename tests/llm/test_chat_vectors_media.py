@@ -61,7 +61,7 @@ def brute(vectors, k, query):
     out = {}
     for q in good:
         if query(q):
-            s = sorted((-float(good[q] @ v / (np.linalg.norm(good[q]) * np.linalg.norm(v))), i) for i, v in good.items() if i != q)
+            s = sorted((-float(good[q] @ v / (np.linalg.norm(good[q]) * np.linalg.norm(v))), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
             out[q] = [(i, round(-x, 9)) for x, i in s[:k]]
     return out
 
@@ -69,7 +69,7 @@ def brute(vectors, k, query):
 def vectors_of(n=600, dim=8):
     rng = np.random.default_rng(1)
     out = {k: rng.normal(size=dim).round(3).tolist() for k in range(n)}
-    out |= {1000 + k: out[3] for k in range(40)} | {1100: [0.0] * dim, 1110: None, 1120: [None] + [1.0] * (dim - 1), 1130: [math.nan] * dim, 1140: [math.inf] + [0.0] * (dim - 1)}
+    out |= {1000 + k: out[3] for k in range(40)} | {1100: [0.0] * dim, 1110: None, 1120: [None] + [1.0] * (dim - 1), 1130: [math.nan] * dim, 1140: [math.inf] + [0.0] * (dim - 1), 1150: [1.0, 2.0], 1151: [2.0, 1.0], 1160: []}
     return out
 
 
