@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pricetide.llm.common import slices, texts_of
 
 #: Labelled documents the model is fitted on, at most (chosen by a hash of their id).
-SAMPLE = 12_000
+SAMPLE = 8_000
 BUCKETS = 1 << 18
 GRADES = 4
 #: Letters of a word's beginning that make a feature, for longer words: inflected and compound forms share them.
@@ -62,11 +62,19 @@ def features() -> Features:
     return Features()
 
 
+def _rows_with(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each feature is, a few rows at a time."""
+    out = np.zeros(BUCKETS, np.int64)
+    for k in range(0, len(rows), 256):
+        out += np.bincount(np.concatenate(rows[k : k + 256]), minlength=BUCKETS)
+    return out
+
+
 def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Ordered grades from yes/no labels: a toxic text's grade grows with the number of its features that
     the sample shows (almost) only in toxic texts: one up to two such features, then one more for
     each doubling, up to the top grade.  Texts that are not toxic have grade 0."""
-    yes, no = (np.bincount(np.concatenate([*(r for r, t in zip(rows, toxic, strict=True) if bool(t) == side), np.zeros(0, np.int32)]), minlength=BUCKETS) for side in (True, False))
+    yes, no = (_rows_with([r for r, t in zip(rows, toxic, strict=True) if bool(t) == side]) for side in (True, False))
     n_yes, n_no = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     telling = (yes >= 5) & (yes / n_yes > 20 * (no + 0.5) / n_no)
     hits = np.array([telling[r].sum() for r in rows])
@@ -81,13 +89,13 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, l1: flo
     n = len(rows)
     if not n or grade.max() == 0:
         return w, np.full(grades - 1, 30.0)
-    flat, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    seen, high = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, (grade > 0)[row], minlength=BUCKETS)
+    seen, high = _rows_with(rows), _rows_with([r for r, g in zip(rows, grade, strict=True) if g > 0])
     share = (grade > 0).mean()
     telling = np.abs(high - seen * share) >= least_z * np.sqrt(np.maximum(seen, 1) * share * (1 - share))
-    often = ((seen >= least_rows) & telling)[flat]
-    used, at = np.unique(flat[often], return_inverse=True)
-    row, l1 = row[often], l1 / n
+    telling &= seen >= least_rows
+    rows = [r[telling[r]] for r in rows]
+    row, l1 = np.repeat(np.arange(n), [len(r) for r in rows]), l1 / n
+    used, at = np.unique(np.concatenate(rows), return_inverse=True)
     v, g_w, g_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(grades - 1, 1e-8)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for _ in range(rounds):
