@@ -1,14 +1,21 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax.
 
-p(word | history) = p(class | history) * p(word | class).  The class softmax has features of the
-last word, the word before it (skip) and the hash of both (n-gram); words within a class follow
-their smoothed counts.  Frequent words are cut into classes of equal mass, the others are put in
-classes by their ending.
+p(word | history) = p(class | history) * p(word | class, history).  The class softmax has features of
+the last word, the word before it (skip) and the hash of both (n-gram), over units of fixed number.
+Frequent words are cut into classes of equal mass, the others are put in classes by their ending.
+
+Within a class every word has features with the skip word, the last word and both, by the words' own
+hashes.  They enter one after the other, each with its own normalizer: p becomes
+p exp(weight) / Z = (n(context, word) + a p) / (n(context, class) + a), starting from smoothed counts.
+So weights are closed forms of the training counts (zero for pairs not met), and the sum over a
+class of any size is one without going through it.
 
 The passes over the corpus: (1) texts become codes of their block's own word list, written with
 that list; (2) word lists of all blocks meet by word for corpus counts, which go back to the
-blocks; codes become counts and unit sequences, written again; (3) each task runs gradient steps
-over its training documents and the tasks' weights are averaged feature by feature; (4) scoring.
+blocks; (3) blocks send their distinct features with counts, packed, to parts of the feature table and
+get the corpus counts back; codes become counts, scores within classes and unit sequences, written
+again; (4) each task runs gradient steps
+over its training documents and the tasks' weights are averaged feature by feature; (5) scoring.
 Only the list of the most frequent words, class totals and weights, all of fixed size, reach the driver.
 """
 
@@ -38,6 +45,12 @@ BLOCK_BYTES = 32 << 20
 #: Not a word, so it can stand for the end of a text.
 _END = b"\n"
 _STEP = 8192
+#: Weight of the distribution so far against the counts of a context: skip word, last word, both.
+PRIOR = (200.0, 10.0, 5.0)
+#: The feature table grows with the training tokens: hash values for each, and tokens of a part.
+KEYS_A_TOKEN, PART_TOKENS = 1 << 10, 1 << 21
+#: Tokens of a block whose features are in memory at once (and one document more).
+FEATURE_TOKENS = 1 << 19
 
 
 def held_out(doc_id: int) -> bool:
@@ -116,29 +129,136 @@ class Tables:
             self.class_v[self.class_of_unit[r.unit]] += r.v
 
 
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + y
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(32))
+
+
+def _key_bits(tokens: int) -> tuple[int, int]:
+    """Bits of a feature's hash and of the number of its part; what is left is at most 31 bits."""
+    grown = max(1, tokens - 1).bit_length()
+    return grown + KEYS_A_TOKEN.bit_length() - 1, max(0, grown + 1 - PART_TOKENS.bit_length())
+
+
+def _keys(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, classes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Hashes of the features of each token: (skip, word), (skip, class), and so for last word and both."""
+    end = np.uint64(xxhash.xxh3_64_intdigest(_END))
+    words, begins = hashes[codes], np.cumsum(lengths) - lengths
+    last, skip = np.roll(words, 1), np.roll(words, 2)
+    last[begins] = skip[begins] = end
+    skip[begins[lengths > 1] + 1] = end
+    cls = classes[codes].astype(np.uint64)
+    for context in (skip, last, _mixed(skip, last)):
+        for target in (words, cls):
+            yield _mixed(context, target) >> np.uint64(64 - bits)
+
+
+def _cuts(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Slices of a block's documents: number, begin and end."""
+    at = (np.cumsum(lengths) - lengths) // FEATURE_TOKENS
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    yield from zip(range(len(first)), first, np.append(first[1:], len(at)), strict=True)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """32-bit values as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4")[:, 0]
+
+
+def _block(pdf: pd.DataFrame, unit_class: np.ndarray) -> tuple:
+    """A block's documents, their codes and lengths, and by code: hash, count, unit, class."""
+    docs, words = pdf[pdf["codes"].notna()], pdf[pdf["codes"].isna()]
+    docs = docs.assign(_id=docs["_id"].astype("Int64").mask(docs["none"].astype(bool)))
+    n, at = len(words), words["code"].to_numpy(np.int64)
+    hashes, c, unit = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, np.uint16)
+    hashes[at], c[at], unit[at] = words["hash"].to_numpy(np.int64).view(np.uint64), words["c"], words["unit"]
+    codes = np.frombuffer(b"".join(docs["codes"]), "<u4")
+    return docs, codes, docs["codes"].map(len).to_numpy(np.int64) // 4, hashes, c, unit, unit_class[unit]
+
+
+def _feature_counts(blocks: DataFrame, t: Tables) -> DataFrame:
+    """(block, cut, kind, part, n, totals): corpus counts of the distinct features of a block's slice, in order of their hashes."""
+    unit_class, (bits, part_bits) = t.class_of_unit, _key_bits(t.total)
+    low = np.uint64(bits - part_bits)
+
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs, codes, lengths, hashes, _, _, classes = _block(pdf, unit_class)
+        trained, ends = ~docs["held"].to_numpy(bool), np.concatenate(([0], np.cumsum(lengths)))
+        block, out = pdf["block"].iat[0], []
+        for cut, begin, end in _cuts(lengths):
+            flags = np.repeat(trained[begin:end], lengths[begin:end]).astype(np.uint64)
+            for kind, keys in enumerate(_keys(codes[ends[begin] : ends[end]], lengths[begin:end], hashes, classes, bits)):
+                keys = np.sort(keys << np.uint64(1) | flags)
+                first = np.flatnonzero(np.diff(keys >> np.uint64(1), prepend=np.uint64(2**63)))
+                counts = np.add.reduceat(keys & np.uint64(1), first)
+                keys = keys[first] >> np.uint64(1)
+                parts = np.searchsorted(keys, np.arange((1 << part_bits) + 1, dtype=np.uint64) << low)
+                for part, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)):
+                    if a < b:
+                        own = keys[a:b] & ((np.uint64(1) << low) - np.uint64(1))
+                        out.append((block, cut, kind, part, b - a, _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[a:b])))
+        return pd.DataFrame(out, columns=["block", "cut", "kind", "part", "n", "keys", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["n"].to_numpy(np.int64)
+        keys = np.concatenate([np.cumsum(_unpack(x, n), dtype=np.uint32) for x, n in zip(pdf["keys"], sizes, strict=True)])
+        counts = np.concatenate([_unpack(x, n) for x, n in zip(pdf["counts"], sizes, strict=True)])
+        _, at = np.unique(keys, return_inverse=True)
+        # counts stay below 2^32, more tokens than a part of a context can hold
+        totals = np.minimum(np.bincount(at, counts), 2**32 - 1).astype(np.uint32)[at]
+        ends = np.cumsum(sizes)
+        return pdf[["block", "cut", "kind", "part", "n"]].assign(totals=[_pack(totals[a:b]) for a, b in zip(ends - sizes, ends, strict=True)])
+
+    sent = blocks.groupBy("block").applyInPandas(send, "block long, cut int, kind int, part int, n int, keys binary, counts binary")
+    return sent.groupBy("kind", "part").applyInPandas(add, "block long, cut int, kind int, part int, n int, totals binary")
+
+
+def _within(p: np.ndarray, counts: Iterator[np.ndarray]) -> np.ndarray:
+    """p(word | class, history) of each token: ``p`` without history, changed by each context's counts."""
+    for a, n_word, n_class in zip(PRIOR, counts, counts, strict=False):
+        p = (np.minimum(n_word, n_class) + a * p) / (n_class + a)
+    return p
+
+
 def _sequences(coded: DataFrame, lists: DataFrame, t: Tables) -> DataFrame:
     """Per document: counts, base score, the within-class part of the score, and units (uint16 bytes)."""
     unit_class, class_c, class_v, total, distinct = t.class_of_unit, t.class_c, t.class_v, t.total, t.distinct
-
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        n = len(words)
-        c, unit = np.zeros(n), np.zeros(n, np.uint16)
-        c[words["code"]], unit[words["code"]] = words["c"], words["unit"]
+    bits, _ = _key_bits(total)
+
+    def run(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        docs, codes, lengths, hashes, c, unit, classes = _block(pdf, unit_class)
+        if not len(docs):
+            return pd.DataFrame({k: [] for k in ("_id", "held", "n_tokens", "n_known", "base", "within", "units")})
+        table = table.sort_values(["kind", "part"])
+
+        def counts(cut: int, begin: int, end: int) -> Iterator[np.ndarray]:
+            for kind, keys in enumerate(_keys(codes[ends[begin] : ends[end]], lengths[begin:end], hashes, classes, bits)):
+                own = table[(table["cut"] == cut) & (table["kind"] == kind)]
+                totals = np.concatenate([_unpack(x, n) for x, n in zip(own["totals"], own["n"], strict=True)])
+                yield totals[np.unique(keys, return_inverse=True)[1]].astype(np.float64)
+
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        begins = ends[:-1]
         base = np.log10((c + 1) / (total + distinct + 1))
-        cls = unit_class[unit]
-        within = np.log10((c + 1) / (class_c[cls] + class_v[cls] + 1))
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "within", "units")}
-        for raw in docs["codes"]:
-            codes = np.frombuffer(raw, "<u4")
-            out["n_tokens"].append(len(codes))
-            out["n_known"].append(int((c[codes] > 0).sum()))
-            out["base"].append(float(base[codes].sum()))
-            out["within"].append(float(within[codes].sum()))
-            out["units"].append(unit[codes].tobytes())
-        return pd.DataFrame({"_id": docs["_id"], "held": docs["held"]} | out)
-
-    docs = coded.filter("codes is not null").select("block", "_id", "held", "codes")
-    return docs.groupBy("block").cogroup(lists.groupBy("block")).applyInPandas(run, "_id long, held boolean, n_tokens long, n_known long, base double, within double, units binary")
+        alone = (c + 1) / (class_c[classes] + class_v[classes] + 1)
+        within = np.concatenate([np.log10(_within(alone[codes[ends[x] : ends[y]]], counts(k, x, y))) for k, x, y in _cuts(lengths)])
+        units = unit[codes]
+        sums = {"n_tokens": lengths, "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), begins), "base": np.add.reduceat(base[codes], begins), "within": np.add.reduceat(within, begins)}
+        return docs[["_id", "held"]].assign(**sums, units=[units[a : a + n].tobytes() for a, n in zip(begins, lengths, strict=True)])
+
+    # no nulls in numbers, which pandas would make floats; both uses read one shuffle
+    zeros = lambda df, *names: [F.lit(0).cast(df.schema[c].dataType).alias(c) for c in names]
+    docs = coded.filter("codes is not null").select("block", F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("none"), "held", "codes", *zeros(lists, "code", "hash", "c", "unit"))
+    words = lists.select("block", *zeros(coded, "_id"), F.lit(False).alias("none"), F.lit(False).alias("held"), F.lit(None).cast("binary").alias("codes"), "code", "hash", "c", "unit")
+    blocks = docs.unionByName(words)
+    counts = _feature_counts(blocks, t)
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(run, "_id long, held boolean, n_tokens long, n_known long, base double, within double, units binary")
 
 
 def _features(raw: list[bytes], end_unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +328,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lists = words.withColumn("c", F.sum("trained").over(Window.partitionBy("hash")))
     lists = materialize(lists.withColumn("one", F.row_number().over(Window.partitionBy("hash").orderBy("block")) == 1).drop("trained"), "counts")
     t = Tables(lists.filter("one and c > 0").select("hash", "ending", "c"))
-    coded_lists = lists.join(F.broadcast(t.units), "hash", "left").select("block", "code", "c", F.coalesce("top", TOP + F.col("ending")).alias("unit"))
+    coded_lists = lists.join(F.broadcast(t.units), "hash", "left").select("block", "code", "hash", "c", F.coalesce("top", TOP + F.col("ending")).alias("unit"))
     sequences = materialize(_sequences(coded, coded_lists, t), "sequences")
     w, unit_class, end_unit, total = fit(sequences, t), t.class_of_unit, t.end_unit, t.total
 

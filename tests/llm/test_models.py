@@ -57,6 +57,54 @@ def test_class_scores_are_a_distribution():
     assert np.allclose(np.exp(lm._class_scores(w, rows)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_feature_slices_hold_each_document_once(monkeypatch):
+    monkeypatch.setattr(lm, "FEATURE_TOKENS", 10)
+    assert list(lm._cuts(np.array([3, 6, 1, 25, 1, 2]))) == [(0, 0, 3), (1, 3, 4), (2, 4, 6)]
+
+
+def test_words_within_a_class_depend_on_history(spark):
+    """Texts of the same words, in the order of the training texts and shuffled, and an id no float holds."""
+    rng = np.random.default_rng(0)
+    phrase = [f"w{k}ed" for k in rng.permutation(3000)[:40]]
+    kept = [k for k in range(2**53 + 1, 2**53 + 400) if not lm.held_out(k)]
+    ids = [k for k in range(2**53 + 1, 2**53 + 99, 2) if lm.held_out(k)][:2]
+    texts = [(k, " ".join(phrase) if k % 2 else " ".join(rng.permutation(phrase))) for k in kept] + [(ids[0], " ".join(phrase)), (ids[1], " ".join(phrase[::-1])), (None, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    coded = lm.materialize(lm._coded(df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))), "coded")
+    words = coded.filter("codes is null").select("block", "code", "hash", "ending", F.sum("trained").over(lm.Window.partitionBy("hash")).alias("c"))
+    t = lm.Tables(words.filter("c > 0").select("hash", "ending", "c").distinct())
+    lists = words.join(t.units, "hash", "left").select("block", "code", "hash", "c", F.coalesce("top", lm.TOP + F.col("ending")).alias("unit"))
+    got = {r._id: r for r in lm._sequences(coded, lists, t).collect()}
+    assert set(got) == {k for k, _ in texts}
+    assert got[ids[0]].base == pytest.approx(got[ids[1]].base) and got[ids[0]].within > got[ids[1]].within + 10
+
+    # the counts behind it, by brute force: the sum over a class is one, and the score is the counts'
+    tokens = {k: [*text.split(), "\n"] for k, text in texts}
+    n = Counter()
+    unit = {r.hash: r.unit for r in lists.select("hash", "unit").distinct().collect()}
+    cls = {w: int(t.class_of_unit[unit[int(np.uint64(lm.xxhash.xxh3_64_intdigest(w.encode())).view(np.int64))]]) for w in {w for x in tokens.values() for w in x}}
+    c = Counter(w for k in kept for w in tokens[k])
+    seen = lambda k: zip(["\n", "\n", *tokens[k]], ["\n", *tokens[k]], tokens[k])
+    for k in kept:
+        for skip, last, w in seen(k):
+            for context in ((skip, None), (None, last), (skip, last)):
+                n[context, w] += 1
+                n[context, cls[w], "class"] += 1
+
+    def p(skip, last, w):
+        out = (c[w] + 1) / (t.class_c[cls[w]] + t.class_v[cls[w]] + 1)
+        for a, context in zip(lm.PRIOR, ((skip, None), (None, last), (skip, last))):
+            out = (n[context, w] + a * out) / (n[context, cls[w], "class"] + a)
+        return out
+
+    for k in ids:
+        assert got[k].within == pytest.approx(sum(math.log10(p(*x)) for x in seen(k)), rel=1e-9)
+    for side in set(cls.values()):
+        # what is left to a word not met
+        total = sum(p(phrase[0], phrase[1], w) for w in cls if cls[w] == side)
+        assert total < 1 and total == pytest.approx(1, abs=0.01)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(1)
     rows, grades = [], []
