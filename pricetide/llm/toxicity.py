@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pricetide.llm.common import slices, texts_of
 
 #: Labelled documents the model is fitted on, at most (chosen by a hash of their id).
-SAMPLE = 8_000
+SAMPLE = 12_000
 BUCKETS = 1 << 18
 GRADES = 4
 #: Letters of a word's beginning that make a feature, for longer words: inflected and compound forms share them.

@@ -133,6 +133,14 @@ def test_toxicity_on_held_out_labels(spark):
     assert n.get((0, True), 0) <= 0.01 * n[0, False]
 
 
+def test_toxicity_takes_labelled_rows_up_to_the_bound(spark):
+    """11,900 labelled rows fit in the sample, so the four toxic ones are all in it."""
+    docs = spark.range(11_900).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3000 == 7).cast("int").alias("toxic"))
+    rows, toxic = toxicity.sample_features(docs, labels, "doc_id", "text", "toxic", toxicity.SAMPLE)
+    assert len(rows) == 11_900 and toxic.sum() == 4
+
+
 def test_toxicity_edges(spark, odd_texts):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(odd_texts)], "doc_id long, text string, grade string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
