@@ -4,8 +4,8 @@ Unit vectors at distance sqrt(2 - 2 cos) are a metric space, so the triangle ine
 subtrees.  ``factor`` relaxes it: a subtree is left out once its lower bound times ``factor``
 exceeds the k-th distance found; at one the search is exact, above one it is faster and may miss.
 
-The search keeps more than k candidates, and exact scores then decide, so rounding in the tree
-changes nothing.  Rows are dealt over shards and queries over blocks, and each (shard, block) is one bounded group.
+The search gives each query's k-th cosine; every point within rounding of it is then scored exactly, so
+rounding in the tree changes nothing, however many points share a direction.  Rows are dealt over shards and queries over blocks, and each (shard, block) is one bounded group.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from pricetide.llm.common import materialize
 
 SHARD_ROWS, BLOCK_QUERIES, LEAF = 8192, 4096, 128
+#: Queries whose points near the k-th place are in memory at once.
+BAND_QUERIES = 256
+#: Rounding of a cosine, with room to spare; distances near 0 go with its root.
+_BAND = 1e-12
 
 
 class VPTree:
@@ -84,6 +88,36 @@ class VPTree:
         return best, found
 
 
+    def within(self, queries: np.ndarray, reach: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) of all pairs at most ``reach`` (one for each query) apart, or within rounding of it."""
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def visit(node: int, who: np.ndarray) -> None:
+            parts = self.nodes[node]
+            if len(parts) == 2:
+                own = self.order[parts[0] : parts[1]]
+                row, point = np.nonzero(queries[who] @ self.points[own].T >= (1 - reach[who] ** 2 / 2 - _BAND)[:, None])
+                pairs.append((who[row], own[point]))
+                return
+            vantage, near, a, b, rest, c, e = parts
+            d = distances(queries[who], vantage)
+            for child, low, high in ((near, a, b), (rest, c, e)):
+                go = who[np.maximum(0, np.maximum(low - d, d - high)) * factor <= reach[who] + 2 * math.sqrt(_BAND)]
+                if len(go):
+                    visit(child, go)
+
+        visit(0, np.arange(len(queries)))
+        return np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs])
+
+
+def summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products row by row, summed from the first component as the final scores are."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[:, j]
+    return out
+
+
 def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * points @ to))
 
@@ -122,12 +156,30 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
             return pd.DataFrame({"query_id": [], "id": []}).astype("int64")
         pdf = pdf.sort_values("id", ignore_index=True)
         query, ids = pdf["query"].to_numpy(), pdf["id"].to_numpy()
-        unit = np.stack(pdf["v"].to_numpy())
-        unit /= np.abs(unit).max(axis=1, keepdims=True)  # so that squares stay finite
+        exact = np.stack(pdf["v"].to_numpy())
+        unit = exact / np.abs(exact).max(axis=1, keepdims=True)  # so that squares stay finite
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        _, found = VPTree(unit[~query]).search(unit[query], 2 * k + 1, factor, ids[query], ids[~query])
-        some = found >= 0
-        return pd.DataFrame({"query_id": np.repeat(ids[query], some.sum(axis=1)), "id": ids[~query][found[some]]})
+        tree, asked_ids, own_ids, asked_v, own_v = VPTree(unit[~query]), ids[query], ids[~query], exact[query], exact[~query]
+        best, _ = tree.search(unit[query], k, factor, asked_ids, own_ids)
+        out_query, out_id = [], []
+        for begin in range(0, len(asked_ids), BAND_QUERIES):
+            q, p = tree.within(unit[query][begin : begin + BAND_QUERIES], best[begin : begin + BAND_QUERIES, -1], factor)
+            q = q + begin
+            other = asked_ids[q] != own_ids[p]
+            q, p = q[other], p[other]
+            with np.errstate(all="ignore"):
+                score = np.empty(len(q))
+                for x in range(0, len(q), 1 << 16):
+                    i, j = q[x : x + (1 << 16)], p[x : x + (1 << 16)]
+                    v, w = asked_v[i], own_v[j]
+                    score[x : x + len(i)] = summed(v, w) / (np.sqrt(summed(v, v)) * np.sqrt(summed(w, w)))
+            score[np.isnan(score)] = np.inf  # Spark puts them first
+            by = np.lexsort((own_ids[p], -score, q))
+            q, p = q[by], p[by]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out_query.append(asked_ids[q[keep]])
+            out_id.append(own_ids[p[keep]])
+        return pd.DataFrame({"query_id": np.concatenate(out_query), "id": np.concatenate(out_id)})
 
     columns = ["shard", "block", "query", "id", "v"]
     near = points.select(columns).unionByName(asked.select(columns)).groupBy("shard", "block", F.size("v").alias("length")).applyInPandas(run, "query_id long, id long")

@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import struct
@@ -137,3 +138,18 @@ def test_media_columns(spark, odd_texts):
     assert none.payload is None and none.clips is None
     rows = op8_media(spark, FOLDER).collect()
     assert len(rows) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_scaled_copies_of_one_direction(spark):
+    """Many copies of a direction differ in rounding only: the exact score decides, then the smaller id."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=24)
+    rows = [(k, [float(x) for x in base * scale]) for k, scale in enumerate(rng.permutation(np.linspace(0.1, 9, 400)))]
+    got = {}
+    for r in vp_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 40 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    total = lambda x, y: functools.reduce(lambda s, ab: s + ab[0] * ab[1], zip(x, y, strict=True), 0.0)
+    for q in range(0, 400, 40):
+        score = lambda v: total(rows[q][1], v) / (math.sqrt(total(rows[q][1], rows[q][1])) * math.sqrt(total(v, v)))  # noqa: B023, E731
+        want = sorted((-score(v), k) for k, v in rows if k != q)[:5]
+        assert sorted(got[q]) == [(i + 1, k) for i, (_, k) in enumerate(want)]
