@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,9 +153,13 @@ def _agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _least_same(percent: int, count: int) -> int:
-    """Equal minima that a pair at the threshold has but for once in some 300,000 cases."""
-    p = percent / 100
-    return int(count * p - 4.5 * np.sqrt(count * p * (1 - p)))
+    """Equal minima that a pair at the threshold has but for once in a billion cases (exact binomial)."""
+    p, below = percent / 100, 0.0
+    for m in range(count + 1):
+        below += math.comb(count, m) * p**m * (1 - p) ** (count - m)
+        if below > 1e-9:
+            return m
+    return count
 
 
 def _across(members: DataFrame, percent: int, count: int) -> DataFrame:

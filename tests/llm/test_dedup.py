@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -129,3 +130,10 @@ def test_query(spark):
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     want = union_find(sets, links)
     assert {r.doc_id: r.component_id for r in op6_minhash(spark, folder).collect()} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_filter_of_minima_loses_less_than_banding(percent):
+    p, count = percent / 100, minhash.BANDS * minhash.ROWS
+    lost = sum(math.comb(count, m) * p**m * (1 - p) ** (count - m) for m in range(minhash._least_same(percent, count)))
+    assert 0 < lost <= 1e-9 < (1 - p**minhash.ROWS) ** minhash.BANDS
