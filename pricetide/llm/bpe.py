@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from pricetide.llm.common import slices, texts_of
+from pricetide.llm.common import slices, texts_of, tidy
 from pricetide.llm.tokens import WordCache, is_simple
 
 #: Longer fragments are merged one by one, with a heap.
@@ -238,10 +238,9 @@ def encoder(path: str) -> WordCache:
 
 def _coded(own: WordCache, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Flat ids, offsets of each text in them, and the ids of each as bytes."""
-    flat, ends = own.encode(texts)
-    offsets = np.concatenate(([0], ends))
-    ids = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
-    return flat, offsets, ids
+    found = own.encode(texts)
+    offsets = np.cumsum([0, *map(len, found)]) // 4
+    return np.frombuffer(b"".join(found), "<u4"), offsets, pa.array(found, pa.binary())
 
 
 def _joined(strings: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -263,6 +262,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         out.add("decoded", T.StringType())
     kind = to_arrow_type(id_type)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         strings = pa.array(vocabulary(tokenizer).strings)
@@ -270,7 +270,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             flat, offsets, ids = _coded(own, texts_of(part, text_col))
             columns = [part.column(id_col).cast(kind), pa.array(np.diff(offsets)), ids]
             if decoded:
-                columns.append(_joined(strings, np.frombuffer(ids.buffers()[2], "<u4")[: len(flat)], offsets))
+                columns.append(_joined(strings, flat, offsets))
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return df.select(id_col, text_col).mapInArrow(run, out)
@@ -281,6 +281,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     decoder of its own).  Null ids give null; no ids give the empty text."""
     out = T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = pa.array(vocabulary(tokenizer).strings)
         for part in slices(batches, ids_col):

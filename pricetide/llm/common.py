@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in slices of about this many bytes, whatever Spark's batch size is.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows and bytes of a batch on its way to Python while a table is written.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local master, whose
+    executors are the driver, may do without and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="pricetide-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,7 +39,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs its running tasks only."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in BATCH_CONF}
+    try:
+        for k, v in BATCH_CONF.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +61,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(k, step)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Give memory back at the end of a partition: workers live on, and what they keep adds up over the
+    stages of a pipeline."""
+
+    @wraps(run)
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return call
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column as Python strings; null is the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pricetide.llm.common import slices
+from pricetide.llm.common import slices, tidy
 
 WIDTH = HEIGHT = 24
 FRAME = WIDTH * HEIGHT
@@ -169,6 +169,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", media_c
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())])
     kind = to_arrow_type(id_type)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, 1 << 21):
             raw = [x or b"" for x in part.column(text_col).cast(pa.binary()).to_pylist()]
@@ -196,6 +197,7 @@ def load(df: DataFrame, media_col: str = "media") -> DataFrame:
     def clips_of(frames: np.ndarray) -> list[dict]:
         return [{"shot": s, "first_frame": a, "n_frames": b - a, "start_ms": a * 1000 // RATE, "end_ms": b * 1000 // RATE, "mean_level": round(float(frames[a:b].mean()), 3)} for s, (a, b) in enumerate(shots_of(frames))]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, media_col, 1 << 22):
             files = [None if x is None else read_avi(x) for x in part.column(media_col).to_pylist()]

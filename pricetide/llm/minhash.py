@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import materialize, slices
+from pricetide.llm.common import materialize, slices, tidy
 from pricetide.llm.components import components
 from pricetide.llm.words import Texts, mix, signed
 
@@ -78,6 +78,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             sets = shingle_sets(Texts(part.column("_text"), lower=True), words)
@@ -99,6 +100,7 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
 def _exploded(reps: DataFrame) -> DataFrame:
     """(key, rep): a row per band."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             raw = part.column("bands").to_pylist()
@@ -112,6 +114,7 @@ def _exploded(reps: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, n, shingles) of the wanted documents, hashes as bytes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             sets = shingle_sets(Texts(part.column("_text"), lower=True), words)
@@ -124,6 +127,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "y"):
             keep = []
@@ -141,6 +145,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) with the number of equal minima, ``same``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows:
@@ -231,6 +236,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = materialize(placed.join(open_keys, "key", "left_semi"), "open")
     open_sets = sets.join(placed.select("rep").distinct(), "rep", "left_semi")
 
+    @tidy
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "shingles", 1 << 22):
             raw = part.column("shingles").to_pylist()

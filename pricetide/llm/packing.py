@@ -11,14 +11,13 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pricetide.llm.common import slices, texts_of
+from pricetide.llm.common import slices, texts_of, tidy
 from pricetide.llm.tokens import library_encoder
 
 CAPACITY = 2048
@@ -141,15 +140,16 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("ids", T.BinaryType())])
     arrow_id = to_arrow_type(id_type)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
+        encoder, end = library_encoder(tokenizer), end_id.to_bytes(4, "little")
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
 
         def rows(pieces) -> Iterator[pa.RecordBatch]:
             cols: list[list] = [[] for _ in range(7)]
             size = 0
             for (doc, ids, first, total), start, length, sequence, offset in pieces:
-                for c, v in zip(cols, (doc, start, length, total, sequence, offset, ids[start - first : start - first + length].tobytes()), strict=True):
+                for c, v in zip(cols, (doc, start, length, total, sequence, offset, ids[4 * (start - first) : 4 * (start - first + length)]), strict=True):
                     c.append(v)
                 size += length
                 if size >= 1 << 20:
@@ -163,17 +163,14 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=out.names)
 
         def added(part: pa.RecordBatch):
-            flat, ends = encoder.encode(texts_of(part, text_col))
-            begin = 0
-            for doc, end in zip(part.column(id_col).to_pylist(), ends.tolist(), strict=True):
-                ids = np.empty(end - begin + 1, "<u4")
-                ids[:-1], ids[-1] = flat[begin:end], end_id
-                begin, total = end, len(ids)
+            for doc, ids in zip(part.column(id_col).to_pylist(), encoder.encode(texts_of(part, text_col)), strict=True):
+                ids += end
+                total = len(ids) // 4
                 whole = total - total % capacity
                 for (item, start, *more) in packer.add((doc, whole, total), total):
                     yield (item[0], ids, 0, total), start, *more
                 if total > whole:  # the waiting rest keeps its own ids only
-                    packer.pool[total - whole][-1] = ((doc, ids[whole:].copy() if whole else ids, whole, total), whole)
+                    packer.pool[total - whole][-1] = ((doc, ids[4 * whole :], whole, total), whole)
 
         for part in slices(batches, text_col):
             yield from rows(added(part))

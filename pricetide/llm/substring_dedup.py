@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pricetide.llm.common import materialize, slices
+from pricetide.llm.common import materialize, slices, tidy
 from pricetide.llm.words import Texts, mix, signed
 
 WINDOW = 50
@@ -69,6 +69,7 @@ _OCCURRENCES = "anchor long, context long, _id long, _tag int, at int"
 def _occurrences(keyed: DataFrame, window: int, k: int) -> DataFrame:
     reach = window - k
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             texts = Texts(part.column("_text"))
@@ -87,6 +88,7 @@ def _windows(placed: DataFrame, window: int, k: int) -> DataFrame:
     """Hashes of all windows over the given anchors of each text."""
     reach = window - k
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             texts = Texts(part.column("_text"))
@@ -141,6 +143,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = T.StructType([*df.schema.fields, *added.fields])
     arrow = to_arrow_schema(out)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             kept, n_words, n_removed, removed = [], [], [], []

@@ -7,19 +7,22 @@ each word that it does not hold.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
-#: Words a worker keeps; beyond that it goes on with the half that has come most often.
-CACHE_WORDS = 1_000_000
+#: Words of a generation that a worker keeps (and those of one slice of texts more).
+CACHE_WORDS = 300_000
 #: str.split() also cuts at these, which are no white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\x20\x09-\x0d]+")
+#: Letters, then signs that are neither apostrophes nor "<": one or two parts to the tokenizer.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]*)")
 _SIMPLE = re.compile("[!-;=-~¡-¬®-ÿ]+")
 
 
@@ -33,79 +36,33 @@ def words_of(text: str) -> list[str]:
 
 
 class WordCache:
-    """Encodes lists of texts; ``encode_words`` gives flat ids and lengths for words it has not met."""
+    """Ids of words met before, as little-endian unsigned 32-bit bytes; a text's are its words' in a row.
+
+    ``encode_words`` gives flat ids and lengths for words that are not held.  There are two generations:
+    once the young one is full it becomes the old one, and words that come again move on."""
 
     def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHE_WORDS):
         self.encode_words, self.limit = encode_words, limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int64)
-        self.seen = np.zeros(1024, np.int64)
-        self.pool = np.zeros(8192, np.uint32)
-        self.used = 0
-
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        if len(a) >= n:
-            return a
-        out = np.zeros(max(n, 2 * len(a)), a.dtype)
-        out[: len(a)] = a
-        return out
-
-    def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        n, k = len(self.at), len(words)
-        self.start, self.length, self.seen = (self._room(a, n + k) for a in (self.start, self.length, self.seen))
-        self.pool = self._room(self.pool, self.used + len(flat))
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.length[n : n + k] = lengths
-        self.start[n : n + k] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
-        self.at.update(zip(words, range(n, n + k), strict=True))
-
-    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of a row of words, and each word's length."""
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        where = np.repeat(self.start[codes] - ends + lengths, lengths)
-        where += np.arange(len(where))
-        return self.pool[where], lengths
-
-    def _forget(self) -> None:
-        n, words = len(self.at), list(self.at)
-        kept = np.sort(np.argsort(-self.seen[:n], kind="stable")[: self.limit // 2])
-        kept = kept[self.seen[kept] > 1]
-        seen = self.seen[kept] // 2
-        flat, lengths = self._ids(kept)
-        self._reset()
-        self._add([words[k] for k in kept.tolist()], flat, lengths)
-        self.seen[: len(kept)] = seen
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat uint32 ids of all texts, and the ends of each text in them."""
-        words: list[str] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            w = words_of(t)
-            counts[i] = len(w)
-            words += w
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if len(self.at) > self.limit:
-            self._forget()
-        codes = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        lost = np.flatnonzero(codes < 0)
-        if len(lost):
-            missing = list(dict.fromkeys(words[i] for i in lost))
-            self._add(missing, *self.encode_words(missing))
-            codes[lost] = np.fromiter((self.at[words[i]] for i in lost), np.int64, len(lost))
-        n = len(self.at)
-        self.seen[:n] += np.bincount(codes, minlength=n)
-        flat, lengths = self._ids(codes)
-        word_ends = np.concatenate(([0], np.cumsum(lengths)))
-        return flat, word_ends[np.cumsum(counts)]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        again = {w: ids for w in words if (ids := self.old.get(w)) is not None}
+        self.young |= again
+        if missing := list(words.difference(again)):
+            flat, lengths = self.encode_words(missing)
+            raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+            self.young.update(zip(missing, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        words = [words_of(t) for t in texts]
+        if unknown := set().union(*words).difference(self.young):
+            self._learn(unknown)
+        ids = self.young.__getitem__
+        return [b"".join(map(ids, w)) for w in words]
 
 
 @cache
@@ -117,10 +74,34 @@ def library_encoder(path: str) -> WordCache:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    suffix = json.loads(tok.to_str())["model"].get("end_of_word_suffix")
+    strings = tok.get_vocab(with_added_tokens=False)
+    closing = np.zeros(tok.get_vocab_size() + 1, bool)
+    closing[[i for s, i in strings.items() if suffix and s.endswith(suffix)]] = True
 
-    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    def ids_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths
 
+    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words go to the library many at a time: each of their one or two parts ends in a closing
+        token.  Should the number of these not be right, all words go one by one."""
+        plain = list(map(_PLAIN.fullmatch, words)) if suffix else [None] * len(words)
+        joined = [k for k, m in enumerate(plain) if m]
+        flat, _ = ids_of([" ".join(words[k] for k in joined[x : x + 200]) for x in range(0, len(joined), 200)])
+        at, last = np.flatnonzero(closing[flat]) + 1, np.cumsum([1 + bool(plain[k][2]) for k in joined], dtype=np.int64)
+        if not joined or len(at) != last[-1]:
+            return ids_of(words)
+        other = [k for k, m in enumerate(plain) if not m]
+        flat_other, lengths_other = ids_of([words[k] for k in other])
+        lengths = np.zeros(len(words), np.int64)
+        lengths[joined], lengths[other] = np.diff(at[last - 1], prepend=0), lengths_other
+        mine = np.zeros(len(words), bool)
+        mine[joined] = True
+        mine = np.repeat(mine, lengths)
+        out = np.empty(len(mine), np.uint32)
+        out[mine], out[~mine] = flat, flat_other
+        return out, lengths
+
     return WordCache(encode_words)

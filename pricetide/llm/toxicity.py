@@ -9,7 +9,6 @@ labelled rows; every document is scored whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pricetide.llm.common import slices, texts_of
+from pricetide.llm.common import slices, texts_of, tidy
 
 #: Labelled documents the model is fitted on, at most (chosen by a hash of their id).
 SAMPLE = 12_000
@@ -28,7 +27,8 @@ GRADES = 4
 #: Letters of a word's beginning that make a feature, for longer words: inflected and compound forms share them.
 BEGINNINGS = (4, 5)
 _MARKS = "".join(map(chr, [*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
-_CACHE = 300_000
+#: Words a task keeps the features of.
+_CACHE = 100_000
 
 
 class Features:
@@ -56,12 +56,6 @@ class Features:
         return np.array(sorted(found), np.int32)
 
 
-@cache
-def features() -> Features:
-    """One per worker process."""
-    return Features()
-
-
 def _rows_with(rows: list[np.ndarray]) -> np.ndarray:
     """In how many rows each feature is, a few rows at a time."""
     out = np.zeros(BUCKETS, np.int64)
@@ -122,9 +116,11 @@ def sample_features(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     part = min(1.0, limit / max(1, n))
     chosen = labels.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(part * 1_000_000)).groupBy("_id").agg(F.max("_label").alias("_label"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
         for batch in slices(batches, "_text"):
-            found = [features().text(t).tobytes() for t in texts_of(batch, "_text")]
+            found = [features.text(t).tobytes() for t in texts_of(batch, "_text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("_label")], names=["features", "label"])
 
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -154,11 +150,12 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "
     out = T.StructType([*df.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
     arrow = to_arrow_schema(out)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(BUCKETS)
+        features, weights = Features(), np.zeros(BUCKETS)
         weights[used] = small
         for batch in slices(batches, text_col):
-            found = [features().text(t) for t in texts_of(batch, text_col)]
+            found = [features.text(t) for t in texts_of(batch, text_col)]
             s = np.array([weights[f].sum() for f in found])
             over = 1 / (1 + np.exp(np.clip(theta[None, :] - s[:, None], -40, 40)))  # P(grade >= k)
             over[[not len(f) for f in found]] = 0

@@ -79,11 +79,26 @@ def test_bpe_on_random_words(tok):
     texts = ["".join(rng.choice("abcdefghtheing'!. ́é漢1AΣ\x1f\xa0<|>ñ") for _ in range(rng.randint(1, 80))) for _ in range(1500)]
     texts += ["ab" * 400 + " " + "the" * 300]
     for cache in (bpe.encoder(q_tokens.TOKENIZER), tokens.library_encoder(q_tokens.TOKENIZER), tokens.WordCache(bpe.vocabulary(q_tokens.TOKENIZER).encode_words, limit=50)):
-        flat, ends = cache.encode(texts)
-        begin = 0
-        for text, end in zip(texts, ends.tolist(), strict=True):
-            assert flat[begin:end].tolist() == ids_of(tok, text)
-            begin = end
+        for some in (texts[:700], texts[300:], texts):
+            assert cache.encode(some) == [packed(ids_of(tok, text)) for text in some]
+
+
+def test_files_are_bounded(spark, tok, docs, monkeypatch):
+    """Small batches, so that files end within a range of ids; documents stay in order all the same."""
+    monkeypatch.setattr(token_file, "FILE_TOKENS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        index = token_file.write(docs.coalesce(1), q_tokens.TOKENIZER, length=4)
+        assert index.select("file").distinct().count() > 4
+        rows = sorted(token_file.read(index).collect(), key=lambda r: r.start)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = 0
+    for r in rows:
+        assert r.start == at and len(r.ids) == 4 * r.n_tokens
+        at += r.n_tokens
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id <> 3").collect()}
+    assert {r.doc_id: bytes(r.ids) for r in rows if r.doc_id in texts} == {k: packed([*ids_of(tok, t), 2]) for k, t in texts.items()}
 
 
 def test_token_file(spark, tok, docs):
@@ -98,7 +113,7 @@ def test_token_file(spark, tok, docs):
         at += len(ids)
     for (name,) in index.select("file").distinct().collect():
         found = token_file.Reader(name)
-        n = sum(len(b) for b in found.batches)
+        n = sum(len(found.batch(k)) for k in range(found.n_batches))
         masks = np.concatenate([found.sequence(k)[1] for k in range(n)])
         assert masks.sum() == index.filter(F.col("file") == name).agg(F.sum("n_tokens")).first()[0]
         assert (found.sequence(0)[0] == found.read(0, 64)).all()
