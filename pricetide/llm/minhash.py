@@ -5,21 +5,22 @@
    share a bucket.  Each bucket links its members to its smallest one, not to each other.
 3. Of its bucket heads, each member checks the one with the most equal minima on the full sets,
    and components follow from the confirmed links.
-4. Buckets that still hold several components are gone through exactly: pairs from different
-   components, in bounded blocks, kept if minima agree enough and the sets can reach the
-   threshold at all (shingles that no other such document has cannot be in the intersection).
-   These too are confirmed on full sets, and components are built again from all links.
+4. Members of buckets that still hold several components are gone through exactly.  With shingles in
+   order of rarity, two sets can reach the threshold only if they meet in the prefix of each that
+   exceeds what may differ, and only if what follows the first meeting is long enough.  Documents of
+   different components meet on such rare shingles, in bounded blocks; these pairs too are
+   confirmed on full sets, and components are built again from all links.
+
+Nothing is dropped on an estimate: minima choose candidates, and full sets alone decide.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.common import materialize, slices, tidy
@@ -27,7 +28,7 @@ from pricetide.llm.components import components
 from pricetide.llm.words import Texts, mix, signed
 
 WORDS, BANDS, ROWS = 5, 30, 5
-#: Members of a bucket that one task compares with as many others.
+#: Documents with one rare shingle that meet as many others under one key.
 BLOCK = 1000
 
 
@@ -142,8 +143,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(mine, "b").join(theirs, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the number of equal minima, ``same``."""
+def _agreement(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets' sizes allow the similarity, with the number of equal minima, ``same``."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,56 +153,53 @@ def _agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("x", "y"))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array((x == y).sum(axis=1).astype(np.int32))], names=["a", "b", "same"])
 
-    mine = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-    theirs = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
-    return pairs.join(mine, "b").join(theirs, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same int")
+    mine = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    theirs = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), "n")
+    sized = pairs.join(mine, "b").join(theirs, "a").filter(_reaches(F.least("n", "m"), F.col("n"), F.col("m"), percent))
+    return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same int")
 
 
-def _least_same(percent: int, count: int) -> int:
-    """Equal minima that a pair at the threshold has but for once in a billion cases (exact binomial)."""
-    p, below = percent / 100, 0.0
-    for m in range(count + 1):
-        below += math.comb(count, m) * p**m * (1 - p) ** (count - m)
-        if below > 1e-9:
-            return m
-    return count
+def _reaches(both: Column, n: Column, m: Column, percent: int) -> Column:
+    """Sets of ``n`` and ``m`` shingles with ``both`` in common are similar enough."""
+    return 100 * both >= percent * (n + m - both)
 
 
-def _across(members: DataFrame, percent: int, count: int) -> DataFrame:
-    """Pairs of different components within buckets: (a, b), each from the first bucket both are in.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, df, rep, n, pos): the shingles in each set's prefix that other sets hold too.
+
+    A set's order is by document frequency, then hash; ``pos`` counts from 0.  Of n shingles a partner
+    must hold ceil(percent * n / 100), so the first n - that + 1 hold one of them."""
+
+    @tidy
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "shingles"):
+            raw = part.column("shingles").to_pylist()
+            lengths = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
+            at = pa.array(np.repeat(np.arange(len(raw)), lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), part.column("rep").take(at), part.column("n").take(at)], names=["shingle", "rep", "n"])
+
+    rows = sets.mapInArrow(singles, "shingle long, rep long, n long")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = rows.join(shared, "shingle").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    room = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - own
+    kept = ordered.select("rep", "n", own.alias("own"), F.posexplode(F.slice("s", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("at", "x"))
+    return kept.select("x.shingle", "x.df", "rep", "n", (F.col("own") + F.col("at")).alias("pos"))
 
-    ``members``: key, rep, comp, n, own (shingles that nobody else has), bands, sketch, size (of the
-    bucket).  A bucket of many members is cut into blocks, and each pair of blocks is one group.
-    """
-    least = _least_same(percent, count)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("_blocks", blocks).withColumn("_mine", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("_i", F.least("_mine", "_other")).withColumn("_j", F.greatest("_mine", "_other"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        rep, comp, n, own, mine = (pdf[c].to_numpy() for c in ("rep", "comp", "n", "own", "_mine"))
-        bands = np.stack([np.frombuffer(x, np.int64) for x in pdf["bands"]])
-        sketch = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sketch"]])
-        band = int(np.flatnonzero(bands[0] == key[0])[0])
-        most = n - own
-        out_a, out_b = [], []
-        for i in range(len(rep) - 1):
-            j = np.arange(i + 1, len(rep))
-            j = j[comp[j] != comp[i]]
-            if key[1] != key[2]:
-                j = j[mine[j] != mine[i]]
-            both = np.minimum(most[i], most[j])
-            j = j[100 * both >= percent * (n[i] + n[j] - both)]
-            if len(j):
-                j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
-                j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least]
-                out_a.append(np.full(len(j), rep[i]))
-                out_b.append(rep[j])
-        return pd.DataFrame({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
-
-    columns = ["rep", "comp", "n", "own", "_mine", "bands", "sketch", "key", "_i", "_j"]
-    return dealt.select(*columns).groupBy("key", "_i", "_j").applyInPandas(run, "a long, b long")
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that meet in their prefixes and may be similar.
+
+    ``placed``: shingle, df, rep, n, pos, comp.  A shingle of many documents is cut into blocks, and
+    each pair of blocks is a key of its own."""
+    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+    dealt = placed.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    x = dealt.select("shingle", F.col("mine").alias("i"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "pos", "comp")))
+    y = dealt.select("shingle", F.explode(F.sequence(F.lit(0), "mine")).alias("i"), F.col("mine").alias("j"), *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "pos", "comp")))
+    # what the sets can share if this is the first shingle of both orders that they share
+    both = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    fits = (F.col("x_comp") != F.col("y_comp")) & ((F.col("i") < F.col("j")) | (F.col("x_rep") < F.col("y_rep"))) & _reaches(both, F.col("x_n"), F.col("y_n"), percent)
+    return x.join(y, ["shingle", "i", "j"]).filter(fits).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -210,10 +208,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents are linked if ``100 * intersection >= percent * union`` of their sets of
     ``words``-word shingles (A-Z lower-cased).  ``component_id`` is the smallest id reachable and
     ``kept`` marks it.  Null, empty and blank texts have no shingles and no links; a text of fewer
-    words is one shingle; equal texts are linked; rows of one id are one node; a null id has no
-    component and is kept; other columns are not read; an empty table gives no rows.
+    words is one shingle; equal texts are linked; rows of one id are one node; an id that is null
+    or no integer comes out as null, has no component and is kept; other columns are not read; an empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    docs = df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signed_docs = materialize(_signatures(docs, words, bands, rows), "signatures")
     known = signed_docs.filter("n > 0 and _id is not null")
     classes = known.groupBy("p", "q", "n").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -224,28 +222,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = members.select("rep").distinct()
     close = reps.join(wanted, "rep", "left_semi")
     sets = materialize(_sets(docs, wanted, words), "sets")
-    least = _least_same(percent, bands * rows)
     pairs = members.filter("head < rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    best = _agreement(pairs, close).filter(F.col("same") >= least).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+    best = _agreement(pairs, close, percent).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
     equal = known.join(reps.select("p", "q", "n", "rep"), ["p", "q", "n"]).filter("_id <> rep").select(F.col("rep").alias("a"), F.col("_id").alias("b"))
     links = materialize(_confirmed(best, sets, percent), "confirmed")
     first = components(links)
 
-    placed = members.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    placed = materialize(placed.join(open_keys, "key", "left_semi"), "open")
-    open_sets = sets.join(placed.select("rep").distinct(), "rep", "left_semi")
-
-    @tidy
-    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "shingles", 1 << 22):
-            raw = part.column("shingles").to_pylist()
-            lengths = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), part.column("rep").take(pa.array(np.repeat(np.arange(len(raw)), lengths)))], names=["shingle", "rep"])
-
-    own = open_sets.mapInArrow(singles, "shingle long, rep long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("df")).filter("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    own = materialize(close.join(placed.select("rep").distinct(), "rep", "left_semi").join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "own")
-    more = materialize(_across(placed.join(own, "rep"), percent, bands * rows), "across")
+    placed = materialize(placed.join(open_keys, "key", "left_semi").select("rep", "comp").distinct(), "open")
+    prefixes = _prefixes(sets.join(placed, "rep", "left_semi"), percent)
+    more = materialize(_across(prefixes.join(placed, "rep"), percent), "across")
     links = links.unionByName(materialize(_confirmed(more, sets, percent), "confirmed")).unionByName(equal)
 
     final = components(links).select(F.col("node").alias("_id"), F.col("component"))
