@@ -8,9 +8,12 @@ equal windows hold equal anchors at equal places.  Only anchors found in several
 Extend: each occurrence is extended both ways as far as windows over it reach.  Occurrences whose
 extensions agree throughout form a class, represented by its smallest document: all windows over
 the anchor are repeats in the others.  Where the extensions of an anchor differ, the
-representatives of its classes compare their windows one by one, by hash; no pairs of documents
+representatives of its classes compare their windows one by one, by 128-bit hashes; no pairs of documents
 are formed, so a passage in a third of all rows costs one class row per occurrence at most.
 
+Anchors and classes of very many occurrences are few (``HOT_KEYS`` at most, as each has so large a
+part of all): what is known of them is broadcast, and their rows are spread evenly in the joins.
+
 Keep: runs of at least ``window`` words, merged into maximal spans.
 """
 
@@ -20,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pricetide.llm.common import materialize, slices, tidy
+from pricetide.llm.common import free_names, materialize, slices, tidy
 from pricetide.llm.words import Texts, mix, signed
 
 WINDOW = 50
 ANCHOR = 16
+#: A key is hot from so many rows on, and from this part of all rows on.
+HOT_ROWS, HOT_KEYS = 10_000, 50_000
 
 
 def winnow(texts: Texts, prefix: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +65,7 @@ def winnow(texts: Texts, prefix: np.ndarray, window: int, k: int) -> tuple[np.nd
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Ids may repeat: 15 bits of the text's hash tell such rows apart."""
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null").withColumn("_tag", F.pmod(F.xxhash64("_text"), F.lit(32749)).cast("int"))
+    return df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null").withColumn("_tag", F.pmod(F.xxhash64("_text"), F.lit(32749)).cast("int"))
 
 
 _OCCURRENCES = "anchor long, context long, _id long, _tag int, at int"
@@ -92,7 +97,7 @@ def _windows(placed: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             texts = Texts(part.column("_text"))
-            prefix = texts.prefix()
+            prefix, second = texts.prefix(), texts.prefix(5)
             anchors = part.column("anchors")
             doc = np.repeat(np.arange(part.num_rows), anchors.value_lengths().to_numpy(zero_copy_only=False))
             at = anchors.flatten().to_numpy(zero_copy_only=False) + texts.begin[doc]
@@ -102,26 +107,39 @@ def _windows(placed: DataFrame, window: int, k: int) -> DataFrame:
             starts, pick = np.unique(starts[fits], return_index=True)
             doc = doc[fits][pick]
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(texts.span(prefix, starts, starts + window))), part.column("_id").take(take), part.column("_tag").take(take), pa.array((starts - texts.begin[doc]).astype(np.int32))], names=["hash", "_id", "_tag", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(texts.span(prefix, starts, starts + window))), pa.array(signed(texts.span(second, starts, starts + window))), part.column("_id").take(take), part.column("_tag").take(take), pa.array((starts - texts.begin[doc]).astype(np.int32))], names=["hash", "hash2", "_id", "_tag", "at"])
+
+    return placed.mapInArrow(run, "hash long, hash2 long, _id long, _tag int, at int")
+
 
-    return placed.mapInArrow(run, "hash long, _id long, _tag int, at int")
+def _attach(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """``rows`` with the columns of ``keyed`` (one row per key; null where it has none).  Keys under the
+    condition ``hot`` are broadcast, and their rows get salted keys that meet nothing in the join of the others."""
+    rest = [c for c in keyed.columns if c not in keys]
+    known = F.broadcast(keyed.filter(hot).select(*keys, F.struct(*rest).alias("_hot")))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("_id", "at"), F.lit(1 << 16)) + 1)
+    salted = rows.join(known, keys, "left").withColumn("_salt", salt.cast("long"))
+    other = keyed.filter(~hot).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*rest).alias("_cold"))
+    joined = salted.join(other, [*keys, "_salt"], "left").withColumn("_all", F.coalesce("_hot", "_cold"))
+    return joined.select(*rows.columns, *(F.col(f"_all.{c}").alias(c) for c in rest))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """Word ranges that repeat earlier documents: (_id, _tag, first, last), not yet merged."""
     keyed = _keyed(df, id_col, text_col)
     found = _occurrences(keyed, window, k)
-    shared = found.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo < hi").select("anchor")
-    found = materialize(found.join(shared, "anchor", "left_semi"), "anchors")
-    classes = found.groupBy("anchor", "context").agg(F.min("_id").alias("lead"))
-    several = found.groupBy("anchor").agg(F.min("context").alias("a"), F.max("context").alias("b")).filter("a <> b").select("anchor", F.lit(True).alias("several"))
-    found = found.join(classes, ["anchor", "context"]).join(several, "anchor", "left")
-    found = materialize(found.filter("_id > lead or several").select("_id", "_tag", "at", (F.col("_id") > F.col("lead")).alias("whole")), "classes")
+    shared = found.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.count("*").alias("n"), (F.min("context") < F.max("context")).alias("several"))
+    shared = materialize(shared.filter("lo < hi").select("anchor", "n", "several"), "shared")
+    hot = F.col("n") >= max(HOT_ROWS, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    found = materialize(_attach(found, shared, ["anchor"], hot).filter("several is not null").drop("n"), "anchors")
+    classes = materialize(found.groupBy("anchor", "context").agg(F.min("_id").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "classes")
+    found = _attach(found, classes, ["anchor", "context"], hot).withColumn("lead", F.coalesce("lead", "_id"))
+    found = materialize(found.filter("_id > lead or several").select("_id", "_tag", "at", (F.col("_id") > F.col("lead")).alias("whole")), "leads")
     whole = found.filter("whole").select("_id", "_tag", F.greatest(F.col("at") - (window - k), F.lit(0)).alias("first"), (F.col("at") + window).alias("last"))
     leads = found.filter("not whole").groupBy("_id", "_tag").agg(F.collect_list("at").alias("anchors"))
     windows = materialize(_windows(keyed.join(leads, ["_id", "_tag"]), window, k), "windows")
-    least = windows.groupBy("hash").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).filter("least < most").select("hash", "least")
-    single = windows.join(least, "hash").filter("_id > least").select("_id", "_tag", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
+    least = windows.groupBy("hash", "hash2").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).filter("least < most").select("hash", "hash2", "least")
+    single = windows.join(least, ["hash", "hash2"]).filter("_id > least").select("_id", "_tag", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
     return whole.unionByName(single)
 
 
@@ -131,15 +149,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Kept words are joined by one blank, unchanged; without ``collapse`` this is only done to texts
     that lose words.  Windows are judged on the input.  A null text
-    has no words and stays null; rows without an integer id neither lose words nor count as
+    has no words and stays null; rows whose id is null or no integer neither lose words nor count as
     sources; rows of the same id never count against each other; columns named like an added one
-    are replaced; an empty table gives none.
+    are replaced, others stay whatever their names; an empty table gives none.
     """
-    spans = repeats(df, id_col, text_col, window, k).groupBy("_id", "_tag").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     added = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("removed", T.ArrayType(T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType())))
     df = df.drop(*(f.name for f in added))
-    tagged = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_tag", F.pmod(F.xxhash64(text_col), F.lit(32749)).cast("int"))
-    joined = tagged.join(spans, ["_id", "_tag"], "left").select(*df.columns, "_spans")
+    own_id, own_tag, own_spans = free_names(df, "_id", "_tag", "_spans")
+    spans = repeats(df, id_col, text_col, window, k).groupBy(F.col("_id").alias(own_id), F.col("_tag").alias(own_tag)).agg(F.collect_list(F.struct("first", "last")).alias(own_spans))
+    tagged = df.withColumn(own_id, F.col(id_col).try_cast("long")).withColumn(own_tag, F.pmod(F.xxhash64(text_col), F.lit(32749)).cast("int"))
+    joined = tagged.join(spans, [own_id, own_tag], "left").select(*df.columns, own_spans)
     out = T.StructType([*df.schema.fields, *added.fields])
     arrow = to_arrow_schema(out)
 
@@ -147,7 +166,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
             kept, n_words, n_removed, removed = [], [], [], []
-            for text, found in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column("_spans").to_pylist(), strict=True):
+            for text, found in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column(own_spans).to_pylist(), strict=True):
                 words = text.split() if text else []
                 merged: list[list[int]] = []
                 for first, last in sorted((s["first"], min(s["last"], len(words))) for s in found or ()):

@@ -50,10 +50,11 @@ class Texts:
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, self.n)
         self.words = words if keep_words else None
 
-    def prefix(self) -> np.ndarray:
-        """Prefix sums from which ``span`` takes the hash of any run of words."""
+    def prefix(self, seed: int | None = None) -> np.ndarray:
+        """Prefix sums from which ``span`` takes the hash of any run of words; each seed gives other hashes."""
         _grow(self.n + 1)
-        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * _powers[: self.n], dtype=np.uint64)))
+        own = self.hashes if seed is None else mix(self.hashes, seed)
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * _powers[: self.n], dtype=np.uint64)))
 
     @staticmethod
     def span(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
