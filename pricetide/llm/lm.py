@@ -317,12 +317,13 @@ def fit(sequences: DataFrame, t: Tables, rate: float = 0.3) -> np.ndarray:
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    Learns from the documents whose crc32(id as text) mod 7 is not 2; a null id is held out.  Null,
+    Learns from the documents whose crc32(id as text) mod 7 is not 2; an id that is null or no
+    integer comes out as null and is held out.  Null,
     empty and blank texts are the end token alone.  Repeated rows count as often as they come;
     other columns are not read; an empty table gives no rows; without training documents the
     class softmax is uniform.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    docs = df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text"))
     coded = materialize(_coded(docs), "coded")
     words = coded.filter("codes is null").select("block", "code", "hash", "ending", "trained")
     lists = words.withColumn("c", F.sum("trained").over(Window.partitionBy("hash")))

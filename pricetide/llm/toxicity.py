@@ -28,7 +28,7 @@ GRADES = 4
 BEGINNINGS = (4, 5)
 _MARKS = "".join(map(chr, [*range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 #: Words a task keeps the features of.
-_CACHE = 100_000
+_CACHE = 200_000
 
 
 class Features:
@@ -110,8 +110,9 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, l1: flo
 
 
 def sample_features(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most about ``limit`` labelled documents."""
-    labels = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
+    """Features and labels of at most about ``limit`` labelled documents; of rows of one id, the smallest
+    text and the highest label count, and ids that are no integers have none."""
+    labels = labels.select(F.col(id_col).try_cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
     n = labels.count()
     part = min(1.0, limit / max(1, n))
     chosen = labels.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(part * 1_000_000)).groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -123,9 +124,10 @@ def sample_features(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
             found = [features.text(t).tobytes() for t in texts_of(batch, "_text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("_label")], names=["features", "label"])
 
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    # the sample is bounded by ``limit``, so it may go to every executor
-    got = docs.join(F.broadcast(chosen), "_id").select("_text", "_label").mapInArrow(run, "features binary, label int").collect()
+    docs = df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    # the sample is bounded by ``limit``, so it may go to every executor; one text of each id
+    taken = docs.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    got = taken.select("_text", "_label").mapInArrow(run, "features binary, label int").collect()
     got = sorted((bytes(r.features), r.label) for r in got)
     return [np.frombuffer(f, np.int32) for f, _ in got], np.array([y for _, y in got], np.int64)
 

@@ -126,14 +126,14 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     """(query_id, rank, id, score): for each row of ``df`` under the condition ``is_query`` the k rows
     of largest cosine among all rows with another id.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
-    ids; rows of a repeated id count once (the smallest vector); vectors of different lengths are not
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do ids
+    that are null or no integers; rows of a repeated id count once (the smallest vector); vectors of different lengths are not
     compared; ties go to the smaller id; other columns are
     not read; an empty table, or one without queries, gives no rows.  Scores are dot product by
     the product of norms, in double precision, summed from the first component.
     """
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).filter(
+    rows = df.select(F.col(id_col).try_cast("long").alias("id"), vector.alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
     )
     rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")

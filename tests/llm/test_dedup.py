@@ -1,4 +1,3 @@
-import math
 import random
 
 import pytest
@@ -132,8 +131,44 @@ def test_query(spark):
     assert {r.doc_id: r.component_id for r in op6_minhash(spark, folder).collect()} == want
 
 
+def test_hot_anchors_and_classes_take_the_broadcast_path(spark, monkeypatch):
+    """A passage that all documents share, alone and in varying surroundings."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 5)
+    line = " ".join(f"p{k}" for k in range(70))
+    rng = random.Random(9)
+    noise = lambda n: " ".join(f"n{rng.randint(0, 10**9)}" for _ in range(n))
+    docs = {k: line if k % 3 == 0 else f"{noise(40)} {line} {noise(30)}" for k in range(60)} | passages(3)
+    docs = {k: t + " " + line for k, t in docs.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(docs, 50)
+
+
+def test_clashing_names_and_text_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = spark.createDataFrame([("1", text, 7, 8, "x"), ("2", text, 7, 8, "y"), ("two", text, 7, 8, "z")], "doc_id string, text string, _id int, _tag int, _spans string")
+    got = {r.doc_id: (r.n_removed, r._id, r._tag, r._spans) for r in substring_dedup.remove_repeats(rows).collect()}
+    assert got == {"1": (0, 7, 8, "x"), "2": (60, 7, 8, "y"), "two": (0, 7, 8, "z")}
+    near = sorted((r.doc_id or -1, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect())
+    assert near == [(-1, None, True), (1, 1, True), (2, 1, False)]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
-def test_filter_of_minima_loses_less_than_banding(percent):
-    p, count = percent / 100, minhash.BANDS * minhash.ROWS
-    lost = sum(math.comb(count, m) * p**m * (1 - p) ** (count - m) for m in range(minhash._least_same(percent, count)))
-    assert 0 < lost <= 1e-9 < (1 - p**minhash.ROWS) ** minhash.BANDS
+def test_prefixes_keep_every_pair_at_the_threshold(spark, percent):
+    """Pairs of exactly the threshold among templates: each meets in the prefixes, none below need do so."""
+    docs, k = {}, 0
+    for size in (17, 40, 100):
+        for edits in range(0, size // 3):
+            body = [f"s{size}x{i}" for i in range(size)]
+            docs[k] = frozenset(body)
+            docs[k + 1] = frozenset(body[edits:] + [f"s{size}e{edits}y{i}" for i in range(edits)])
+            k += 2
+    number = {x: i for i, x in enumerate(sorted({x for s in docs.values() for x in s}))}
+    import numpy as np
+
+    rows = [(k, len(s), np.sort(np.array([number[x] for x in s], np.uint64)).tobytes()) for k, s in docs.items()]
+    sets = spark.createDataFrame(rows, "rep long, n long, shingles binary").repartition(2)
+    placed = minhash._prefixes(sets, percent).withColumn("comp", minhash.F.col("rep"))
+    got = {(r.a, r.b) for r in minhash._across(placed, percent).collect()}
+    want = {(a, b) for a in docs for b in docs if a < b and 100 * len(docs[a] & docs[b]) >= percent * len(docs[a] | docs[b])}
+    assert want <= got
