@@ -153,19 +153,34 @@ def store_failures(d: Domain) -> DataFrame:
 
 
 _GAPS = """, grp as (select category_slug, cls_set_code, cls_language, cls_packaging, count(distinct store_id) as n_stores from listing group by 1, 2, 3, 4 having count(distinct store_id) >= 2),
-gaps as (select * from grp g where not exists (select 1 from product p where p.category_slug = g.category_slug and p.set_code is not distinct from g.cls_set_code and p.packaging is not distinct from g.cls_packaging))
+gaps as (select * from grp g where not exists (select 1 from product p where p.category_slug = g.category_slug and p.set_code is not distinct from g.cls_set_code and p.packaging is not distinct from g.cls_packaging)
+  and not (regexp_matches(coalesce(g.cls_set_code, ''), '^(PREFIXES)') and exists (select 1 from product p where p.set_code = g.cls_set_code and p.packaging is not distinct from g.cls_packaging)))
 """
 
 
+_GAPS = _GAPS.replace("PREFIXES", "|".join(SET_CODE_PREFIXES))
+
+
 @query(_GAPS + "select * from gaps")
 def catalog_gaps(d: Domain) -> DataFrame:
-    return matching.catalog_gaps(d.listing, d.product)
+    return matching.catalog_gaps(d.listing, d.product, SET_CODE_PREFIXES)
+
+
+_SHIFTED = _GAPS.replace("grp as (select category_slug, cls_set_code", "shifted as (select store_id, category_slug, case when cls_set_code like 'OP%' and listed_id % 3 = 0 then replace(cls_set_code, 'OP', 'VOL') when cls_set_code = 'OP99' then 'OP0' || (1 + listed_id % 9) else cls_set_code end as cls_set_code, cls_language, cls_packaging, match_status from listing where match_status <> 'confirmed'), grp as (select category_slug, cls_set_code").replace("from listing group by 1, 2, 3, 4", "from shifted group by 1, 2, 3, 4")
+
+
+@query(_SHIFTED + "select category_slug, cls_set_code, cls_language, cls_packaging, n_stores, 'main ' || cls_set_code as main_set from gaps")
+def catalog_gaps_across_categories(d: Domain) -> DataFrame:
+    """Open listings, whose codes are those of other categories, or of a prefix that no publisher assigns."""
+    code = F.when(F.col("cls_set_code").startswith("OP") & (F.col("listed_id") % 3 == 0), F.replace("cls_set_code", F.lit("OP"), F.lit("VOL"))).when(F.col("cls_set_code") == "OP99", F.concat(F.lit("OP0"), 1 + F.col("listed_id") % 9)).otherwise(F.col("cls_set_code"))
+    listings = matching.open_listings(d.listing).withColumn("cls_set_code", code).withColumn("main_set", F.concat(F.lit("main "), "cls_set_code"))
+    return matching.catalog_gaps(listings, d.product, SET_CODE_PREFIXES, main_set="main_set")
 
 
 @query(_GAPS + """select store_id, listed_id from listing l where match_status = 'needs_review' and not exists (
   select 1 from gaps g where g.category_slug is not distinct from l.category_slug and g.cls_set_code is not distinct from l.cls_set_code and g.cls_language is not distinct from l.cls_language and g.cls_packaging is not distinct from l.cls_packaging)""")
 def review_outside_gaps(d: Domain) -> DataFrame:
-    return matching.outside_gaps(d.listing.filter("match_status = 'needs_review'"), matching.catalog_gaps(d.listing, d.product)).select(*_KEY)
+    return matching.outside_gaps(d.listing.filter("match_status = 'needs_review'"), matching.catalog_gaps(d.listing, d.product, SET_CODE_PREFIXES)).select(*_KEY)
 
 
 @query("select name_canonical from product group by 1 having count(*) = 1")
@@ -214,7 +229,8 @@ _DECIDED = _PAIRS + """, ev as (
 
 def _evidence(d: Domain) -> DataFrame:
     # these listings are sold by the piece, so a quantity is a bundle
-    return matching.evidence(_pairs(d), matching.single_product_categories(d.product), quantity_is_ambiguous(F.col("raw_name"), F.lit("PLAYMAT"), F.lit("sobre")))
+    pairs = matching.candidates(matching.open_listings(d.listing), d.product, _KEY, 3, SET_CODE_PREFIXES)
+    return matching.evidence(pairs, matching.single_product_categories(d.product), quantity_is_ambiguous(F.col("raw_name"), F.lit("PLAYMAT"), F.lit("sobre")))
 
 
 def _rematch(d: Domain) -> DataFrame:
@@ -238,13 +254,14 @@ def match_counts(d: Domain) -> DataFrame:
   when not lm then 'idioma_no_coincide(clasificado=' || cls_language || ',candidato=' || coalesce(p_language, 'None') || ')'
   when not pm then 'packaging_no_coincide(clasificado=' || cls_packaging || ',candidato=' || coalesce(p_packaging, 'None') || ')' when qa then 'cantidad_ambigua' else 'motivo_desconocido (revisar decide())' end as motive from decided""")
 def review_motives(d: Domain) -> DataFrame:
-    return _evidence(d).filter("rank = 1").join(d.listing.filter("match_status <> 'confirmed'").select(*_KEY), _KEY).select(*_KEY, matching.motive().alias("motive"))
+    return _evidence(d).filter("rank = 1").select(*_KEY, matching.motive().alias("motive"))
 
 
 @query(_PAIRS + """, top as (select store_id, listed_id, string_agg(rank || ':' || product_id, ',' order by rank) as candidates, max(score) filter (where rank = 1) as best from pairs group by 1, 2)
 select store_id, listed_id, candidates from listing join top using (store_id, listed_id) where match_status = 'needs_review' and best >= 0.4""")
 def review_queue(d: Domain) -> DataFrame:
-    rows = changes.review_queue(_pairs(d), d.listing, _KEY, low=0.4)
+    waiting = d.listing.filter("match_status = 'needs_review'")
+    rows = changes.review_queue(matching.candidates(waiting, d.product, _KEY, 3, SET_CODE_PREFIXES), waiting, _KEY, low=0.4)
     return rows.select(*_KEY, F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["product_id"].cast("string"))), ",").alias("candidates"))
 
 

@@ -1,7 +1,8 @@
 """Matching of listings to catalog products: candidates, evidence, decision, gaps.
 
-Candidates meet listings on an equality (category, or set code for the fallback), trigram sets are
-computed once per side, and per-listing top-k is a window that Spark limits before its shuffle.
+Candidates are ranked by three flags before similarity, and flags depend on four attributes only.  So
+groups of equal attributes meet cells of equal attributes first, cells that cannot reach the k-th
+place go, and names are compared only where flags leave the order open.
 """
 
 from __future__ import annotations
@@ -20,30 +21,51 @@ def single_product_categories(products: DataFrame, category: str = "category_slu
     return products.groupBy(category).agg(F.count("*").alias("n")).filter("n = 1").select(category)
 
 
-def candidates(listings: DataFrame, products: DataFrame, key: list[str], k: int, prefixes: list[str]) -> DataFrame:
-    """The k best products per listing: exact set code, language, packaging, then similarity, then id.
+_ASKED = ["category_slug", "cls_set_code", "cls_language", "cls_packaging"]
+_OFFERED = ["p_category", "p_set_code", "p_language", "p_packaging"]
 
-    If no product of the category has the listing's code and the code has a real prefix, the best
-    product with that code of any category comes before them (``is_fallback``)."""
-    mine = listings.select(*key, "raw_name", "category_slug", "cls_set_code", "cls_language", "cls_packaging").withColumn("_g", trigrams(F.col("raw_name")))
-    catalog = products.select("product_id", "name_canonical", F.col("category_slug").alias("p_category"), F.col("set_code").alias("p_set_code"), F.col("language").alias("p_language"), F.col("packaging").alias("p_packaging")).withColumn("_p", trigrams(F.col("name_canonical")))
+
+def _flags() -> dict[str, Column]:
     language = F.when(F.col("cls_language").isin(LANGUAGES), F.col("cls_language"))
-    code_hit = is_true(F.col("p_set_code") == F.col("cls_set_code"))
+    return {
+        "code_hit": is_true(F.col("p_set_code") == F.col("cls_set_code")),
+        "language_hit": is_true(F.col("p_language") == language),
+        "packaging_hit": is_true(F.col("p_packaging") == F.col("cls_packaging")),
+    }
+
+
+def _best(mine: DataFrame, catalog: DataFrame, key: list[str], asked: str, offered: str, k: int) -> DataFrame:
+    """Each listing's k best products with ``offered`` equal to ``asked``: by flags, similarity, id.
+
+    Nulls are values of the other attributes, so they travel as a struct that equals itself."""
+    groups = mine.select(*_ASKED, F.struct(*_ASKED).alias("_asked")).distinct()
+    cells = catalog.groupBy(*_OFFERED).agg(F.count("*").alias("_n")).withColumn("_offered", F.struct(*_OFFERED))
+    met = groups.join(cells, F.col(asked) == F.col(offered)).withColumns(_flags())
+    better = Window.partitionBy("_asked").orderBy(*(F.desc(c) for c in _flags())).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("_asked", *_flags())
+    open_cells = met.withColumn("_before", F.sum("_n").over(better) - F.sum("_n").over(level)).filter(F.col("_before") < k)
+    pairs = mine.withColumn("_asked", F.struct(*_ASKED)).join(open_cells.select("_asked", "_offered", *_flags()), "_asked")
+    pairs = pairs.join(catalog.withColumn("_offered", F.struct(*_OFFERED)), "_offered")
+    scored = pairs.withColumn("score", similarity(F.col("_g"), F.col("_p"))).drop("_g", "_p", "_asked", "_offered")
+    order = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in _flags()), F.desc("score"), "product_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("code_hit", code_hit).withColumn("language_hit", is_true(F.col("p_language") == language)).withColumn("packaging_hit", is_true(F.col("p_packaging") == F.col("cls_packaging"))).withColumn("score", similarity(F.col("_g"), F.col("_p"))).drop("_g", "_p")
 
-    def best(pairs: DataFrame, n: int, first: list[Column] = []) -> DataFrame:  # noqa: B006
-        order = Window.partitionBy(*key).orderBy(*first, F.desc("code_hit"), F.desc("language_hit"), F.desc("packaging_hit"), F.desc("score"), "product_id")
-        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+def candidates(listings: DataFrame, products: DataFrame, key: list[str], k: int, prefixes: list[str]) -> DataFrame:
+    """The k best products per listing: exact set code, language, packaging, then similarity, then id.
 
-    within = best(scored(mine.join(catalog, F.col("category_slug") == F.col("p_category"))), k).withColumn("is_fallback", F.lit(False))
-    held = within.filter("code_hit").select(*key).distinct()
-    prefix = F.col("cls_set_code").rlike(f"^({'|'.join(prefixes)})")
-    lost = mine.filter(prefix).join(held, key, "left_anti")
-    other = scored(lost.join(catalog, F.col("cls_set_code") == F.col("p_set_code")))
-    other = best(other, 1).withColumn("is_fallback", F.lit(True))
-    return best(within.unionByName(other), k, [F.desc("is_fallback")])
+    If no product of the category has the listing's code and the code has a real prefix, the best
+    product with that code of any category comes before them (``is_fallback``).  Pass only the
+    listings that are wanted: nothing here depends on the others."""
+    mine = listings.select(*key, "raw_name", *_ASKED).withColumn("_g", trigrams(F.col("raw_name")))
+    catalog = products.select("product_id", "name_canonical", F.col("category_slug").alias("p_category"), F.col("set_code").alias("p_set_code"), F.col("language").alias("p_language"), F.col("packaging").alias("p_packaging")).withColumn("_p", trigrams(F.col("name_canonical")))
+    within = _best(mine, catalog, key, "category_slug", "p_category", k).withColumn("is_fallback", F.lit(False))
+    held = catalog.select(F.col("p_category").alias("category_slug"), F.col("p_set_code").alias("cls_set_code")).distinct()
+    lost = mine.filter(F.col("category_slug").isNotNull() & F.col("cls_set_code").rlike(f"^({'|'.join(prefixes)})")).join(held, ["category_slug", "cls_set_code"], "left_anti").select(mine.columns)
+    other = _best(lost, catalog, key, "cls_set_code", "p_set_code", 1).withColumn("is_fallback", F.lit(True))
+    order = Window.partitionBy(*key).orderBy(F.desc("is_fallback"), "rank")
+    both = within.unionByName(other).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
+    return both.withColumn("rank", F.col("_place")).drop("_place")
 
 
 def evidence(pairs: DataFrame, singles: DataFrame, ambiguous: Column) -> DataFrame:
@@ -96,23 +118,50 @@ def motive() -> Column:
 
 def rematch(listings: DataFrame, pairs_with_evidence: DataFrame, key: list[str], not_applicable: Column) -> DataFrame:
     """New status of every listing that is not confirmed yet.  Product and score stay with confirmed
-    ones only; a listing without category or candidate is unmatched."""
+    ones only; a listing without category or candidate is unmatched.  Candidates of confirmed
+    listings are not needed: see ``open_listings``."""
     best = pairs_with_evidence.filter("rank = 1").select(*key, decision().alias("_status"), "product_id", "score")
-    open_ones = listings.filter("match_status <> 'confirmed'").withColumn("_out", not_applicable).join(best, key, "left")
+    open_ones = open_listings(listings).withColumn("_out", not_applicable).join(best, key, "left")
     status = F.when(F.col("_out"), "not_applicable").otherwise(F.coalesce("_status", F.lit("unmatched")))
     good = status == "confirmed"
     return open_ones.select(*key, status.alias("new_status"), F.when(good, F.col("product_id")).alias("product_id"), F.when(good, F.col("score")).alias("score"))
 
 
-def catalog_gaps(listings: DataFrame, products: DataFrame, least_stores: int = 2) -> DataFrame:
-    """What at least so many stores sell and the catalog lacks: groups of category, code, language and
-    packaging (nulls are a value) for which no product has category, code and packaging.  The language
-    belongs to the group but not to the check."""
-    keys = ["category_slug", "cls_set_code", "cls_language", "cls_packaging"]
-    groups = listings.groupBy(*keys).agg(F.countDistinct("store_id").alias("n_stores")).filter(F.col("n_stores") >= least_stores)
-    g, p = groups.alias("g"), products.select("category_slug", "set_code", "packaging").distinct().alias("p")
-    same = F.col("g.category_slug").eqNullSafe(F.col("p.category_slug")) & F.col("g.cls_set_code").eqNullSafe(F.col("p.set_code")) & F.col("g.cls_packaging").eqNullSafe(F.col("p.packaging"))
-    return g.join(p, same, "left_anti")
+def open_listings(listings: DataFrame) -> DataFrame:
+    return listings.filter("match_status <> 'confirmed'")
+
+
+def rematched_state(listings: DataFrame, decided: DataFrame, key: list[str]) -> DataFrame:
+    """The listings after ``rematch``: status, product and score (``match_confidence``) are written back
+    to those it decided on, confirmed listings are never touched."""
+    d = decided.select(*(F.col(c).alias(f"_{c}") for c in key), "new_status", F.col("product_id").alias("_product"), F.col("score").alias("_score"), F.lit(True).alias("_done"))
+    joined = listings.join(d, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left")
+    new = {"match_status": "new_status", "product_id": "_product", "match_confidence": "_score"}
+    return joined.select(*(F.when(F.col("_done"), F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in listings.columns))
+
+
+def need_categories(products: DataFrame, category: str = "category_slug") -> DataFrame:
+    """``products``, unless no row has a category: then matching would leave every listing unmatched."""
+    if products.filter(F.col(category).isNotNull()).isEmpty():
+        raise RuntimeError("the catalog has no categories: seed it first")
+    return products
+
+
+def catalog_gaps(listings: DataFrame, products: DataFrame, prefixes: list[str], least_stores: int = 2, kind: str = "category_slug", main_set: str | None = None) -> DataFrame:
+    """What at least so many stores sell and the catalog lacks: groups of ``kind`` (category or type),
+    code, language and packaging (nulls are a value), most stores first if sorted by ``n_stores``.
+
+    A group is no gap if a product of its category has its code and packaging, nor, for codes with a
+    real prefix, if one of any category has.  The language belongs to the group but not to the checks.
+    With ``main_set``, the column's largest value in the group is kept."""
+    keys = list(dict.fromkeys([kind, "category_slug", "cls_set_code", "cls_language", "cls_packaging"]))
+    more = [F.max(main_set).alias(main_set)] if main_set else []
+    g = listings.groupBy(*keys).agg(F.countDistinct("store_id").alias("n_stores"), *more).filter(F.col("n_stores") >= least_stores).alias("g")
+    p = products.select("category_slug", "set_code", "packaging").distinct().alias("p")
+    packaging = F.col("g.cls_packaging").eqNullSafe(F.col("p.packaging"))
+    missing = g.join(p, (F.col("g.category_slug") == F.col("p.category_slug")) & F.col("g.cls_set_code").eqNullSafe(F.col("p.set_code")) & packaging, "left_anti")
+    real = F.col("g.cls_set_code").rlike(f"^({'|'.join(prefixes)})")
+    return missing.join(p, real & (F.col("g.cls_set_code") == F.col("p.set_code")) & packaging, "left_anti")
 
 
 def outside_gaps(listings: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -123,13 +172,24 @@ def outside_gaps(listings: DataFrame, gaps: DataFrame) -> DataFrame:
     return left.join(right, same, "left_anti")
 
 
+def _prefix(names: DataFrame, name: str, frequency: DataFrame, least: float) -> DataFrame:
+    """(name, trigram): of each name's trigrams in order of rarity the first n - floor(least * n), one of
+    which every name more similar than ``least`` has among its own."""
+    grams = names.select(name, F.explode(trigrams(F.col(name))).alias("_g")).join(frequency, "_g")
+    ordered = grams.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("_n", "_g"))).alias("_s"))
+    room = F.size("_s") - F.floor(F.size("_s") * least - 1e-9).cast("int")
+    return ordered.select(name, F.explode(F.transform(F.slice("_s", F.lit(1), room), lambda x: x["_g"])).alias("_g"))
+
+
 def similar_names(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_name: str, right_name: str, least: float) -> DataFrame:
-    """All pairs of names more similar than ``least``, by an inverted index over trigrams: names meet on a
-    shared trigram, and the number of meetings gives the score.  Equal names are compared once.
-    Length filtering keeps out pairs that cannot reach the threshold."""
-    a = left.select(F.col(left_name).alias("_a")).distinct().withColumn("_ga", trigrams(F.col("_a"))).withColumn("_na", F.size("_ga"))
-    b = right.select(F.col(right_name).alias("_b")).distinct().withColumn("_gb", trigrams(F.col("_b"))).withColumn("_nb", F.size("_gb"))
-    met = a.select("_a", "_na", F.explode("_ga").alias("_g")).join(b.select("_b", "_nb", F.explode("_gb").alias("_g")), "_g").filter((F.col("_na") > F.col("_nb") * least) & (F.col("_nb") > F.col("_na") * least))
-    scores = met.groupBy("_a", "_b", "_na", "_nb").agg(F.count("*").alias("_both")).withColumn("score", F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).filter(F.col("score") > least)
-    names = left.select(left_id, F.col(left_name).alias("_a")).join(scores.select("_a", "_b", "score"), "_a")
+    """All pairs of names more similar than ``least``, by an inverted index over each name's rare
+    trigrams; names that meet there are compared in full.  Equal names are compared once.  Names
+    without trigrams are similar to nothing."""
+    a, b = left.select(F.col(left_name).alias("_a")).distinct(), right.select(F.col(right_name).alias("_b")).distinct()
+    frequency = a.select(F.explode(trigrams(F.col("_a"))).alias("_g")).unionAll(b.select(F.explode(trigrams(F.col("_b"))))).groupBy("_g").agg(F.count("*").alias("_n"))
+    met = _prefix(a, "_a", frequency, least).join(_prefix(b, "_b", frequency, least), "_g").select("_a", "_b").distinct()
+    score = similarity(F.col("_ga"), F.col("_gb"))
+    sized = met.withColumn("_ga", trigrams(F.col("_a"))).withColumn("_gb", trigrams(F.col("_b")))
+    scores = sized.select("_a", "_b", score.alias("score")).filter(F.col("score") > least)
+    names = left.select(left_id, F.col(left_name).alias("_a")).join(scores, "_a")
     return names.join(right.select(right_id, F.col(right_name).alias("_b")), "_b").select(left_id, right_id, "score")
