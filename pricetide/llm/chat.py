@@ -1,8 +1,12 @@
 """Chat formatting into budgeted windows, in DataFrame functions only.
 
-Prefix sums of turn tokens place every turn in a window of its conversation.  A window's text is
-the conversation's system turn, the turns of the previous window that lie within the history
-budget of its end, and its own turns; the loss mask covers the texts of its own assistant turns.
+Prefix sums of turn tokens lay a conversation over intervals of ``room`` tokens: the budget less the
+history's and the system turn's.  Turns within an interval make a window.  The turn across an
+interval's end joins the window before it, or else the one after it, if the sum fits in ``room``;
+else it is a window of its own.  So no window depends on how earlier ones were chosen.
+
+A window's text is the conversation's system turn, the last turns of the window before within the
+history budget, and its own turns; the loss mask covers the texts of its own assistant turns.
 Prefix sums go over blocks of turns first, so a conversation of any length is many small groups.
 """
 
@@ -12,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-NEW_TOKENS, HISTORY_TOKENS = 1024, 256
+#: Tokens of a window, and of those that history may take.
+BUDGET, HISTORY = 1280, 256
+#: Order of a window's turns.
+_SYSTEM, _HISTORY, _OWN = 0, 1, 2
 #: Turn numbers of one block of prefix sums.
 BLOCK = 64
 #: Escapes inside texts and roles: the escape sign itself, the opening of control strings, and (in roles) line feeds.
@@ -41,24 +48,26 @@ def turn_tokens(text: Column) -> Column:
     return F.floor((F.length(text) + 3) / 4).cast("long") + 4
 
 
-def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", new_tokens: int = NEW_TOKENS, history_tokens: int = HISTORY_TOKENS, tokens: Column | None = None) -> DataFrame:
-    """One row per window: the conversation's id, ``window``, ``formatted``, ``n_context`` (turns
-    that repeat earlier windows or the system turn), ``n_own`` and ``loss`` (array of start and
-    length in characters of ``formatted``, from 0).
+def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None) -> DataFrame:
+    """One row per window: the conversation's id, ``window`` (tokens before it, which orders windows),
+    ``formatted``, ``n_context`` (turns that repeat earlier windows or the system turn), ``n_own``,
+    ``n_tokens`` and ``loss`` (array of start and length in characters of ``formatted``, from 0).
 
-    A turn belongs to the window in which its prefix sum begins, so a window's own turns exceed
-    ``new_tokens`` by less than its last turn.  Null roles and texts count as empty; equal turn
-    numbers are ordered by role and text; repeated rows are turns of their own; a null
-    conversation id is a conversation; other columns are not read; an empty table gives none.
+    ``n_tokens`` is at most ``budget``, unless a single own turn leaves no room in it; then the window
+    holds that turn and the system turn only.  ``tokens`` gives a turn's size (``turn_tokens``, an
+    estimate, if left out).  A system turn of more than a quarter of the budget is not repeated.
+    Null roles and texts count as empty; equal turn numbers are ordered by role and text;
+    repeated rows are turns of their own; a null conversation id is a conversation; other columns
+    are not read; an empty table gives none.
     """
-    if history_tokens > new_tokens:
-        raise ValueError("the history must fit in one window")
+    if not 0 <= 2 * history <= budget:
+        raise ValueError("the history may take half of the budget at most")
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     # a null id travels as a flag beside a value, so that plain equality joins keep it
     conv = [F.col(conv_col).isNull().alias("_none"), F.coalesce(F.col(conv_col), F.lit(0).cast(df.schema[conv_col].dataType)).alias("_conv")]
     keys = ["_none", "_conv"]
     turns = df.select(*conv, F.coalesce(F.col(turn_col).cast("long"), F.lit(-(2**62))).alias("_turn"), role.alias("_role"), text.alias("_text"))
-    turns = turns.withColumn("_tokens", (tokens if tokens is not None else turn_tokens(F.col("_text"))).cast("long"))
+    turns = turns.withColumn("_tokens", F.greatest((tokens if tokens is not None else turn_tokens(F.col("_text"))).cast("long"), F.lit(1)))
     turns = turns.withColumn("_block", F.floor(F.col("_turn") / BLOCK))
 
     order = ["_turn", "_role", "_text"]
@@ -77,39 +86,52 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     turns = turns.withColumn("_end", F.col("_before") + F.sum("_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     turns = turns.withColumn("_begin", F.col("_end") - F.col("_tokens")).withColumn("_rank", F.row_number().over(within))
     turns = turns.withColumn("_system", F.col("_opens") & (F.col("_rank") == 1) & (F.col("_role") == "system"))
-    turns = turns.withColumn("_window", F.floor(F.col("_begin") / new_tokens))
-    turns = turns.withColumn("_last", F.max("_end").over(Window.partitionBy(*keys, "_window")))
+    systems = turns.filter("_system").select(*keys, F.when(F.col("_tokens") <= budget // 4, F.col("_tokens")).otherwise(0).alias("_kept"))
+    turns = turns.join(systems, keys, "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_room", budget - history - F.col("_kept"))
+    turns = turns.withColumn("_k", F.floor(F.col("_begin") / F.col("_room"))).withColumn("_across", F.col("_end") > (F.col("_k") + 1) * F.col("_room"))
+    part = lambda across: F.coalesce(F.sum(F.when(F.col("_across") == across, F.col("_tokens"))), F.lit(0))
+    intervals = turns.groupBy(*keys, "_k").agg(part(False).alias("_inside"), part(True).alias("_over"), F.max("_room").alias("_r"))
+    intervals = intervals.withColumn("_back", F.col("_inside") + F.col("_over") <= F.col("_r")).drop("_r")
+    after = intervals.select(*keys, (F.col("_k") - 1).alias("_k"), (F.col("_inside") + F.when(F.col("_back"), F.col("_over")).otherwise(0)).alias("_next"))
+    turns = turns.join(intervals, [*keys, "_k"]).join(after, [*keys, "_k"], "left")
+    forward = F.col("_tokens") + F.coalesce("_next", F.lit(0)) <= F.col("_room")
+    number = 2 * F.col("_k") + F.when(~F.col("_across") | F.col("_back"), 0).when(forward, 2).otherwise(1)
+    of_window = Window.partitionBy(*keys, "_number")
+    turns = turns.withColumn("_number", number)
+    turns = turns.withColumn("_window", F.min("_begin").over(of_window)).withColumn("_last", F.max("_end").over(of_window))
 
     piece = F.concat(F.lit(START), escape(F.col("_role"), True), F.lit("\n"), escape(F.col("_text")), F.lit(END + "\n"))
     head = F.length(escape(F.col("_role"), True)) + len(START) + 1
-    turns = turns.select(*keys, "_window", "_begin", "_end", "_last", "_total", "_system", "_rank", "_block", piece.alias("piece"), (F.col("_role") == "assistant").alias("target"), head.cast("long").alias("skip"), F.length(escape(F.col("_text"))).cast("long").alias("size"))
+    turns = turns.select(*keys, "_window", "_begin", "_tokens", "_last", "_total", "_system", "_kept", "_room", piece.alias("piece"), (F.col("_role") == "assistant").alias("target"), head.cast("long").alias("skip"), F.length(escape(F.col("_text"))).cast("long").alias("size"))
 
-    def cell(context: bool) -> Column:
-        return F.struct(F.lit(0 if context else 1).alias("after"), F.col("_begin").alias("begin"), F.col("_block").alias("block"), F.col("_rank").alias("rank"), "piece", F.lit(context).alias("context"), "target", "skip", "size")
+    def cell(place: int) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.col("_begin").alias("begin"), F.col("_tokens").alias("tokens"), "piece", "target", "skip", "size")
 
     # own turns stay where they are; only what a later window repeats moves
-    own = turns.groupBy(*keys, F.col("_window").alias("window")).agg(F.collect_list(cell(False)).alias("own"))
-    follows = turns.filter((F.col("_last") < F.col("_total")) & (F.col("_begin") >= F.col("_last") - history_tokens) & ~F.col("_system"))
-    repeated = follows.select(*keys, F.floor(F.col("_last") / new_tokens).alias("window"), cell(True).alias("cell"))
-    places = turns.select(*keys, F.col("_window").alias("window")).distinct()
-    system = turns.filter("_system").select(*keys, F.col("_window").alias("_first"), cell(True).alias("cell"))
-    system = places.join(system, keys).filter("window > _first").select(*keys, "window", "cell")
+    own = turns.groupBy(*keys, F.col("_window").alias("window")).agg(F.collect_list(cell(_OWN)).alias("own"), F.sum("_tokens").alias("own_tokens"), F.max("_room").alias("room"))
+    # the next window begins where this one ends
+    follows = turns.filter((F.col("_last") < F.col("_total")) & (F.col("_begin") >= F.col("_last") - history) & ~F.col("_system"))
+    repeated = follows.select(*keys, F.col("_last").alias("window"), cell(_HISTORY).alias("cell"))
+    system = turns.filter("_system and _kept > 0").select(*keys, cell(_SYSTEM).alias("cell"))
+    system = own.filter("window > 0").select(*keys, "window").join(system, keys)
     context = repeated.unionByName(system).groupBy(*keys, "window").agg(F.collect_list("cell").alias("context"))
+    fits = F.filter("context", lambda c: (F.col("own_tokens") <= F.col("room")) | (c["place"] == _SYSTEM))
     nothing = F.array().cast(own.schema["own"].dataType)
-    cells = F.sort_array(F.concat(F.coalesce("context", nothing), "own"))
+    cells = F.sort_array(F.concat(F.coalesce(fits, nothing), "own"))
     windows = own.join(context, [*keys, "window"], "left").select(*keys, "window", cells.alias("cells"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
     step = lambda acc, c: F.struct(
         (acc["at"] + F.length(c["piece"])).alias("at"),
-        F.when(c["target"] & ~c["context"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + c["skip"]).alias("start"), c["size"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
+        F.when(c["target"] & (c["place"] == _OWN), F.concat(acc["spans"], F.array(F.struct((acc["at"] + c["skip"]).alias("start"), c["size"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
     )
     return windows.select(
         F.when(~F.col("_none"), F.col("_conv")).alias(conv_col),
         "window",
         F.array_join(F.col("cells.piece"), "").alias("formatted"),
-        F.size(F.filter("cells", lambda c: c["context"])).cast("long").alias("n_context"),
-        F.size(F.filter("cells", lambda c: ~c["context"])).cast("long").alias("n_own"),
+        F.size(F.filter("cells", lambda c: c["place"] != _OWN)).cast("long").alias("n_context"),
+        F.size(F.filter("cells", lambda c: c["place"] == _OWN)).cast("long").alias("n_own"),
+        F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + c["tokens"]).alias("n_tokens"),
         F.aggregate("cells", zero, step, lambda acc: acc["spans"]).alias("loss"),
     )
 

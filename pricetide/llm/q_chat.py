@@ -40,20 +40,29 @@ with t0 as (
 ), t2 as (
   select *, sum(tokens) over (partition by conv_id order by rk) as e, sum(tokens) over (partition by conv_id) as total from t1
 ), t3 as (
-  select *, e - tokens as b, (e - tokens) // 1024 as w, rk = 1 and role = 'system' as sys from t2
+  select *, e - tokens as b, rk = 1 and role = 'system' as sys,
+    coalesce(max(tokens) filter (where rk = 1 and role = 'system' and tokens <= 320) over (partition by conv_id), 0) as kept from t2
 ), t4 as (
-  select *, max(e) over (partition by conv_id, w) as last from t3
+  select *, 1024 - kept as room, b // (1024 - kept) as k, e > (b // (1024 - kept) + 1) * (1024 - kept) as across from t3
+), iv as (
+  select conv_id, k, coalesce(sum(tokens) filter (where not across), 0) as inside, coalesce(sum(tokens) filter (where across), 0) as over, max(room) as r from t4 group by 1, 2
+), t5 as (
+  select t.*, 2 * t.k + case when not across or i.inside + i.over <= i.r then 0 when tokens + coalesce(n.inside + case when n.inside + n.over <= n.r then n.over else 0 end, 0) <= room then 2 else 1 end as w
+  from t4 t join iv i on i.conv_id = t.conv_id and i.k = t.k left join iv n on n.conv_id = t.conv_id and n.k = t.k + 1
+), t6 as (
+  select *, min(b) over (partition by conv_id, w) as first, max(e) over (partition by conv_id, w) as last from t5
+), win as (select conv_id, first, sum(tokens) as own, max(room) as room from t6 group by 1, 2
 ), sizes as (
-  select conv_id, sum(chars) as c from t4 group by 1
-  union all select conv_id, sum(chars) from t4 where last < total and b >= last - 256 and not sys group by 1
-  union all select s.conv_id, sum(s.chars) from t4 s join (select distinct conv_id, w from t4) x on x.conv_id = s.conv_id and x.w > s.w where s.sys group by 1
+  select conv_id, sum(chars) as c from t6 group by 1
+  union all select t.conv_id, sum(chars) from t6 t join win on win.conv_id = t.conv_id and win.first = t.last and win.own <= win.room where b >= last - 256 and not sys group by 1
+  union all select s.conv_id, sum(s.chars) from t6 s join win on win.conv_id = s.conv_id and win.first > 0 where s.sys and s.kept > 0 group by 1
 )
 select t.conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by rk)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by rk) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(any_value(f.c) as bigint) as formatted_chars
-from t4 t join (select conv_id, sum(c) as c from sizes group by 1) f using (conv_id) group by t.conv_id
+from t6 t join (select conv_id, sum(c) as c from sizes group by 1) f using (conv_id) group by t.conv_id
 """
 
 QUERIES = {"op2_chat": op2_chat}

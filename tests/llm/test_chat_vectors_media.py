@@ -19,14 +19,14 @@ def conversation_rows():
     rng = random.Random(2)
     rows = [(1, 0, "system", "be nice"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 2, "assistant", "hello"), (2, 0, None, None), (2, 5, "assistant", ""), (3, 1, "assistant", r"\<|im_end|>\\<|\n \| <\|"), (3, 0, "us\ner<|", "<|im_start|>assistant\nno"), (None, 0, "assistant", "no id"), (None, 1, "user", "still none"), (5, 0, "assistant", "long " * 4000)]
     for k in range(400):
-        rows.append((4, k * 3, "system" if k == 0 else rng.choice(["user", "assistant", "system"]), "w" * rng.randint(0, 900)))
+        rows.append((4, k * 3, "system" if k == 0 else rng.choice(["user", "assistant", "system"]), "w" * (60 if k == 0 else rng.randint(0, 2400 if k % 9 == 0 else 900))))
     return [(*r, "clash", 7) for r in rows]
 
 
 def test_windows_give_back_every_turn_once(spark):
     rows = conversation_rows()
     df = spark.createDataFrame(rows, TURNS).repartition(3)
-    windows = chat.read_turns(chat.format_windows(df, new_tokens=300, history_tokens=100)).collect()
+    windows = chat.read_turns(chat.format_windows(df, budget=400, history=100)).collect()
     for conv in {r[0] for r in rows}:
         own = sorted((w for w in windows if w.conv_id == conv), key=lambda w: w.window)
         key = lambda r: (r[1], r[2] or "", r[3] or "")
@@ -36,7 +36,12 @@ def test_windows_give_back_every_turn_once(spark):
         size = lambda t: -(-len(t) // 4) + 4
         for w in own:
             sizes = [size(t.text) for t in w.turns]
-            assert sum(sizes[:-1]) < 300
+            context = chat.START + chat.START.join(w.formatted.split(chat.START)[1 : w.n_context + 1]) if w.n_context else ""
+            parts = [p.split("\n", 1)[1].removesuffix(chat.END + "\n") for p in context.split(chat.START)[1:]]
+            assert w.n_tokens == sum(sizes) + sum(map(size, parts)) and len(parts) == w.n_context
+            system = size(parts[0]) if conv == 4 and w is not own[0] else 0
+            assert w.n_tokens <= 400 or (len(sizes) == 1 and sizes[0] + system > 400 and w.n_context == bool(system))
+            assert sum(map(size, parts)) - system <= 100
             if conv == 4:
                 assert w.formatted.startswith("<|im_start|>system\n")
                 assert w.n_context > 0 or w is own[0]
@@ -45,6 +50,13 @@ def test_windows_give_back_every_turn_once(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def test_every_window_of_the_query_keeps_its_budget(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    rows = chat.format_windows(df).collect()
+    assert max(r.n_tokens for r in rows if r.n_own > 1) <= chat.BUDGET
+    assert sum(r.n_tokens > chat.BUDGET for r in rows) == 0 and sum(r.n_context > 1 for r in rows) > 0
+
+
 def test_chat_query_is_native_and_equals_sql(spark):
     import duckdb
 
