@@ -29,6 +29,15 @@ class ProductFilters:
     limit: int = 20
 
 
+def category_nodes(categories: DataFrame) -> DataFrame:
+    """Roots of the category tree (id, name, slug, parent_id) with their children by name; categories whose
+    parent does not exist are dropped."""
+    child = F.struct("name", "id", "slug")
+    children = categories.filter("parent_id is not null").groupBy("parent_id").agg(F.sort_array(F.collect_list(child)).alias("children"))
+    roots = categories.filter("parent_id is null").drop("parent_id").join(children, F.col("id") == F.col("parent_id"), "left").drop("parent_id")
+    return roots.withColumn("children", F.coalesce("children", F.array().cast(children.schema["children"].dataType)))
+
+
 def confirmed_aggregates(listings: DataFrame) -> DataFrame:
     """Per product: lowest price, stores, whether any store has it; confirmed listings only.  The
     aggregate stands below every join, so partial sums leave the scan and not its rows."""

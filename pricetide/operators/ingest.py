@@ -6,7 +6,7 @@ the old one (``sources.sinks``); nothing is updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import tables as t
@@ -17,8 +17,13 @@ WIDTHS = {"store_sku": 255, "raw_name": 500, "raw_variant": 255}
 STOCK = ["disponible", "agotado", "desconocido"]
 
 
-def valid_rows(rows: DataFrame) -> DataFrame:
-    """Rows with a URL and a name, texts cut to their columns' widths, stock in the known words."""
+def valid_rows(rows: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Rows with a URL and a name, texts cut to their columns' widths, stock in the known words.  An
+    observation counts rows ``dropped``, and texts ``cut`` among the rows kept."""
+    if observation is not None:
+        good = (F.coalesce("store_url", F.lit("")) != "") & (F.coalesce("raw_name", F.lit("")) != "")
+        cut = sum((F.coalesce(F.length(c) > w, F.lit(False)).cast("long") for c, w in WIDTHS.items() if c in rows.columns), F.lit(0))
+        rows = rows.observe(observation, F.count_if(~good).alias("dropped"), F.coalesce(F.sum(F.when(good, cut)), F.lit(0)).alias("cut"))
     rows = rows.filter((F.coalesce("store_url", F.lit("")) != "") & (F.coalesce("raw_name", F.lit("")) != ""))
     for name, width in WIDTHS.items():
         if name in rows.columns:
@@ -90,14 +95,17 @@ def expand_catalog(releases: DataFrame, name: str = "name", code: str = "code",
     return rows.select(F.concat_ws(" ", F.col("_v.name"), first_code, F.col("language")).alias("name_canonical"), F.col("_v.packaging").alias("packaging"), "language", F.col(category).alias("category_slug"), first_code.alias("code"))
 
 
-def seed_actions(catalog: DataFrame, seed: DataFrame, key: list[str], derived: list[str]) -> DataFrame:
-    """What a seed does to each of its rows: inserted, updated (a derived column differs) or same."""
+def seed_actions(catalog: DataFrame, seed: DataFrame, key: list[str], derived: list[str], known: Column | None = None) -> DataFrame:
+    """What a seed does to each of its rows: skipped (not ``known``: its category is not in the catalog),
+    inserted, updated (a derived column differs) or same.  The seed's rows of the first two kinds,
+    put over the catalog's by ``merge_snapshot``, are the merged state."""
     c, s = catalog.alias("c"), seed.alias("s")
     same = F.lit(True)
     for d in derived:
         same = same & F.col(f"c.{d}").eqNullSafe(F.col(f"s.{d}"))
     joined = s.join(c, [F.col(f"c.{k}") == F.col(f"s.{k}") for k in key], "left")
-    action = F.when(F.col(f"c.{key[0]}").isNull(), "inserted").when(same, "same").otherwise("updated")
+    skipped = F.lit(False) if known is None else ~F.coalesce(known, F.lit(False))
+    action = F.when(skipped, "skipped").when(F.col(f"c.{key[0]}").isNull(), "inserted").when(same, "same").otherwise("updated")
     return joined.select("s.*", action.alias("action"))
 
 

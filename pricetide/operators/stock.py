@@ -38,11 +38,11 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def failure_runs(runs: DataFrame, key: str, time: str, tie: str, failed: str, threshold: int = 3, pause_seconds: int = 1800) -> DataFrame:
     """Consecutive failures at each run (a success starts anew) and, from the threshold on, until when
-    the store is left alone."""
+    the store is left alone.  A run that is neither (null) changes nothing."""
     order = Window.partitionBy(key).orderBy(time, tie)
     runs = runs.withColumn("_island", F.sum(F.when(~F.col(failed), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     count = F.sum(F.col(failed).cast("long")).over(Window.partitionBy(key, "_island").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0))
-    runs = runs.withColumn("failures", count).drop("_island")
+    runs = runs.withColumn("failures", F.coalesce(count, F.lit(0))).drop("_island")
     return runs.withColumn("backoff_until", F.when(F.col(failed) & (F.col("failures") >= threshold), F.col(time) + F.make_dt_interval(secs=F.lit(pause_seconds))))
 
 

@@ -13,8 +13,8 @@ from pricetide.functions.prices import parse_minor_units, parse_price
 
 _SHOPIFY = "products array<struct<id:bigint,title:string,handle:string,tags:string,images:array<struct<src:string>>,variants:array<struct<title:string,price:string,available:boolean,sku:string>>>>"
 _WOO = "array<struct<id:bigint,name:string,permalink:string,sku:string,categories:array<struct<slug:string>>,prices:struct<price:string,currency_minor_unit:int>,is_in_stock:boolean,stock_status:string,images:array<struct<src:string>>>>"
-_JSONLD = "`@type` string, name string, sku string, offers string"
-_OFFER = "price string, availability string, offers string"
+_JSONLD = "struct<`@type`:string,name:string,sku:string,gtin:string,gtin8:string,gtin12:string,image:string,offers:string>"
+_OFFER = "struct<price:string,lowPrice:string,availability:string,offers:string>"
 
 
 def _stock(available: Column) -> Column:
@@ -56,7 +56,26 @@ def clean_markup(c: Column) -> Column:
 
 
 def looks_truncated(name: Column) -> Column:
-    return name.rlike(r"(\.\s*){2,}$|…")
+    """Ends in an ellipsis; one elsewhere in the name means nothing."""
+    return name.rlike(r"(\.\s*){2,}$|…\s*$")
+
+
+def _text(markup: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
+
+
+def page_title(html: Column) -> Column:
+    """The title of a product's own page: the first product title or main heading, leaked markup cut off."""
+    return clean_markup(_text(found(html, r"(?is)<(?:h1[^>]*|[a-z0-9]+[^>]*\bproduct_title\b[^>]*)>(.*?)</(?:h1|h2|div|p)>")))
+
+
+def resolve_truncated(rows: DataFrame, pages: DataFrame, url: str = "url", html: str = "html", name: str = "name") -> DataFrame:
+    """``rows`` with cut names replaced by the titles of their own pages, where one is landed (a page per
+    URL; of several the largest title).  Only rows with cut names meet pages."""
+    titles = pages.select(F.col(url).alias("_url"), page_title(F.col(html)).alias("_title")).groupBy("_url").agg(F.max("_title").alias("_title"))
+    asked = F.when(looks_truncated(F.col(name)), F.col(url))
+    joined = rows.withColumn("_asked", asked).join(titles, F.col("_asked") == F.col("_url"), "left")
+    return joined.withColumn(name, F.coalesce("_title", name)).select(rows.columns)
 
 
 def last_money(text: Column) -> Column:
@@ -67,14 +86,14 @@ def last_money(text: Column) -> Column:
 def stock_from_words(text: Column) -> Column:
     """Stock from a card's words: what denies it counts before what states it."""
     low = F.lower(text)
-    return first_case([(contains_any(low, ["agotado", "sin stock", "no disponible", "out of stock"]), F.lit("agotado")), (contains_any(low, ["disponible", "en stock", "in stock", "añadir"]), F.lit("disponible"))], F.lit("desconocido"))
+    return first_case([(contains_any(low, ["agotado", "sin stock", "no disponible", "out of stock", "sold out"]), F.lit("agotado")), (contains_any(low, ["disponible", "en stock", "in stock", "añadir"]), F.lit("disponible"))], F.lit("desconocido"))
 
 
 #: How shop platforms mark a product card in a list page, and its id.
 CARDS = {
     "woocommerce": (r"(?is)<li[^>]*class=\"[^\"]*\bproduct\b[^\"]*\"[^>]*>.*?</li>", r"(?i)data-product_id=\"(\d+)\""),
     "prestashop": (r"(?is)<article[^>]*product-miniature[^>]*>.*?</article>", r"(?i)data-id-product=\"(\d+)\""),
-    "opencart": (r"(?is)<div[^>]*product-thumb[^>]*>.*?(?=<div[^>]*product-thumb|$)", r"(?i)product_id=(\d+)"),
+    "opencart": (r"(?is)<div[^>]*product-(?:thumb|layout)[^>]*>.*?(?=<div[^>]*product-(?:thumb|layout)|$)", r"(?i)product_id=(\d+)"),
 }
 
 
@@ -82,7 +101,8 @@ def html_cards(df: DataFrame, platform: str, html: str = "html") -> DataFrame:
     """One row per product card of list pages: id, name, url, price, stock; the first card of each id.
 
     The price is the inserted one of a reduction, else the last amount in the card.  Stock comes
-    from the card's classes or else its words.  Cards without a name or a link are left out."""
+    from the card's classes or else its words.  Cards without a name or a link are left out.  Cards are
+    cut by patterns up to their first closing tag, so a list item or article inside a card ends it."""
     card, own_id = CARDS[platform]
     c = df.select(*df.drop(html).columns, F.posexplode(F.regexp_extract_all(html, F.lit(card), F.lit(0))).alias("_at", "_card"))
     text = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))
@@ -101,25 +121,62 @@ def next_page(html: Column) -> Column:
     return F.coalesce(found(html, r"(?i)<a[^>]*class=\"[^\"]*next[^\"]*\"[^>]*href=\"([^\"]+)\""), found(html, r"(?i)<a[^>]*rel=\"next\"[^>]*href=\"([^\"]+)\""), found(html, r"(?i)<link[^>]*rel=\"next\"[^>]*href=\"([^\"]+)\""))
 
 
+def _listed(c: Column, kind: str) -> Column:
+    """A JSON text as an array: a list's entries, or the one object."""
+    return F.when(F.ltrim(c).startswith("["), F.from_json(c, f"array<{kind}>")).otherwise(F.array(F.from_json(c, kind)))
+
+
+def availability(c: Column, missing: str) -> Column:
+    """Stock from a schema.org availability: only these two words deny it, any other one means it can be had."""
+    low = F.nullif(F.lower(c), F.lit(""))
+    return first_case([(low.isNull(), F.lit(missing)), (contains_any(low, ["outofstock", "discontinued"]), F.lit("agotado"))], F.lit("disponible"))
+
+
 def json_ld(df: DataFrame, html: str = "html", strict: bool = False) -> DataFrame:
-    """Product data of pages with a JSON-LD product (the first one); pages without one are left out.
+    """Product data of pages with a JSON-LD product (the first one, alone or in a list); pages without
+    one are left out.
 
-    ``strict``: the type must be exactly Product and a missing availability means in stock; else
-    the type's case does not matter and a missing availability is unknown."""
+    ``strict``: the type must be exactly Product, the first offer alone counts, and a missing
+    availability means in stock.  Else the type's case does not matter; an offer nested in the first
+    one gives price and availability where that has none, ``lowPrice`` stands in for the price, a span
+    of class availability or a meta tag for the availability; and if all are missing it is unknown."""
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    parsed = F.transform(scripts, lambda s: F.from_json(s, _JSONLD))
+    entries = F.flatten(F.transform(scripts, lambda s: F.coalesce(_listed(s, _JSONLD), F.array().cast(f"array<{_JSONLD}>"))))
     kind = (lambda x: x["@type"] == "Product") if strict else (lambda x: F.lower(x["@type"]) == "product")
-    d = df.withColumn("_p", F.get(F.filter(parsed, lambda x: F.coalesce(kind(x), F.lit(False))), 0)).filter("_p is not null")
-
-    def offer(c: Column) -> Column:  # an object, a list, or either nested once more
-        one = F.when(c.startswith("["), F.get(F.from_json(c, f"array<struct<{_OFFER.replace(' string', ':string')}>>"), 0)).otherwise(F.from_json(c, _OFFER))
-        return one
-
-    d = d.withColumn("_o", offer(F.col("_p.offers")))
-    d = d.withColumn("_o", F.when(F.col("_o.offers").isNotNull(), offer(F.col("_o.offers"))).otherwise(F.col("_o")))
-    seen = F.lower("_o.availability")
-    stock = first_case([(seen.isNull(), F.lit("disponible" if strict else "desconocido")), (contains_any(seen, ["outofstock", "soldout", "discontinued"]), F.lit("agotado")), (contains_any(seen, ["instock", "limitedavailability", "preorder", "onlineonly"]), F.lit("disponible"))], F.lit("desconocido"))
-    return d.select(*df.drop(html).columns, F.trim("_p.name").alias("name"), F.col("_p.sku").alias("sku"), parse_price(F.col("_o.price")).alias("price"), stock.alias("stock_status"))
+    d = df.withColumn("_p", F.get(F.filter(entries, lambda x: F.coalesce(kind(x), F.lit(False))), 0)).filter("_p is not null")
+    d = d.withColumn("_o", F.get(_listed(F.col("_p.offers"), _OFFER), 0))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    if strict:
+        price, seen, code = some("_o.price"), F.col("_o.availability"), F.coalesce(some("_p.gtin"), some("_p.sku"))
+    else:
+        d = d.withColumn("_i", F.get(_listed(F.col("_o.offers"), _OFFER), 0))
+        price = F.coalesce(some("_o.price"), some("_i.price"), some("_o.lowPrice"))
+        page, span = F.col(html), r"(?is)<span[^>]*class=\"(?:[^\"]*\s)?availability(?:\s[^\"]*)?\"[^>]*>(.*?)</span>"
+        meta = F.coalesce(found(page, r"(?is)<meta[^>]*property=\"product:availability\"[^>]*content=\"([^\"]*)\""), found(page, r"(?is)<meta[^>]*content=\"([^\"]*)\"[^>]*property=\"product:availability\""))
+        beside = F.when(page.rlike(span), _text(found(page, span))).otherwise(F.replace(meta, F.lit(" "), F.lit("")))
+        seen = F.coalesce(some("_o.availability"), some("_i.availability"), beside)
+        code = F.coalesce(some("_p.sku"), some("_p.gtin"), some("_p.gtin8"), some("_p.gtin12"))
+    return d.select(*df.drop(html).columns, F.trim("_p.name").alias("name"), code.alias("sku"), parse_price(price).alias("price"), availability(seen, "disponible" if strict else "desconocido").alias("stock_status"), F.col("_p.image").alias("image_url"))
+
+
+def prestashop_detail(df: DataFrame, html: str = "html") -> DataFrame:
+    """Name, price and stock of product pages with microdata; pages without a price in it are left out."""
+    page = F.col(html)
+    tag = lambda p: found(page, rf"(?is)(<[^>]*itemprop=[\"']?{p}[\"'\s>][^>]*>?[^<]*)")
+    attribute = lambda t, a: found(t, rf"(?is){a}=[\"']([^\"']*)[\"']")
+    d = df.withColumn("_price", tag("price")).withColumn("_seen", tag("availability")).filter("_price is not null")
+    seen = F.coalesce(attribute(F.col("_seen"), "href"), _text(F.col("_seen")))
+    stock = F.when(F.coalesce(seen, F.lit("")) != "", availability(seen, "desconocido")).when(page.rlike(r"(?is)class=\"(?:[^\"]*\s)?product-available[\s\"]"), "disponible").otherwise("desconocido")
+    return d.select(*df.drop(html).columns, _text(found(page, r"(?is)<h1[^>]*>(.*?)</h1>")).alias("name"), parse_price(F.coalesce(attribute(F.col("_price"), "content"), _text(F.col("_price")))).alias("price"), stock.alias("stock_status"))
+
+
+def opencart_detail(df: DataFrame, html: str = "html") -> DataFrame:
+    """Name and last price of product pages; stock is never guessed there.  Pages without a price are left
+    out.  The price's element is read up to its closing list, paragraph or division."""
+    page = F.col(html)
+    d = df.withColumn("_price", _text(found(page, r"(?is)class=\"(?:[^\"]*\s)?price(?:\s[^\"]*)?\"[^>]*>(.*?)</(?:p|div|ul|h[1-6])>"))).filter("_price is not null")
+    name = F.regexp_replace(_text(found(page, r"(?is)<h1[^>]*>(.*?)</h1>")), r"(?i)^Clic para ampliar\s*", "")
+    return d.select(*df.drop(html).columns, name.alias("name"), F.coalesce(last_money(F.col("_price")), parse_price(F.col("_price"))).alias("price"), F.lit("desconocido").alias("stock_status"))
 
 
 def sitemap(df: DataFrame, xml: str = "xml", only_products: bool = False) -> DataFrame:

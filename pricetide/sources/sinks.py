@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 PRODUCT_FIELDS = ["store", "platform", "id_product", "name", "variant", "product_type", "main_set", "set_code", "language", "price", "stock_status", "url", "sku", "image_url"]
 
+FAILED_STORE_FIELDS = ["store", "platform", "reason"]
+
+
+def camel(df: DataFrame) -> DataFrame:
+    """Columns named as interfaces outside want them: camelCase."""
+    name = lambda c: c.split("_")[0] + "".join(x.capitalize() for x in c.split("_")[1:])
+    return df.toDF(*map(name, df.columns))
+
 
 def write_csv(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
     (df.select(*fields) if fields else df).write.mode("overwrite").option("header", True).csv(path)

@@ -2,8 +2,10 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from pricetide.functions import times
 from pricetide.operators import catalog, changes, ingest, matching, stock
 from pricetide.sources import payloads, sinks
 
@@ -97,10 +99,10 @@ def test_fan_out_plans_no_nested_loop(spark):
 
 def test_failures(spark):
     t0 = dt.datetime(2024, 1, 1)
-    runs = spark.createDataFrame([(1, t0 + dt.timedelta(hours=k), k, f) for k, f in enumerate([True, True, False, True, True, True])], "s int, ts timestamp, id int, failed boolean")
+    runs = spark.createDataFrame([(1, t0 + dt.timedelta(hours=k), k, f) for k, f in enumerate([True, True, False, True, None, True, True])], "s int, ts timestamp, id int, failed boolean")
     out = stock.failure_runs(runs, "s", "ts", "id", "failed").orderBy("id").collect()
-    assert [r.failures for r in out] == [1, 2, 0, 1, 2, 3]
-    assert [r.backoff_until for r in out][:5] == [None] * 5 and out[5].backoff_until == t0 + dt.timedelta(hours=5, minutes=30)
+    assert [r.failures for r in out] == [1, 2, 0, 1, 1, 2, 3]
+    assert [r.backoff_until for r in out][:5] == [None] * 5 and out[6].backoff_until == t0 + dt.timedelta(hours=6, minutes=30)
 
 
 def test_reviews(spark):
@@ -113,15 +115,74 @@ def test_reviews(spark):
 
 
 def test_payload_details(spark):
-    texts = spark.createDataFrame([("a<b class='x'>leak", "Price 20,00 € 15,50 €", "Sin stock disponible", "Long name..."), ("plain", "none", "hmm", "fine")], "a string, b string, c string, d string")
+    texts = spark.createDataFrame([("a<b class='x'>leak", "Price 20,00 € 15,50 €", "Sin stock disponible", "Long name..."), ("plain", "none", "hmm", "fi … ne"), ("x", "none", "SOLD OUT", "cut … ")], "a string, b string, c string, d string")
     got = texts.select(payloads.clean_markup(F.col("a")).alias("a"), payloads.last_money(F.col("b")).alias("b"), payloads.stock_from_words(F.col("c")).alias("c"), payloads.looks_truncated(F.col("d")).alias("d")).collect()
-    assert [tuple(r) for r in got] == [("a", 15.5, "agotado", True), ("plain", None, "desconocido", False)]
+    assert [tuple(r) for r in got] == [("a", 15.5, "agotado", True), ("plain", None, "desconocido", False), ("x", None, "agotado", True)]
     page = '<script type="application/ld+json">{"@type":"Product","name":"x","offers":{"price":"9,5"}}</script>'
     pages = spark.createDataFrame([(page,), ("<p>none</p>",)], "html string")
     assert states(payloads.json_ld(pages), "price", "stock_status") == [(9.5, "desconocido")]
     assert states(payloads.json_ld(pages, strict=True), "stock_status") == [("disponible",)]
 
 
+def test_ingest_counts_drops_and_cuts(spark):
+    shape = "store_id int, store_url string, raw_variant string, raw_name string, store_sku string, stock_status string"
+    rows = [(1, "a", None, "n" * 501, "s" * 300, "x"), (1, "", None, "n" * 501, None, None), (1, "b", None, None, None, None), (1, "c", None, "n", None, None)]
+    seen = Observation("ingest")
+    assert ingest.valid_rows(spark.createDataFrame(rows, shape), seen).count() == 2
+    assert seen.get == {"dropped": 2, "cut": 2}
+
+
+def test_small_operators(spark):
+    log = spark.createDataFrame([(1, k, f"tienda x: producto {k}/9" if k % 2 else "AVISO nada") for k in range(5)], "run int, line int, message string")
+    tail = changes.log_tail(log, "run", "line", keep=2).select("line", changes.progress(F.col("message")).alias("p"))
+    assert sorted((r.line, r.p and tuple(r.p)) for r in tail.collect()) == [(3, (3, 9)), (4, None)]
+    assert changes.log_tail(log.limit(0), "run", "line").count() == 0
+    t = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 1, 500000),), (None,)], "t timestamp").select(times.to_unix(F.col("t")).alias("u"))
+    assert [r.u for r in t.collect()] == [1704067201.5, None]
+    assert [r.t for r in t.select(times.from_unix(F.col("u")).alias("t")).collect()] == [dt.datetime(2024, 1, 1, 0, 0, 1, 500000), None]
+    assert sinks.camel(spark.range(1).select(F.col("id").alias("min_price"), F.lit(1).alias("name"))).columns == ["minPrice", "name"]
+    with pytest.raises(RuntimeError):
+        matching.need_categories(spark.createDataFrame([], "category_slug string"))
+    seed = spark.createDataFrame([("a", "x", 1), ("b", "y", 1), ("c", None, 1)], "name string, category_slug string, v int")
+    have = spark.createDataFrame([("a", "x", 2)], "name string, category_slug string, v int")
+    assert states(ingest.seed_actions(have, seed, ["name"], ["v"], F.col("s.category_slug") == "x"), "name", "action") == [("a", "updated"), ("b", "skipped"), ("c", "skipped")]
+
+
+def test_rematched_state_leaves_confirmed_rows(spark):
+    shape = "id int, match_status string, product_id int, match_confidence double"
+    li = spark.createDataFrame([(1, "confirmed", 5, 0.9), (2, "needs_review", None, None), (3, "unmatched", None, 0.3)], shape)
+    new = spark.createDataFrame([(2, "confirmed", 7, 0.8), (3, "needs_review", None, None)], "id int, new_status string, product_id int, score double")
+    assert states(matching.rematched_state(li, new, ["id"]), "id", "match_status", "product_id", "match_confidence") == [(1, "confirmed", 5, 0.9), (2, "confirmed", 7, 0.8), (3, "needs_review", None, None)]
+
+
+def test_reviews_in_a_batch(spark):
+    shape = "id int, match_status string, product_id int, match_confidence double, reviewed_at timestamp, reviewed_reason string"
+    li = spark.createDataFrame([(1, "needs_review", None, 0.4, None, None)], shape)
+    ch = spark.createDataFrame([(1, "confirm", 5, None, 1), (1, "reject", None, "figure", 2)], "id int, action string, chosen_id int, reason string, at int")
+    now = dt.datetime(2024, 1, 1)
+    one = changes.latest_changes(ch, ["id"], "at")
+    out = changes.apply_reviews(li, one, spark.createDataFrame([], "id int, product_id int, score double"), spark.createDataFrame([(5,)], "product_id int"), ["id"], now)
+    assert states(out, "new_status", "new_reviewed_at", "new_reason", "new_confidence") == [("not_applicable", now, "figure", 0.4)]
+    hidden = out.select(F.col("id"), F.col("new_reviewed_at").alias("reviewed_at"))
+    assert changes.not_hidden(hidden, now + dt.timedelta(days=14)).count() == 0 and changes.not_hidden(hidden, now + dt.timedelta(days=15)).count() == 1
+
+
+def test_snapshot_touch_and_api_fallback(spark):
+    old = spark.createDataFrame([("a", None, 1), ("a", "v", 1)], "url string, variant string, checked int")
+    assert states(ingest.touch(old, spark.createDataFrame([("a", None)], "url string, variant string"), ["url", "variant"], "checked", 9), "variant", "checked") == [("v", 1), (None, 9)]
+    api = spark.createDataFrame([(1, "x", "s")], "store_id int, name string, sku string")
+    html = spark.createDataFrame([(1, "y"), (2, "z")], "store_id int, name string")
+    assert states(payloads.api_or_html(api, html), "store_id", "name", "sku") == [(1, "x", "s"), (2, "z", None)]
+    catalog_page = spark.createDataFrame([('{"products":[{"name":"n","code":"c"},{"name":"m"}]}',), ("busy",)], "payload string")
+    assert states(payloads.official_catalog(catalog_page), "name", "code") == [("m", None), ("n", "c")]
+    pager = spark.createDataFrame([('<a class="x next" href="/p2">',), ('<link rel="next" href="/p3">',), ("<p>",)], "html string")
+    assert {r.n for r in pager.select(payloads.next_page(F.col("html")).alias("n")).collect()} == {"/p2", "/p3", None}
+    stores = spark.createDataFrame([(1, True, None), (2, True, dt.datetime(2024, 1, 2)), (3, False, None)], "id int, active boolean, backoff_until timestamp")
+    assert states(stock.runnable(stores, dt.datetime(2024, 1, 1)), "id") == [(1,)]
+    subs = spark.createDataFrame([("a", 1), ("b", 1)], "subscriber_id string, product_id int")
+    assert states(changes.drop_subscriptions(subs, subs.filter("subscriber_id = 'a'"), "subscriber_id"), "subscriber_id") == [("b",)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "v int, scraped_date string")
     sinks.write_days(df, f"{tmp_path}/d")

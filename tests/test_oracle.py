@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from pricetide import catalog_queries
+from pricetide import review_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,10 +36,10 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(review_queries.QUERIES))
 def test_against_sql(spark, con, name):
-    df = catalog_queries.QUERIES[name](spark, FOLDER)
-    got, want = df.collect(), con.sql(catalog_queries.ORACLE_SQL[name])
+    df = review_queries.QUERIES[name](spark, FOLDER)
+    got, want = df.collect(), con.sql(review_queries.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert table(got, df.columns) == table(want.fetchall(), want.columns)
 

@@ -1,8 +1,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pricetide.operators.stock import transitions
+from pricetide.operators.stock import failure_runs, transitions
 from pricetide.plans.adapters import Domain
+from pricetide.streaming.failures import failure_states
 from pricetide.streaming.restock import notify_once, restocks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,3 +18,15 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     notify_once(restocks(stream), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(240)
     got = {r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {r.event_id for r in transitions(batch).collect()} and got
+
+
+def test_failures_on_a_stream_agree_with_batch(spark, tmp_path):
+    runs = Domain(spark, FOLDER).signal.select(F.col("listing_id").cast("long").alias("store_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("run_id"), F.when(F.col("stock_status") == "agotado", True).when(F.col("event_id") % 3 > 0, False).alias("failed"))
+    days = runs.withColumn("part", F.ntile(3).over(Window.orderBy("ts", "run_id")))
+    for k in (1, 2, 3):
+        days.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    notify_once(failure_states(stream), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(240)
+    got = {(r.run_id, r.failures, r.backoff_until) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = failure_runs(runs, "store_id", "ts", "run_id", "failed").collect()
+    assert got == {(r.run_id, r.failures, r.backoff_until) for r in want} and any(r.backoff_until for r in want)
