@@ -28,8 +28,10 @@ from pricetide.llm.components import components
 from pricetide.llm.words import Texts, mix, signed
 
 WORDS, BANDS, ROWS = 5, 30, 5
-#: Documents with one rare shingle that meet as many others under one key.
+#: Documents with one rare shingle, or members of one head, that meet under one key.
 BLOCK = 1000
+#: Heads that are repeated, at most.
+HEADS = 50_000
 
 
 def shingle_sets(texts: Texts, words: int) -> list[np.ndarray]:
@@ -125,6 +127,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return kept.mapInArrow(run, "rep long, n long, shingles binary")
 
 
+def _with_ends(pairs: DataFrame, ends: DataFrame, x: list[str], y: list[str]) -> DataFrame:
+    """Pairs (a, b) with columns of ``ends`` (by rep) for each end: ``x`` names those of a, ``y`` those of b.
+
+    A head of very many members is repeated for blocks of these.  Such heads are few (``HEADS`` at most,
+    as each has so large a part of all pairs), so their numbers of blocks are broadcast."""
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    columns = [c for c in ends.columns if c != "rep"]
+    counts = pairs.groupBy("a").agg(F.count("*").alias("_n")).filter(F.col("_n") >= max(BLOCK, pairs.count() // HEADS))
+    hot = F.broadcast(counts.select("a", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    mine = ends.select(F.col("rep").alias("b"), *(F.col(c).alias(k) for c, k in zip(columns, y, strict=True)))
+    theirs = ends.select(F.col("rep").alias("a"), *(F.col(c).alias(k) for c, k in zip(columns, x, strict=True)))
+    theirs = theirs.join(hot, "a", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    dealt = pairs.join(hot, "a", "left").withColumn("_block", F.pmod(F.xxhash64("b"), blocks).cast("int")).drop("_blocks")
+    return dealt.join(mine, "b").join(theirs, ["a", "_block"]).drop("_block")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
 
@@ -138,9 +157,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    mine = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    theirs = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    return pairs.select("a", "b").join(mine, "b").join(theirs, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    met = _with_ends(pairs, sets.select("rep", "shingles"), ["x"], ["y"])
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _agreement(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -153,9 +171,8 @@ def _agreement(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("x", "y"))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array((x == y).sum(axis=1).astype(np.int32))], names=["a", "b", "same"])
 
-    mine = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
-    theirs = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), "n")
-    sized = pairs.join(mine, "b").join(theirs, "a").filter(_reaches(F.least("n", "m"), F.col("n"), F.col("m"), percent))
+    met = _with_ends(pairs, reps.select("rep", "sketch", "n"), ["x", "n"], ["y", "m"])
+    sized = met.filter(_reaches(F.least("n", "m"), F.col("n"), F.col("m"), percent))
     return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same int")
 
 
