@@ -37,10 +37,10 @@ def normalized(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "['’]", ""), "[^a-z0-9]+", " "))
 
 
-def look_up(norm: Column, table: str) -> Column:
+def look_up(norm: Column, table: list[tuple[str, str]]) -> Column:
     """The code of the first table line whose title part is in the text.  The table is one constant
     array, so the plan stays small however long it is."""
-    rows = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(code).alias("code")) for part, code in t.lines(table)))
+    rows = F.array(*(F.struct(F.lit(part).alias("part"), F.lit(code).alias("code")) for part, code in table))
     return F.try_element_at(F.filter(rows, lambda row: F.contains(norm, row["part"])), F.lit(1))["code"]
 
 
@@ -48,10 +48,10 @@ def language_of(text: Column) -> Column:
     """Language named in a text; JP and EN count as codes in capitals only."""
     low = F.lower(text)
     return first_case([
-        (contains_any(low, ["japones", "japonés"]) | text.rlike(r"\bJP\b"), F.lit("JP")),
-        (F.contains(low, F.lit("coreano")), F.lit("KR")),
-        (contains_any(low, ["ingles", "inglés", "- en"]) | text.rlike(r"\bEN\b"), F.lit("EN")),
-        (contains_any(low, ["castellano", "español"]), F.lit("ES")),
+        (contains_any(low, t.LANGUAGE_WORDS["JP"]) | text.rlike(t.LANGUAGE_CODES["JP"]), F.lit("JP")),
+        (contains_any(low, t.LANGUAGE_WORDS["KR"]), F.lit("KR")),
+        (contains_any(low, t.LANGUAGE_WORDS["EN"]) | text.rlike(t.LANGUAGE_CODES["EN"]), F.lit("EN")),
+        (contains_any(low, t.LANGUAGE_WORDS["ES"]), F.lit("ES")),
     ])
 
 
@@ -65,8 +65,8 @@ def packaging_of(family: str, text: Column) -> Column:
     units, quantity = t.PACKAGING_UNITS.get(family, {}), found(text, r"(?i)\bx\s*(\d+)\b").try_cast("int")
     holds = lambda kind: F.coalesce(quantity == units[kind], F.lit(False)) if kind in units else F.lit(False)
     return first_case([
-        (text.rlike(r"(?i)\bcase\b") | holds("case"), F.lit("case")),
-        (text.rlike(r"(?i)\bdisplay\b|\bcajas?\b|\bbox(es)?\b") | holds("display"), F.lit("display")),
+        (text.rlike(t.CASE) | holds("case"), F.lit("case")),
+        (text.rlike(t.DISPLAY) | holds("display"), F.lit("display")),
     ], F.lit("sobre"))
 
 
@@ -92,28 +92,28 @@ def _one_pass(nv: Column, norm: Column, text: Column, name: Column, language: Co
         look_up(norm, t.STARTER_DECK_CHARACTERS),
     )
     double = F.when(single, F.coalesce(numbered("DP"), _code("DP", F.coalesce(found(text, r"(?i)\bdouble pack set\s*0*(\d{1,3})\b"), found(text, r"(?i)\bdouble pack.*?vol\.?\s*0*(\d{1,3})\b"))), look_up(norm, t.DOUBLE_PACK_TITLES)))
-    main_of_double = first_case([(double == f"DP{dp:02d}", F.lit(f"OP{op:02d}")) for dp, op in t.BOOSTER_OF_DOUBLE_PACK.items()])
+    main_of_double = first_case([(double == dp, F.lit(op)) for dp, op in t.BOOSTER_OF_DOUBLE_PACK.items()])
     sleeves = F.coalesce(_volume(nv), _code("VOL", found(nv, r"(?i)\bsleeves?\s*0*(\d{1,2})\b")), _code("VOL", found(nv, r"(?i)\bv\.?\s*0*(\d{1,2})\b")), look_up(norm, t.SLEEVES_VARIANTS))
     booster = titled("OP", t.BOOSTER_TITLES)
 
     return first_case([
-        (contains_any(text, ["cgc", "psa", "bgs", "lote"]), result("LOTE_CARTAS", generic_code(nv))),
-        (contains_any(text, ["promo card", "carta promo", "promo pack", "promotion pack"]) | name.rlike(r"(?i)\bP-?\d{2,4}\b"), result("PROMO_CARD", generic_code(nv))),
-        (text.rlike(r"\bdon!!") & ~text.rlike(r"\bset\b|\bpack\b|\bcaja\b|\bbox\b|\bsobres?\b"), result("PROMO_CARD", _code("DP", found(text, _family("DP"))))),
-        (contains_any(text, ["mystery pack", "mystery box"]), result("MYSTERY_PACK")),
-        (F.contains(text, F.lit("dice")), result("DICE_ACCESSORY")),
-        (text.rlike(_family("DF")) | contains_any(text, ["devil fruits collection", "fruta del diablo"]), result("DEVIL_FRUITS_COLLECTION", F.when(single, F.coalesce(numbered("DF"), _volume(nv, "DF"))))),
-        (text.rlike(_family("IB")) | contains_any(text, ["illustration box", "caja de ilustraciones"]), result("ILLUSTRATION_BOX", F.coalesce(_volume(nv), F.when(single, _code("VOL", found(nv, _family("IB"))))))),
-        (contains_any(text, ["playmat", "tapete"]), result("PLAYMAT", F.coalesce(_volume(nv), look_up(norm, t.PLAYMAT_CHARACTERS)))),
-        (contains_any(text, ["sleeve", "funda"]), result("SLEEVES", sleeves)),
-        (F.contains(text, F.lit("premium card collection")), result("PREMIUM_CARD_COLLECTION", F.coalesce(_volume(nv), look_up(norm, t.PREMIUM_CARD_EDITIONS), look_up(norm, t.PREMIUM_CARD_EDITIONS_SHORT)))),
-        (contains_any(text, ["learn together", "learn to play", "aprende a jugar"]), packed("STARTER_DECK", F.coalesce(_code("LD", found(nv, r"(?i)\bLD[\s-]?0*(\d{1,2})\b")), F.lit("LD01")))),
-        (text.rlike(_family("ST")) | contains_any(text, ["starter deck", "ultra deck", "mazo"]), packed("STARTER_DECK", deck)),
-        (text.rlike(_family("DP")) | contains_any(text, ["double pack", "doble pack"]), packed("DOUBLE_PACK", double, main_of_double)),
+        (contains_any(text, t.LOT_WORDS), result("LOTE_CARTAS", generic_code(nv))),
+        (contains_any(text, t.PROMO_WORDS) | name.rlike(t.PROMO_NUMBER), result("PROMO_CARD", generic_code(nv))),
+        (text.rlike(t.DON) & ~text.rlike(t.DON_SEALED), result("PROMO_CARD", _code("DP", found(text, _family("DP"))))),
+        (contains_any(text, t.MYSTERY_WORDS), result("MYSTERY_PACK")),
+        (contains_any(text, t.DICE_WORDS), result("DICE_ACCESSORY")),
+        (text.rlike(_family("DF")) | contains_any(text, t.DEVIL_FRUIT_WORDS), result("DEVIL_FRUITS_COLLECTION", F.when(single, F.coalesce(numbered("DF"), _volume(nv, "DF"))))),
+        (text.rlike(_family("IB")) | contains_any(text, t.ILLUSTRATION_WORDS), result("ILLUSTRATION_BOX", F.coalesce(_volume(nv), F.when(single, _code("VOL", found(nv, _family("IB"))))))),
+        (contains_any(text, t.PLAYMAT_WORDS), result("PLAYMAT", F.coalesce(_volume(nv), look_up(norm, t.PLAYMAT_CHARACTERS)))),
+        (contains_any(text, t.SLEEVE_WORDS), result("SLEEVES", sleeves)),
+        (contains_any(text, t.CARD_COLLECTION_WORDS), result("PREMIUM_CARD_COLLECTION", F.coalesce(_volume(nv), look_up(norm, t.PREMIUM_CARD_EDITIONS), look_up(norm, t.PREMIUM_CARD_EDITIONS_SHORT)))),
+        (contains_any(text, t.LEARNING_WORDS), packed("STARTER_DECK", F.coalesce(_code("LD", found(nv, r"(?i)\bLD[\s-]?0*(\d{1,2})\b")), F.lit("LD01")))),
+        (text.rlike(_family("ST")) | contains_any(text, t.DECK_WORDS), packed("STARTER_DECK", deck)),
+        (text.rlike(_family("DP")) | contains_any(text, t.DOUBLE_PACK_WORDS), packed("DOUBLE_PACK", double, main_of_double)),
         (text.rlike(_family("PRB")) | look_up(norm, t.PREMIUM_BOOSTER_TITLES).isNotNull(), packed("PREMIUM_BOOSTER_BOX", titled("PRB", t.PREMIUM_BOOSTER_TITLES))),
         (text.rlike(_family("OP")) | look_up(norm, t.BOOSTER_TITLES).isNotNull(), packed("ONE_PIECE", booster, booster)),
-        (text.rlike(_family("EB")) | F.contains(text, F.lit("extra booster")) | look_up(norm, t.EXTRA_BOOSTER_TITLES).isNotNull(), packed("EXTRA_BOOSTER", titled("EB", t.EXTRA_BOOSTER_TITLES))),
-        (text.rlike(r"\bbooster\b|\bcaja\b|\bsobres?\b") & ~text.rlike("ultimate guard|comic mania|caja de almacenamiento|storage box"), packed("ONE_PIECE", None)),
+        (text.rlike(_family("EB")) | contains_any(text, t.EXTRA_BOOSTER_WORDS) | look_up(norm, t.EXTRA_BOOSTER_TITLES).isNotNull(), packed("EXTRA_BOOSTER", titled("EB", t.EXTRA_BOOSTER_TITLES))),
+        (text.rlike(t.SEALED) & ~text.rlike(t.ACCESSORY), packed("ONE_PIECE", None)),
     ], result("OTROS", generic_code(nv)))
 
 
@@ -123,7 +123,7 @@ def classify(df: DataFrame, name: str = "name", variant: str = "variant", tags:
     variant_text, tag_text = F.coalesce(F.col(variant), F.lit("")), F.coalesce(F.col(tags), F.lit(""))
     staged = df.withColumn("_nv", F.concat_ws(" ", F.col(name), variant_text))
     named = F.coalesce(language_of(F.col(name)), language_of(F.col(variant)))
-    staged = staged.withColumn("_norm", normalized(F.col("_nv"))).withColumn("_lang", F.coalesce(named, F.when(~contains_any(F.lower("_nv"), ["non-english", "non english"]), F.lit("EN"))))
+    staged = staged.withColumn("_norm", normalized(F.col("_nv"))).withColumn("_lang", F.coalesce(named, F.when(~contains_any(F.lower("_nv"), t.NOT_ENGLISH), F.lit("EN"))))
     staged = staged.withColumn("_low", F.lower(F.concat(F.col("_nv"), F.lit(" ")))).withColumn("_all", F.concat(F.col("_low"), F.lower(tag_text)))
     once = lambda text: _one_pass(F.col("_nv"), F.col("_norm"), F.col(text), F.col(name), F.col("_lang"))
     staged = staged.withColumn("_first", once("_low"))
@@ -139,7 +139,6 @@ def category_of(product_type: Column) -> Column:
 
 def quantity_is_ambiguous(raw_name: Column, product_type: Column, packaging: Column) -> Column:
     """Whether the name holds a quantity other than the one its type and packaging stand for."""
-    pattern = r"(?i)\bpack\s*(\d+)\b|\b(\d+)\s*sobres\b|\bx\s*(\d+)\b"
-    number = F.coalesce(*(found(raw_name, pattern, k) for k in (1, 2, 3))).try_cast("int")
+    number = F.coalesce(*(found(raw_name, t.QUANTITY, k) for k in (1, 2, 3))).try_cast("int")
     expected = first_case([((product_type == kind) & (packaging == pack), F.lit(n)) for kind, units in t.PACKAGING_UNITS.items() for pack, n in units.items()], F.lit(1))
     return F.coalesce(number != expected, F.lit(False))
