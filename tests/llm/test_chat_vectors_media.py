@@ -1,7 +1,9 @@
 import functools
+import hashlib
 import math
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -148,8 +150,22 @@ def test_media_columns(spark, odd_texts):
     assert media.load(media.store(df.limit(0))).count() == 0
     none = media.load(df.select("doc_id", F.lit(None).cast("binary").alias("media"))).first()
     assert none.payload is None and none.clips is None
+
+
+def test_media_query_digests(spark):
+    texts = dict(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect())
+    stored = {r.doc_id: bytes(r.media) for r in media.store(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
     rows = op8_media(spark, FOLDER).collect()
-    assert len(rows) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    features = {}
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+        file = stored[r.doc_id]
+        assert media.decode_frames([media.scan_of(f) for f in media.read_avi(file)]).tobytes() == payload
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want
+        assert features.setdefault(raw, r.feature) == r.feature
 
 
 def test_scaled_copies_of_one_direction(spark):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from conftest_llm import lower, words
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pricetide.llm import lm, toxicity
@@ -148,7 +149,33 @@ def test_toxicity_edges(spark, odd_texts):
     assert len(rows) == len(odd_texts) and not any(r.toxic for r in rows) and {r.grade for r in rows} == {0}
     assert rows[0].severity == 0
     assert toxicity.score(docs.limit(0), (np.zeros(toxicity.BUCKETS), np.full(3, 1.0))).count() == 0
-    assert len(op10_toxicity(spark, "/root/testdata/sf0.001").collect()) == 200
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """Features, severity and grade of every document, from the fitted weights, one text at a time."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    w, theta = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    texts, rows = dict(docs.collect()), op10_toxicity(spark, folder).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    marks = toxicity._MARKS
+    for r in rows:
+        names = set()
+        for word in {x.strip(marks) for x in (texts[r.doc_id] or "").lower().split()} - {""}:
+            names |= {word, *(word[:n] + "*" for n in toxicity.BEGINNINGS if len(word) > n)}
+        found = {toxicity.xxhash.xxh3_64_intdigest(x) % toxicity.BUCKETS for x in names}
+        s = sum(w[f] for f in found)
+        over = [1 / (1 + math.exp(min(40, max(-40, t - s)))) if found else 0.0 for t in theta]
+        each = -np.diff([1.0, *over, 0.0])
+        assert r.severity == pytest.approx(sum(over), abs=1e-8)
+        assert r.toxic == (over[0] >= 0.5) and each[r.grade] == pytest.approx(max(each), abs=1e-8)
+
+
+def test_a_repeated_id_is_sampled_once(spark):
+    docs = spark.createDataFrame([("1", f"text {k}") for k in range(50)] + [("x", "y")], "doc_id string, text string")
+    labels = spark.createDataFrame([("1", 1), ("1", 0), ("x", 1)], "doc_id string, toxic int")
+    rows, toxic = toxicity.sample_features(docs, labels, "doc_id", "text", "toxic", 100)
+    assert len(rows) == 1 and toxic.tolist() == [1]
 
 
 def test_pipeline(spark):
@@ -193,3 +220,14 @@ def test_pipeline(spark):
             assert after[k].n_chars == (len(after[k].text) if gone else texts[k].n_chars)
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} == set(after)
+    tok = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    pieces, sequences = {}, {}
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids), r.doc_tokens))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for k, parts in pieces.items():
+        want = np.array([*tok.encode(after[k].text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert b"".join(ids for _, ids, _ in sorted(parts)) == want and {4 * n for _, _, n in parts} == {len(want)}
+    for parts in sequences.values():
+        ends = [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048 and ends[-1] & (ends[-1] - 1) == 0
