@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.llm.common import materialize
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of a window, and of those that history may take.
 BUDGET, HISTORY = 1280, 256
@@ -86,19 +88,25 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     turns = turns.withColumn("_end", F.col("_before") + F.sum("_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     turns = turns.withColumn("_begin", F.col("_end") - F.col("_tokens")).withColumn("_rank", F.row_number().over(within))
     turns = turns.withColumn("_system", F.col("_opens") & (F.col("_rank") == 1) & (F.col("_role") == "system"))
-    systems = turns.filter("_system").select(*keys, F.when(F.col("_tokens") <= budget // 4, F.col("_tokens")).otherwise(0).alias("_kept"))
-    turns = turns.join(systems, keys, "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_room", budget - history - F.col("_kept"))
-    turns = turns.withColumn("_k", F.floor(F.col("_begin") / F.col("_room"))).withColumn("_across", F.col("_end") > (F.col("_k") + 1) * F.col("_room"))
+    # written once; turns are placed by their sizes alone, and texts join what was found
+    at = [*keys, "_block", "_rank"]
+    turns = materialize(turns.select(*at, "_begin", "_end", "_tokens", "_total", "_system", "_role", "_text"), "turns")
+    slim = turns.drop("_role", "_text")
+    systems = slim.filter("_system").select(*keys, F.when(F.col("_tokens") <= budget // 4, F.col("_tokens")).otherwise(0).alias("_kept"))
+    slim = slim.join(systems, keys, "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_room", budget - history - F.col("_kept"))
+    slim = slim.withColumn("_k", F.floor(F.col("_begin") / F.col("_room"))).withColumn("_across", F.col("_end") > (F.col("_k") + 1) * F.col("_room"))
     part = lambda across: F.coalesce(F.sum(F.when(F.col("_across") == across, F.col("_tokens"))), F.lit(0))
-    intervals = turns.groupBy(*keys, "_k").agg(part(False).alias("_inside"), part(True).alias("_over"), F.max("_room").alias("_r"))
-    intervals = intervals.withColumn("_back", F.col("_inside") + F.col("_over") <= F.col("_r")).drop("_r")
+    intervals = slim.groupBy(*keys, "_k").agg(part(False).alias("_inside"), part(True).alias("_over"), F.max("_room").alias("_r"))
+    intervals = materialize(intervals.withColumn("_back", F.col("_inside") + F.col("_over") <= F.col("_r")).drop("_r"), "intervals")
     after = intervals.select(*keys, (F.col("_k") - 1).alias("_k"), (F.col("_inside") + F.when(F.col("_back"), F.col("_over")).otherwise(0)).alias("_next"))
-    turns = turns.join(intervals, [*keys, "_k"]).join(after, [*keys, "_k"], "left")
+    slim = slim.join(intervals, [*keys, "_k"]).join(after, [*keys, "_k"], "left")
     forward = F.col("_tokens") + F.coalesce("_next", F.lit(0)) <= F.col("_room")
     number = 2 * F.col("_k") + F.when(~F.col("_across") | F.col("_back"), 0).when(forward, 2).otherwise(1)
     of_window = Window.partitionBy(*keys, "_number")
-    turns = turns.withColumn("_number", number)
-    turns = turns.withColumn("_window", F.min("_begin").over(of_window)).withColumn("_last", F.max("_end").over(of_window))
+    slim = slim.withColumn("_number", number)
+    slim = slim.withColumn("_window", F.min("_begin").over(of_window)).withColumn("_last", F.max("_end").over(of_window))
+    places = materialize(slim.select(*at, "_window", "_last", "_kept", "_room"), "places")
+    turns = turns.join(places, at)
 
     piece = F.concat(F.lit(START), escape(F.col("_role"), True), F.lit("\n"), escape(F.col("_text")), F.lit(END + "\n"))
     head = F.length(escape(F.col("_role"), True)) + len(START) + 1
@@ -113,7 +121,7 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     follows = turns.filter((F.col("_last") < F.col("_total")) & (F.col("_begin") >= F.col("_last") - history) & ~F.col("_system"))
     repeated = follows.select(*keys, F.col("_last").alias("window"), cell(_HISTORY).alias("cell"))
     system = turns.filter("_system and _kept > 0").select(*keys, cell(_SYSTEM).alias("cell"))
-    system = own.filter("window > 0").select(*keys, "window").join(system, keys)
+    system = places.filter("_window > 0").select(*keys, F.col("_window").alias("window")).distinct().join(system, keys)
     context = repeated.unionByName(system).groupBy(*keys, "window").agg(F.collect_list("cell").alias("context"))
     fits = F.filter("context", lambda c: (F.col("own_tokens") <= F.col("room")) | (c["place"] == _SYSTEM))
     nothing = F.array().cast(own.schema["own"].dataType)
