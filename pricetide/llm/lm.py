@@ -10,9 +10,9 @@ p exp(weight) / Z = (n(context, word) + a p) / (n(context, class) + a), starting
 So weights are closed forms of the training counts (zero for pairs not met), and the sum over a
 class of any size is one without going through it.
 
-The passes over the corpus: (1) texts become codes of their block's own word list, written with
-that list; (2) word lists of all blocks meet by word for corpus counts, which go back to the
-blocks; (3) blocks send their distinct features with counts, packed, to parts of the feature table and
+The passes over the corpus: (1) texts become codes of their block's own words, written packed, with
+the words' hashes and counts cut into ranges; (2) these ranges of all blocks meet for corpus counts, which
+go back to the blocks; (3) blocks send their distinct features with counts, packed, to parts of the feature table and
 get the corpus counts back; codes become counts, scores within classes and unit sequences, written
 again; (4) each task runs gradient steps
 over its training documents and the tasks' weights are averaged feature by feature; (5) scoring.
@@ -22,18 +22,17 @@ Only the list of the most frequent words, class totals and weights, all of fixed
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import materialize, slices
+from pricetide.llm.common import give_back, materialize, slices
 
 TOP, TOP_CLASSES, ENDINGS, NGRAMS = 2048, 16, 16, 2048
 CLASSES = TOP_CLASSES + ENDINGS
@@ -42,6 +41,9 @@ UNITS = TOP + ENDINGS
 ROWS = 1 + 2 * UNITS + NGRAMS
 #: Text bytes that share a word list.
 BLOCK_BYTES = 32 << 20
+#: Text bytes for each part of the words, whose counts are added in one task.
+PART_BYTES = 8 << 20
+_CODED = "block long, part int, n long, ids binary, none binary, lengths binary, codes binary, hashes binary, endings binary, counts binary"
 #: Not a word, so it can stand for the end of a text.
 _END = b"\n"
 _STEP = 8192
@@ -57,76 +59,132 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _coded(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: documents as codes of their block, and each block's words."""
+def _pack(x: np.ndarray, size: int = 4) -> bytes:
+    """Unsigned values of ``size`` bytes as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int, size: int = 4) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=size * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}")[:, 0]
+
+
+def _sorted_hashes(raw: Iterable[bytes], sizes: Iterable[int]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack(x, n, 8), dtype=np.uint64) for x, n in zip(raw, sizes, strict=True))])
+
+
+def _pieces(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Runs of equal numbers: number, begin and end."""
+    first = np.flatnonzero(np.diff(parts.view(np.int64), prepend=-1))
+    yield from zip(parts[first].tolist(), first, np.append(first[1:], len(parts)), strict=True)
+
+
+def _coded(docs: DataFrame, part_bits: int) -> DataFrame:
+    """Rows of two kinds: a block's documents as codes, and (with ``part``) a part of its words.
+
+    A code is a word's place among the hashes of the block's words; parts are ranges of hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "_id", "held", "codes", "code", "hash", "ending", "trained"]
-        block, at, counts, size = TaskContext.get().partitionId() << 24, {_END: 0}, [], 0
-
-        def words_of_block() -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(at), np.int64)
-            for c in counts:
-                total[: len(c)] += c
-            words = list(at)
-            for k in range(0, len(words), 50_000):
-                part = words[k : k + 50_000]
-                n = len(part)
-                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, n).view(np.int64)
-                endings = np.fromiter((zlib.crc32(w[-2:]) % ENDINGS for w in part), np.int32, n)
-                none = pa.nulls(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.binary()), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(hashes), pa.array(endings), pa.array(total[k : k + n])], names=names)
+        block, found, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids, none, lengths, own, endings, inner = (list(x) for x in zip(*found, strict=True))
+            hashes, place = np.unique(np.concatenate(own), return_inverse=True)
+            ending = np.empty(len(hashes), np.uint8)
+            ending[place] = np.concatenate(endings)
+            starts = np.cumsum([0, *map(len, own)])
+            codes = np.concatenate([place[a:][x] for a, x in zip(starts, inner, strict=False)]).astype("<u4")
+            ids, none, lengths = map(np.concatenate, (ids, none, lengths))
+            trained = np.bincount(codes[np.repeat(_trained(ids, none), lengths)], minlength=len(hashes))
+            rows = [(block, None, len(hashes), ids.tobytes(), none.tobytes(), lengths.tobytes(), _pack(codes), _pack(np.diff(hashes, prepend=np.uint64(0)), 8), ending.tobytes(), None)]
+            for part, a, b in _pieces(hashes >> np.uint64(1) >> np.uint64(63 - part_bits)):
+                rows.append((block, part, b - a, None, None, None, None, _pack(np.diff(hashes[a:b], prepend=np.uint64(0)), 8), ending[a:b].tobytes(), _pack(trained[a:b], 8)))
+            types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=_CODED.replace(",", "").split()[::2])
 
         for part in slices(batches, "_text", 1 << 21):
             raw = part.column("_text").cast(pa.binary()).to_pylist()
-            ids = part.column("_id").to_pylist()
-            words, ends = [], []
-            for t in raw:
+            words, lengths = [], np.empty(len(raw), np.int64)
+            for k, t in enumerate(raw):
+                before = len(words)
                 words += t.lower().split() if t else []
                 words.append(_END)
-                ends.append(len(words))
-            codes = np.fromiter(map(at.get, words, repeat(-1)), np.int64, len(words))
-            lost = np.flatnonzero(codes < 0)
-            for w in dict.fromkeys(words[i] for i in lost):
-                at[w] = len(at)
-            codes[lost] = [at[words[i]] for i in lost]
-            held = np.array([i is None or held_out(i) for i in ids])
-            counts.append(np.bincount(codes[~np.repeat(held, np.diff(ends, prepend=0))], minlength=len(at)))
-            if len(counts) > 4:
-                total = np.zeros(len(at), np.int64)
-                for c in counts:
-                    total[: len(c)] += c
-                counts[:] = [total]
-            n, begins = len(ids), [0, *ends[:-1]]
-            small = codes.astype("<u4")
-            none = pa.nulls(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column("_id"), pa.array(held), pa.array([small[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], names=names)
+                lengths[k] = len(words) - before
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            own, first, inner = np.unique(hashes, return_index=True, return_inverse=True)
+            endings = np.fromiter((zlib.crc32(words[k][-2:]) % ENDINGS for k in first.tolist()), np.uint8, len(first))
+            ids = part.column("_id")
+            found.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), lengths, own, endings, inner.astype(np.uint32)))
             size += part.column("_text").nbytes
             if size >= BLOCK_BYTES:
-                yield from words_of_block()
-                block, at, counts, size = block + 1, {_END: 0}, [], 0
-        if counts:
-            yield from words_of_block()
+                yield from done()
+                block, found, size = block + 1, [], 0
+        if found:
+            yield from done()
 
-    return docs.mapInArrow(run, "block long, _id long, held boolean, codes binary, code int, hash long, ending int, trained long")
+    return docs.mapInArrow(run, _CODED)
+
+
+def _trained(ids: np.ndarray, none: np.ndarray) -> np.ndarray:
+    return np.array([not (x or held_out(i)) for i, x in zip(ids.tolist(), none.tolist(), strict=True)], bool)
+
+
+def _counts(coded: DataFrame) -> DataFrame:
+    """Corpus counts of each block's words (kind 0), and of each part of the words the most
+    frequent (kind 1) and the sums by ending (kind 2)."""
+    names = ["kind", "block", "part", "n", "totals", "hash", "ending", "c", "v"]
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        sizes, part = pdf["n"].to_numpy(np.int64), int(pdf["part"].iat[0])
+        hashes = _sorted_hashes(pdf["hashes"], sizes)
+        own, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unpack(x, n, 8) for x, n in zip(pdf["counts"], sizes, strict=True)])).astype(np.int64)
+        ending = np.frombuffer(b"".join(pdf["endings"]), np.uint8)[first].astype(np.int64)
+        ends, own = np.cumsum(sizes), own.view(np.int64)
+        rows = [(0, block, part, n, _pack(total[at[z - n : z]], 8), 0, 0, 0, 0) for block, n, z in zip(pdf["block"], sizes, ends, strict=True)]
+        known = np.flatnonzero(total)
+        for k in known[np.lexsort((own[known], -total[known]))][:TOP]:
+            rows.append((1, 0, part, 0, b"", own[k], ending[k], total[k], 1))
+        for e in np.unique(ending[known]):
+            of = known[ending[known] == e]
+            rows.append((2, 0, part, 0, b"", 0, e, total[of].sum(), len(of)))
+        return pd.DataFrame(rows, columns=names)
+
+    words = coded.filter("part is not null").select("block", "part", "n", "hashes", "endings", "counts")
+    return words.groupBy("part").applyInPandas(add, "kind int, block long, part int, n long, totals binary, hash long, ending int, c long, v long")
 
 
 class Tables:
     """What of the corpus the driver knows: totals, the most frequent words, classes."""
 
     def __init__(self, counts: DataFrame):
-        """``counts``: one row per training word (hash, ending, c)."""
-        top = counts.orderBy(F.desc("c"), "hash").limit(TOP).collect()
-        self.total, self.distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
+        """``counts``: rows of ``_counts``."""
+        top = counts.filter("kind = 1").orderBy(F.desc("c"), "hash").limit(TOP).collect()
+        per = counts.filter("kind = 2").groupBy("ending").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()  # at most ENDINGS rows
+        self.total, self.distinct = sum(r.c for r in per), sum(r.v for r in per)
         mass = np.cumsum([r.c for r in top]) if top else np.zeros(0)
         self.class_of_unit = np.concatenate([np.minimum((mass - 1) * TOP_CLASSES // max(1, mass[-1]) if len(mass) else mass, TOP_CLASSES - 1).astype(np.int64), np.zeros(TOP - len(top), np.int64), TOP_CLASSES + np.arange(ENDINGS)])
-        self.units = counts.sparkSession.createDataFrame([(r.hash, k) for k, r in enumerate(top)], "hash long, top int")
-        self.end_unit = next((k for k, r in enumerate(top) if r.hash == np.uint64(xxhash.xxh3_64_intdigest(_END)).view(np.int64)), 0)
-        per = counts.join(F.broadcast(self.units), "hash", "left").groupBy(F.coalesce("top", TOP + F.col("ending")).alias("unit")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+        found = np.array([r.hash for r in top], np.int64).view(np.uint64)
+        self.top_units = np.argsort(found)
+        self.top_hashes = found[self.top_units]
+        self.end_unit = next((k for k, h in enumerate(found.tolist()) if h == xxhash.xxh3_64_intdigest(_END)), 0)
         self.class_c, self.class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-        for r in per:  # at most one row per unit
-            self.class_c[self.class_of_unit[r.unit]] += r.c
-            self.class_v[self.class_of_unit[r.unit]] += r.v
+        for r in per:
+            self.class_c[TOP_CLASSES + r.ending] += r.c
+            self.class_v[TOP_CLASSES + r.ending] += r.v
+        for k, r in enumerate(top):
+            for side, sign in ((TOP_CLASSES + r.ending, -1), (self.class_of_unit[k], 1)):
+                self.class_c[side] += sign * r.c
+                self.class_v[side] += sign
+
+    def units(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        out = TOP + endings.astype(np.int64)
+        if len(self.top_hashes):
+            at = np.minimum(np.searchsorted(self.top_hashes, hashes), len(self.top_hashes) - 1)
+            out = np.where(self.top_hashes[at] == hashes, self.top_units[at], out)
+        return out.astype(np.uint16)
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,48 +219,44 @@ def _cuts(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(range(len(first)), first, np.append(first[1:], len(at)), strict=True)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """32-bit values as compressed byte planes."""
-    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4")[:, 0]
+class _Block:
+    """A block's documents: ids, whether in training, lengths, codes; by code: hash, count, unit, class."""
 
+    def __init__(self, pdf: pd.DataFrame, t: Tables):
+        row = pdf[pdf["codes"].notna()].iloc[0]
+        words = pdf[pdf["codes"].isna()].sort_values("part")
+        self.number = int(row["block"])
+        self.ids, self.none, self.lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["none"], bool), np.frombuffer(row["lengths"], np.int64)
+        self.trained = _trained(self.ids, self.none)
+        self.ends = np.concatenate(([0], np.cumsum(self.lengths)))
+        self.codes = _unpack(row["codes"], int(self.ends[-1]))
+        self.hashes = _sorted_hashes([row["hashes"]], [int(row["n"])])
+        self.c = np.concatenate([_unpack(x, int(n), 8) for x, n in zip(words["totals"], words["n"], strict=True)])
+        self.unit = t.units(self.hashes, np.frombuffer(row["endings"], np.uint8))
+        self.classes = t.class_of_unit[self.unit]
 
-def _block(pdf: pd.DataFrame, unit_class: np.ndarray) -> tuple:
-    """A block's documents, their codes and lengths, and by code: hash, count, unit, class."""
-    docs, words = pdf[pdf["codes"].notna()], pdf[pdf["codes"].isna()]
-    docs = docs.assign(_id=docs["_id"].astype("Int64").mask(docs["none"].astype(bool)))
-    n, at = len(words), words["code"].to_numpy(np.int64)
-    hashes, c, unit = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, np.uint16)
-    hashes[at], c[at], unit[at] = words["hash"].to_numpy(np.int64).view(np.uint64), words["c"], words["unit"]
-    codes = np.frombuffer(b"".join(docs["codes"]), "<u4")
-    return docs, codes, docs["codes"].map(len).to_numpy(np.int64) // 4, hashes, c, unit, unit_class[unit]
+    def keys(self, begin: int, end: int, bits: int) -> Iterator[np.ndarray]:
+        return _keys(self.codes[self.ends[begin] : self.ends[end]], self.lengths[begin:end], self.hashes, self.classes, bits)
 
 
 def _feature_counts(blocks: DataFrame, t: Tables) -> DataFrame:
     """(block, cut, kind, part, n, totals): corpus counts of the distinct features of a block's slice, in order of their hashes."""
-    unit_class, (bits, part_bits) = t.class_of_unit, _key_bits(t.total)
+    bits, part_bits = _key_bits(t.total)
     low = np.uint64(bits - part_bits)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, codes, lengths, hashes, _, _, classes = _block(pdf, unit_class)
-        trained, ends = ~docs["held"].to_numpy(bool), np.concatenate(([0], np.cumsum(lengths)))
-        block, out = pdf["block"].iat[0], []
-        for cut, begin, end in _cuts(lengths):
-            flags = np.repeat(trained[begin:end], lengths[begin:end]).astype(np.uint64)
-            for kind, keys in enumerate(_keys(codes[ends[begin] : ends[end]], lengths[begin:end], hashes, classes, bits)):
+        of, out = _Block(pdf, t), []
+        for cut, begin, end in _cuts(of.lengths):
+            flags = np.repeat(of.trained[begin:end], of.lengths[begin:end]).astype(np.uint64)
+            for kind, keys in enumerate(of.keys(begin, end, bits)):
                 keys = np.sort(keys << np.uint64(1) | flags)
                 first = np.flatnonzero(np.diff(keys >> np.uint64(1), prepend=np.uint64(2**63)))
                 counts = np.add.reduceat(keys & np.uint64(1), first)
                 keys = keys[first] >> np.uint64(1)
-                parts = np.searchsorted(keys, np.arange((1 << part_bits) + 1, dtype=np.uint64) << low)
-                for part, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)):
-                    if a < b:
-                        own = keys[a:b] & ((np.uint64(1) << low) - np.uint64(1))
-                        out.append((block, cut, kind, part, b - a, _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[a:b])))
+                for part, a, b in _pieces(keys >> low):
+                    own = keys[a:b] & ((np.uint64(1) << low) - np.uint64(1))
+                    out.append((of.number, cut, kind, part, b - a, _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[a:b])))
+        give_back()
         return pd.DataFrame(out, columns=["block", "cut", "kind", "part", "n", "keys", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,39 +280,36 @@ def _within(p: np.ndarray, counts: Iterator[np.ndarray]) -> np.ndarray:
     return p
 
 
-def _sequences(coded: DataFrame, lists: DataFrame, t: Tables) -> DataFrame:
+def _sequences(coded: DataFrame, counts: DataFrame, t: Tables) -> DataFrame:
     """Per document: counts, base score, the within-class part of the score, and units (uint16 bytes)."""
-    unit_class, class_c, class_v, total, distinct = t.class_of_unit, t.class_c, t.class_v, t.total, t.distinct
+    total, distinct = t.total, t.distinct
     bits, _ = _key_bits(total)
 
     def run(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        docs, codes, lengths, hashes, c, unit, classes = _block(pdf, unit_class)
-        if not len(docs):
-            return pd.DataFrame({k: [] for k in ("_id", "held", "n_tokens", "n_known", "base", "within", "units")})
-        table = table.sort_values(["kind", "part"])
-
-        def counts(cut: int, begin: int, end: int) -> Iterator[np.ndarray]:
-            for kind, keys in enumerate(_keys(codes[ends[begin] : ends[end]], lengths[begin:end], hashes, classes, bits)):
-                own = table[(table["cut"] == cut) & (table["kind"] == kind)]
-                totals = np.concatenate([_unpack(x, n) for x, n in zip(own["totals"], own["n"], strict=True)])
-                yield totals[np.unique(keys, return_inverse=True)[1]].astype(np.float64)
-
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        begins = ends[:-1]
+        of = _Block(pdf, t)
+        places = table.sort_values(["cut", "kind", "part"]).groupby(["cut", "kind"])
+
+        def totals(cut: int, begin: int, end: int) -> Iterator[np.ndarray]:
+            for kind, keys in enumerate(of.keys(begin, end, bits)):
+                own = places.get_group((cut, kind))
+                found = np.concatenate([_unpack(x, n) for x, n in zip(own["totals"], own["n"], strict=True)])
+                yield found[np.unique(keys, return_inverse=True)[1]].astype(np.float64)
+
+        begins, codes, c = of.ends[:-1], of.codes, of.c.astype(np.float64)
         base = np.log10((c + 1) / (total + distinct + 1))
-        alone = (c + 1) / (class_c[classes] + class_v[classes] + 1)
-        within = np.concatenate([np.log10(_within(alone[codes[ends[x] : ends[y]]], counts(k, x, y))) for k, x, y in _cuts(lengths)])
-        units = unit[codes]
-        sums = {"n_tokens": lengths, "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), begins), "base": np.add.reduceat(base[codes], begins), "within": np.add.reduceat(within, begins)}
-        return docs[["_id", "held"]].assign(**sums, units=[units[a : a + n].tobytes() for a, n in zip(begins, lengths, strict=True)])
+        alone = (c + 1) / (t.class_c[of.classes] + t.class_v[of.classes] + 1)
+        within = np.concatenate([np.log10(_within(alone[codes[of.ends[x] : of.ends[y]]], totals(k, x, y))) for k, x, y in _cuts(of.lengths)])
+        units = of.unit[codes]
+        sums = {"n_tokens": of.lengths, "n_known": np.add.reduceat((c > 0).astype(np.int64)[codes], begins), "base": np.add.reduceat(base[codes], begins), "within": np.add.reduceat(within, begins)}
+        out = pd.DataFrame({"_id": pd.Series(of.ids).astype("Int64").mask(of.none), "held": ~of.trained, **sums, "units": [units[a : a + n].tobytes() for a, n in zip(begins, of.lengths, strict=True)]})
+        give_back()
+        return out
 
-    # no nulls in numbers, which pandas would make floats; both uses read one shuffle
-    zeros = lambda df, *names: [F.lit(0).cast(df.schema[c].dataType).alias(c) for c in names]
-    docs = coded.filter("codes is not null").select("block", F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("none"), "held", "codes", *zeros(lists, "code", "hash", "c", "unit"))
-    words = lists.select("block", *zeros(coded, "_id"), F.lit(False).alias("none"), F.lit(False).alias("held"), F.lit(None).cast("binary").alias("codes"), "code", "hash", "c", "unit")
-    blocks = docs.unionByName(words)
-    counts = _feature_counts(blocks, t)
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(run, "_id long, held boolean, n_tokens long, n_known long, base double, within double, units binary")
+    docs = coded.filter("part is null").drop("counts")
+    totals = counts.filter("kind = 0").select("block", "part", "n", "totals")
+    blocks = docs.unionByName(totals, allowMissingColumns=True)
+    found = _feature_counts(blocks, t)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, "_id long, held boolean, n_tokens long, n_known long, base double, within double, units binary")
 
 
 def _features(raw: list[bytes], end_unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,13 +375,11 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     class softmax is uniform.
     """
     docs = df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    coded = materialize(_coded(docs), "coded")
-    words = coded.filter("codes is null").select("block", "code", "hash", "ending", "trained")
-    lists = words.withColumn("c", F.sum("trained").over(Window.partitionBy("hash")))
-    lists = materialize(lists.withColumn("one", F.row_number().over(Window.partitionBy("hash").orderBy("block")) == 1).drop("trained"), "counts")
-    t = Tables(lists.filter("one and c > 0").select("hash", "ending", "c"))
-    coded_lists = lists.join(F.broadcast(t.units), "hash", "left").select("block", "code", "hash", "c", F.coalesce("top", TOP + F.col("ending")).alias("unit"))
-    sequences = materialize(_sequences(coded, coded_lists, t), "sequences")
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    coded = materialize(_coded(docs, min(24, (int(size) // PART_BYTES).bit_length())), "coded")
+    counts = materialize(_counts(coded), "counts")
+    t = Tables(counts)
+    sequences = materialize(_sequences(coded, counts, t), "sequences")
     w, unit_class, end_unit, total = fit(sequences, t), t.class_of_unit, t.end_unit, t.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

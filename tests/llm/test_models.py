@@ -71,19 +71,18 @@ def test_words_within_a_class_depend_on_history(spark):
     ids = [k for k in range(2**53 + 1, 2**53 + 99, 2) if lm.held_out(k)][:2]
     texts = [(k, " ".join(phrase) if k % 2 else " ".join(rng.permutation(phrase))) for k in kept] + [(ids[0], " ".join(phrase)), (ids[1], " ".join(phrase[::-1])), (None, "")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
-    coded = lm.materialize(lm._coded(df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))), "coded")
-    words = coded.filter("codes is null").select("block", "code", "hash", "ending", F.sum("trained").over(lm.Window.partitionBy("hash")).alias("c"))
-    t = lm.Tables(words.filter("c > 0").select("hash", "ending", "c").distinct())
-    lists = words.join(t.units, "hash", "left").select("block", "code", "hash", "c", F.coalesce("top", lm.TOP + F.col("ending")).alias("unit"))
-    got = {r._id: r for r in lm._sequences(coded, lists, t).collect()}
+    coded = lm.materialize(lm._coded(df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), 2), "coded")
+    counts = lm.materialize(lm._counts(coded), "counts")
+    t = lm.Tables(counts)
+    got = {r._id: r for r in lm._sequences(coded, counts, t).collect()}
     assert set(got) == {k for k, _ in texts}
     assert got[ids[0]].base == pytest.approx(got[ids[1]].base) and got[ids[0]].within > got[ids[1]].within + 10
 
     # the counts behind it, by brute force: the sum over a class is one, and the score is the counts'
     tokens = {k: [*text.split(), "\n"] for k, text in texts}
     n = Counter()
-    unit = {r.hash: r.unit for r in lists.select("hash", "unit").distinct().collect()}
-    cls = {w: int(t.class_of_unit[unit[int(np.uint64(lm.xxhash.xxh3_64_intdigest(w.encode())).view(np.int64))]]) for w in {w for x in tokens.values() for w in x}}
+    hashed = {w: np.array([lm.xxhash.xxh3_64_intdigest(w.encode())], np.uint64) for x in tokens.values() for w in x}
+    cls = {w: int(t.class_of_unit[t.units(h, np.array([zlib.crc32(w[-2:].encode()) % lm.ENDINGS]))[0]]) for w, h in hashed.items()}
     c = Counter(w for k in kept for w in tokens[k])
     seen = lambda k: zip(["\n", "\n", *tokens[k]], ["\n", *tokens[k]], tokens[k])
     for k in kept:
