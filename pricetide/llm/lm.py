@@ -52,7 +52,7 @@ PRIOR = (200.0, 10.0, 5.0)
 #: The feature table grows with the training tokens: hash values for each, and tokens of a part.
 KEYS_A_TOKEN, PART_TOKENS = 1 << 10, 1 << 21
 #: Tokens of a block whose features are in memory at once (and one document more).
-FEATURE_TOKENS = 1 << 20
+FEATURE_TOKENS = 1 << 21
 
 
 def held_out(doc_id: int) -> bool:
