@@ -306,12 +306,12 @@ def ingest_accepted(d: Domain) -> DataFrame:
 
 
 @query(""", old as (select store_id, product_id, price, stock_status, match_status from price_history qualify row_number() over (partition by store_id, product_id order by scraped_date, l_orderkey, l_linenumber) = 1),
-new as (select store_id, product_id, price, stock_status from store_product where store_id % 2 = 0)
+new as (select store_id, product_id, price, stock_status from store_product)
 select store_id, product_id, cast(coalesce(n.price, o.price) as double) as price, coalesce(n.stock_status, o.stock_status) as stock_status, o.match_status from old o left join new n using (store_id, product_id)""")
 def snapshot_merge(d: Domain) -> DataFrame:
     first = Window.partitionBy("store_id", "product_id").orderBy("scraped_date", "seq")
     old = d.price_history.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("store_id", "product_id", "price", "stock_status", "match_status")
-    new = d.store_product.filter("store_id % 2 = 0").select("store_id", "product_id", "price", "stock_status", F.lit("lost").alias("match_status"))
+    new = d.store_product.select("store_id", "product_id", "price", "stock_status", F.lit("lost").alias("match_status"))
     merged = ingest.merge_snapshot(old, new, ["store_id", "product_id"], ["price", "stock_status"])
     return merged.withColumn("price", F.col("price").cast("double"))
 
