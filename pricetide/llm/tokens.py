@@ -7,6 +7,7 @@ each word that it does not hold.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -55,14 +56,21 @@ class WordCache:
             self.young.update(zip(missing, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+        """The ids of each text.  Words and ids make no cycles, so the collector, which would walk through
+        lists of them again and again, waits meanwhile."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
-        words = [words_of(t) for t in texts]
-        if unknown := set().union(*words).difference(self.young):
-            self._learn(unknown)
-        ids = self.young.__getitem__
-        return [b"".join(map(ids, w)) for w in words]
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            words = [words_of(t) for t in texts]
+            if unknown := set().union(*words).difference(self.young):
+                self._learn(unknown)
+            ids = self.young.__getitem__
+            return [b"".join(map(ids, w)) for w in words]
+        finally:
+            if collects:
+                gc.enable()
 
 
 @cache
