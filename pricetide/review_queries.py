@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.catalog_queries import _DECIDED, _KEY, ORACLE_SQL, QUERIES, _evidence, query  # noqa: F401 (all queries, these too)
+from pricetide.functions import tables
+from pricetide.functions.classify import category_of, classify
 from pricetide.operators import catalog, changes, ingest, matching, refresh
 from pricetide.plans.adapters import Domain
 from pricetide.sources import payloads
@@ -196,3 +198,43 @@ def snapshot_merge_latest(d: Domain) -> DataFrame:
     old = newest(d.price_history.filter(F.col("scraped_date") <= F.lit(last)))
     new = newest(d.price_history.filter(F.col("scraped_date") > F.lit(last))).withColumn("match_status", F.lit("needs_review"))
     return ingest.merge_snapshot(old, new, ["store_id", "product_id"], ["price", "stock_status"]).withColumn("price", F.col("price").cast("double"))
+
+
+#: Leads of listing names with the table their titles come from, and what a reader makes of them: type, whether packaged.
+_LEADS = [
+    ("Starter Deck ", tables.STARTER_DECK_TITLES + tables.STARTER_DECK_CHARACTERS, "STARTER_DECK", True),
+    ("Double Pack ", tables.DOUBLE_PACK_TITLES, "DOUBLE_PACK", True),
+    ("Un sobre de ", tables.BOOSTER_TITLES, "ONE_PIECE", True),
+    ("Funda ", tables.SLEEVES_VARIANTS, "SLEEVES", False),
+    ("Boosters [OP-01]-[OP-13] ", [("", None)], "ONE_PIECE", True),  # a range is no single product
+    ("Articulo ", [("", None)], "ONE_PIECE", True),  # sealed by its tags only
+]
+
+
+def _leads(value) -> str:
+    return "case p_partkey % 6 " + " ".join(f"when {k} then {value(k, row)}" for k, row in enumerate(_LEADS)) + " end"
+
+
+def _titles(rows: list[tuple[str, str]]) -> str:
+    return "[" + ", ".join(f"'{part}'" for part, _ in rows) + "]"
+
+
+@query(f""", title(lead, place, needle, code) as (values {", ".join(f"({k}, {i}, '{part}', '{code}')" for k, row in enumerate(_LEADS) for i, (part, code) in enumerate(row[1]) if code)}),
+main(dp, op) as (values {", ".join(f"('{dp}', '{op}')" for dp, op in tables.BOOSTER_OF_DOUBLE_PACK.items())}),
+c as (select p_partkey as id, p_partkey % 6 as lead, p_size, {_leads(lambda k, row: f"'{row[2]}'")} as product_type, {_leads(lambda k, row: str(row[3]).lower())} as packed,
+  lower({_leads(lambda k, row: f"'{row[0]}' || {_titles(row[1])}[1 + p_partkey // 6 % {len(row[1])}]")} || ' ' || p_brand || ' ref ' || p_partkey) as name from part),
+n as (select *, trim(regexp_replace(name, '[^a-z0-9]+', ' ', 'g')) as norm from c),
+coded as (select id, arg_min(code, place) as set_code from n join title using (lead) where contains(norm, needle) group by id)
+select id, product_type, set_code, case when p_size % 4 = 2 then 'JP' else 'EN' end as language, case lead when 1 then op when 2 then set_code end as main_set,
+  case when packed then case when p_size % 4 = 3 then 'display' else 'sobre' end end as packaging, replace(lower(product_type), '_', '-') as category_slug
+from n left join coded using (id) left join main on dp = set_code""")
+def classified_titles(d: Domain) -> DataFrame:
+    """Names with titles of the tables (blanks as entities in half of them), variants, a range, and names that only their tags explain."""
+    n = F.col("p_partkey")
+    name = F.coalesce(*(F.when(n % 6 == k, F.concat(F.lit(lead), F.get(F.array(*(F.lit(part) for part, _ in rows)), F.floor(n / 6).cast("int") % len(rows)))) for k, (lead, rows, _, _) in enumerate(_LEADS)))
+    # the last blank of a title as a sign
+    name = F.when((F.col("p_size") % 2 == 0) & (n % 6 != 4), F.regexp_replace(name, "(?<=[a-z]) (?=[a-z0-9]+$)", " &#8211; ")).otherwise(name)
+    variant = F.when(F.col("p_size") % 4 == 1, "Inglés").when(F.col("p_size") % 4 == 2, "Japonés").when(F.col("p_size") % 4 == 3, "Caja")
+    named = F.concat(name, F.lit(" "), F.col("p_brand"), F.lit(" ref "), n)
+    rows = classify(d.raw("part").select(n.alias("id"), named.alias("name"), variant.alias("variant"), F.when(n % 6 == 5, "booster, OP-05").alias("tags")))
+    return rows.select("id", "cls.*", category_of(F.col("cls.product_type")).alias("category_slug"))
