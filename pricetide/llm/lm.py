@@ -40,7 +40,7 @@ UNITS = TOP + ENDINGS
 #: Rows of the weight table: bias, last word, word before it, both hashed.
 ROWS = 1 + 2 * UNITS + NGRAMS
 #: Text bytes that share a word list.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Text bytes for each part of the words, whose counts are added in one task.
 PART_BYTES = 8 << 20
 _CODED = "block long, part int, n long, ids binary, none binary, lengths binary, codes binary, hashes binary, endings binary, counts binary"
@@ -52,7 +52,7 @@ PRIOR = (200.0, 10.0, 5.0)
 #: The feature table grows with the training tokens: hash values for each, and tokens of a part.
 KEYS_A_TOKEN, PART_TOKENS = 1 << 10, 1 << 21
 #: Tokens of a block whose features are in memory at once (and one document more).
-FEATURE_TOKENS = 1 << 21
+FEATURE_TOKENS = 1 << 22
 
 
 def held_out(doc_id: int) -> bool:
