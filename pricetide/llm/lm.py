@@ -69,6 +69,30 @@ def _unpack(raw: bytes, n: int, size: int = 4) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}")[:, 0]
 
 
+def _grouped(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of unsigned values below 2^bits in ascending order of the values, and which of them begin a new value.
+
+    Where value and place fit in one number, sorting these is all.
+    """
+    of = len(x).bit_length()
+    if bits + of <= 64:
+        both = np.sort(x << np.uint64(of) | np.arange(len(x), dtype=np.uint64))
+        by, x = (both & np.uint64((1 << of) - 1)).view(np.int64), both >> np.uint64(of)
+    else:
+        by = np.argsort(x)
+        x = x[by]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return by, new
+
+
+def _spread(values: np.ndarray, by: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Values of the distinct numbers, ascending, as values of all; the rest as ``_grouped`` gives it."""
+    out = np.empty(len(by), values.dtype)
+    out[by] = values[np.cumsum(new) - 1]
+    return out
+
+
 def _sorted_hashes(raw: Iterable[bytes], sizes: Iterable[int]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack(x, n, 8), dtype=np.uint64) for x, n in zip(raw, sizes, strict=True))])
 
@@ -90,11 +114,12 @@ def _coded(docs: DataFrame, part_bits: int) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             ids, none, lengths, own, endings, inner = (list(x) for x in zip(*found, strict=True))
-            hashes, place = np.unique(np.concatenate(own), return_inverse=True)
-            ending = np.empty(len(hashes), np.uint8)
-            ending[place] = np.concatenate(endings)
-            starts = np.cumsum([0, *map(len, own)])
-            codes = np.concatenate([place[a:][x] for a, x in zip(starts, inner, strict=False)]).astype("<u4")
+            own, ending = np.concatenate(own), np.concatenate(endings)
+            by, new = _grouped(own)
+            hashes, ending = own[by[new]], ending[by[new]]
+            place = _spread(np.arange(len(hashes), dtype=np.uint32), by, new)
+            starts = np.cumsum([0, *map(len, endings)])
+            codes = np.concatenate([place[a:][x] for a, x in zip(starts, inner, strict=False)])
             ids, none, lengths = map(np.concatenate, (ids, none, lengths))
             trained = np.bincount(codes[np.repeat(_trained(ids, none), lengths)], minlength=len(hashes))
             rows = [(block, None, len(hashes), ids.tobytes(), none.tobytes(), lengths.tobytes(), _pack(codes), _pack(np.diff(hashes, prepend=np.uint64(0)), 8), ending.tobytes(), None)]
@@ -112,10 +137,12 @@ def _coded(docs: DataFrame, part_bits: int) -> DataFrame:
                 words.append(_END)
                 lengths[k] = len(words) - before
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            own, first, inner = np.unique(hashes, return_index=True, return_inverse=True)
+            by, new = _grouped(hashes)
+            first = by[new]
+            inner = _spread(np.arange(len(first), dtype=np.uint32), by, new)
             endings = np.fromiter((zlib.crc32(words[k][-2:]) % ENDINGS for k in first.tolist()), np.uint8, len(first))
             ids = part.column("_id")
-            found.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), lengths, own, endings, inner.astype(np.uint32)))
+            found.append((ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), lengths, hashes[first], endings, inner))
             size += part.column("_text").nbytes
             if size >= BLOCK_BYTES:
                 yield from done()
@@ -263,9 +290,9 @@ def _feature_counts(blocks: DataFrame, t: Tables) -> DataFrame:
         sizes = pdf["n"].to_numpy(np.int64)
         keys = np.concatenate([np.cumsum(_unpack(x, n), dtype=np.uint32) for x, n in zip(pdf["keys"], sizes, strict=True)])
         counts = np.concatenate([_unpack(x, n) for x, n in zip(pdf["counts"], sizes, strict=True)])
-        _, at = np.unique(keys, return_inverse=True)
+        by, new = _grouped(keys.astype(np.uint64), 32)
         # counts stay below 2^32, more tokens than a part of a context can hold
-        totals = np.minimum(np.bincount(at, counts), 2**32 - 1).astype(np.uint32)[at]
+        totals = _spread(np.minimum(np.add.reduceat(counts[by], np.flatnonzero(new), dtype=np.int64), 2**32 - 1).astype(np.uint32), by, new)
         ends = np.cumsum(sizes)
         return pdf[["block", "cut", "kind", "part", "n"]].assign(totals=[_pack(totals[a:b]) for a, b in zip(ends - sizes, ends, strict=True)])
 
@@ -293,7 +320,7 @@ def _sequences(coded: DataFrame, counts: DataFrame, t: Tables) -> DataFrame:
             for kind, keys in enumerate(of.keys(begin, end, bits)):
                 own = places.get_group((cut, kind))
                 found = np.concatenate([_unpack(x, n) for x, n in zip(own["totals"], own["n"], strict=True)])
-                yield found[np.unique(keys, return_inverse=True)[1]].astype(np.float64)
+                yield _spread(found, *_grouped(keys, bits)).astype(np.float64)
 
         begins, codes, c = of.ends[:-1], of.codes, of.c.astype(np.float64)
         base = np.log10((c + 1) / (total + distinct + 1))
@@ -326,7 +353,10 @@ def _features(raw: list[bytes], end_unit: int) -> tuple[np.ndarray, np.ndarray,
 
 def _class_scores(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log probabilities of all classes, for each token."""
-    z = w[rows[0]] + w[rows[1]] + w[rows[2]] + w[0]
+    z = w.take(rows[0], axis=0)
+    for row in rows[1:]:
+        z += w.take(row, axis=0)
+    z += w[0]
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
