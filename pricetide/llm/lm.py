@@ -43,7 +43,7 @@ ROWS = 1 + 2 * UNITS + NGRAMS
 BLOCK_BYTES = 16 << 20
 #: Text bytes for each part of the words, whose counts are added in one task.
 PART_BYTES = 8 << 20
-_CODED = "block long, part int, n long, ids binary, none binary, lengths binary, codes binary, hashes binary, endings binary, counts binary"
+_CODED = "block long, part int, n long, ids binary, none binary, lengths binary, codes binary, sizes binary, hashes binary, endings binary, counts binary"
 #: Not a word, so it can stand for the end of a text.
 _END = b"\n"
 _STEP = 8192
@@ -93,6 +93,11 @@ def _spread(values: np.ndarray, by: np.ndarray, new: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_size(sizes: np.ndarray) -> np.ndarray:
+    """Places of a block's words, in order of their hashes, by code: frequent ones have small codes."""
+    return np.argsort(-sizes.astype(np.int16), kind="stable")
+
+
 def _sorted_hashes(raw: Iterable[bytes], sizes: Iterable[int]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack(x, n, 8), dtype=np.uint64) for x, n in zip(raw, sizes, strict=True))])
 
@@ -106,7 +111,8 @@ def _pieces(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def _coded(docs: DataFrame, part_bits: int) -> DataFrame:
     """Rows of two kinds: a block's documents as codes, and (with ``part``) a part of its words.
 
-    A code is a word's place among the hashes of the block's words; parts are ranges of hashes.
+    Codes number the block's words by the magnitude of their count in it (``sizes``), then by hash, so
+    that most are small and pack well; parts are ranges of hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +128,13 @@ def _coded(docs: DataFrame, part_bits: int) -> DataFrame:
             codes = np.concatenate([place[a:][x] for a, x in zip(starts, inner, strict=False)])
             ids, none, lengths = map(np.concatenate, (ids, none, lengths))
             trained = np.bincount(codes[np.repeat(_trained(ids, none), lengths)], minlength=len(hashes))
-            rows = [(block, None, len(hashes), ids.tobytes(), none.tobytes(), lengths.tobytes(), _pack(codes), _pack(np.diff(hashes, prepend=np.uint64(0)), 8), ending.tobytes(), None)]
+            sizes = np.log2(np.bincount(codes, minlength=len(hashes))).astype(np.uint8)
+            rank = np.empty(len(hashes), np.uint32)
+            rank[_by_size(sizes)] = np.arange(len(hashes), dtype=np.uint32)
+            rows = [(block, None, len(hashes), ids.tobytes(), none.tobytes(), lengths.tobytes(), _pack(rank[codes]), _pack(sizes, 1), None, None, None)]
             for part, a, b in _pieces(hashes >> np.uint64(1) >> np.uint64(63 - part_bits)):
-                rows.append((block, part, b - a, None, None, None, None, _pack(np.diff(hashes[a:b], prepend=np.uint64(0)), 8), ending[a:b].tobytes(), _pack(trained[a:b], 8)))
-            types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
+                rows.append((block, part, b - a, None, None, None, None, None, _pack(np.diff(hashes[a:b], prepend=np.uint64(0)), 8), ending[a:b].tobytes(), _pack(trained[a:b], 8)))
+            types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 8]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=_CODED.replace(",", "").split()[::2])
 
         for part in slices(batches, "_text", 1 << 21):
@@ -251,15 +260,16 @@ class _Block:
 
     def __init__(self, pdf: pd.DataFrame, t: Tables):
         row = pdf[pdf["codes"].notna()].iloc[0]
-        words = pdf[pdf["codes"].isna()].sort_values("part")
+        words, totals = (pdf[pdf[c].notna()].sort_values("part") for c in ("hashes", "totals"))
         self.number = int(row["block"])
         self.ids, self.none, self.lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["none"], bool), np.frombuffer(row["lengths"], np.int64)
         self.trained = _trained(self.ids, self.none)
         self.ends = np.concatenate(([0], np.cumsum(self.lengths)))
         self.codes = _unpack(row["codes"], int(self.ends[-1]))
-        self.hashes = _sorted_hashes([row["hashes"]], [int(row["n"])])
-        self.c = np.concatenate([_unpack(x, int(n), 8) for x, n in zip(words["totals"], words["n"], strict=True)])
-        self.unit = t.units(self.hashes, np.frombuffer(row["endings"], np.uint8))
+        order = _by_size(_unpack(row["sizes"], int(row["n"]), 1))
+        self.hashes = _sorted_hashes(words["hashes"], map(int, words["n"]))[order]
+        self.c = np.concatenate([_unpack(x, int(n), 8) for x, n in zip(totals["totals"], totals["n"], strict=True)])[order]
+        self.unit = t.units(self.hashes, np.frombuffer(b"".join(words["endings"]), np.uint8)[order])
         self.classes = t.class_of_unit[self.unit]
 
     def keys(self, begin: int, end: int, bits: int) -> Iterator[np.ndarray]:
@@ -332,7 +342,7 @@ def _sequences(coded: DataFrame, counts: DataFrame, t: Tables) -> DataFrame:
         give_back()
         return out
 
-    docs = coded.filter("part is null").drop("counts")
+    docs = coded.drop("counts")
     totals = counts.filter("kind = 0").select("block", "part", "n", "totals")
     blocks = docs.unionByName(totals, allowMissingColumns=True)
     found = _feature_counts(blocks, t)
