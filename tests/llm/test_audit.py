@@ -1,12 +1,13 @@
 import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest_llm import words
+from conftest_llm import lower, words
 
-from pricetide.llm import filter_audit
+from pricetide.llm import decontaminate, filter_audit
 
 SHAPE = "doc_id int, text string, source string, mask int, part string, leads string"
 
@@ -80,3 +81,59 @@ def test_audit_edges(spark):
     assert got["x", 0, "late"] == (0, 2, 0, 1, 3) and got["x", 1, "dear"] == (0, 0, 1, 0, 1) and got[None, 0, "dear"] == (1, 0, 0, 0, 0)
     with pytest.raises(ValueError):
         filter_audit.edges(own, [f"f{k}" for k in range(8)])
+
+
+BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def passages(docs, items, window=10):
+    """Per row: words, hit positions, item ids; every window compared with every run of its size."""
+    known = [(i, [w[k : k + min(window, len(w))] for k in range(len(w) - min(window, len(w)) + 1)]) for i, t in items if (w := BENCH_WORD.findall(lower(t)))]
+    out = []
+    for i, text in docs:
+        w, hit, found = BENCH_WORD.findall(lower(text)), set(), set()
+        for item, runs in known:
+            for run in runs:
+                for k in range(len(w) - len(run) + 1):
+                    if w[k : k + len(run)] == run:
+                        hit |= set(range(k, k + len(run)))
+                        found.add(str(item))
+        out.append((i, len(w), sorted(hit), sorted(found - {"None"})))
+    return out
+
+
+def scenes(seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abc") + str(rng.randint(0, 3))
+    items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 4, 7, 9, 10, 12, 30])))) for k in range(30)]
+    docs = []
+    for k in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            w = rng.choice(items)[1].split()
+            a = rng.randint(0, len(w) - 1)
+            parts += [*w[a : a + rng.randint(1, 25)], *(word() for _ in range(rng.randint(0, 6)))]
+        docs.append((k, rng.choice([" ", ", ", "\n"]).join(parts)))
+    return docs, items
+
+
+@pytest.mark.parametrize("seed, block", [(1, 1000), (2, 5)])
+def test_passages_equal_brute_force(spark, odd_texts, monkeypatch, seed, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    docs, items = scenes(seed)
+    docs += [(100 + k, t) for k, t in enumerate(odd_texts)] + [(7, docs[7][1]), (7, "a0 other"), (None, docs[3][1]), (None, None)]
+    items += [(40, None), (41, ""), (42, "..."), (5, "a1 A2,b3"), (None, "c3 c2 c1"), (43, items[0][1]), (44, "漢字 ΣΑΣ"), (45, "word " * 30)]
+    df = spark.createDataFrame([(*d, "clash", [1]) for d in docs], "doc_id int, text string, item_id string, seeds array<int>").repartition(3)
+    bench = spark.createDataFrame([(*i, "clash") for i in items], "item_id long, text string, words string")
+    key = lambda r: repr(r)
+    got = sorted(((r.doc_id, r.n_words, [p for a, b in r.hits for p in range(a, b)], r["items"]) for r in decontaminate.find(df, bench).collect()), key=key)
+    assert got == sorted(passages(docs, items), key=key)
+
+
+def test_passage_edges(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.find(docs, none).collect()) == [(1, 3, 0, False), (2, 0, 0, False)]
+    assert decontaminate.find(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+    own = decontaminate.find(docs, spark.createDataFrame([("x", "B c"), ("y", "b d")], "k string, q string"), item_col="k", item_text_col="q", window=2, shingle=1).filter("contaminated").collect()
+    assert [(r.doc_id, r.n_hit, r["items"], r.hits) for r in own] == [(1, 2, ["x"], [(1, 3)])]
