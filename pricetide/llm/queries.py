@@ -4,7 +4,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _name in ("q_tokens", "q_dedup", "q_chat", "q_vectors", "q_media", "q_models", "q_audit"):
+for _name in ("q_tokens", "q_dedup", "q_chat", "q_vectors", "q_media", "q_models", "q_audit", "q_align"):
     _module = import_module(f"pricetide.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
