@@ -409,19 +409,21 @@ def json_ld_rows(d: Domain) -> DataFrame:
     return payloads.json_ld(d.raw("part").select(F.col("p_partkey").alias("id"), html.alias("html"))).select("id", "name", "price", "stock_status")
 
 
-@query("""select p_partkey as id, p_name as name, cast(p_size as double) + 0.5 as price, case when p_size % 3 = 0 then 'agotado' when p_size % 3 = 1 then 'disponible' else 'desconocido' end as stock_status from part""")
+@query("""select p_partkey as id, p_name as name, cast(p_size as double) + 0.5 as price, case p_partkey % 3 when 0 then case when p_size % 3 = 0 then 'agotado' else 'disponible' end
+  when 1 then case when p_size % 3 = 1 then 'disponible' else 'agotado' end else case p_size % 3 when 0 then 'agotado' when 1 then 'disponible' else 'desconocido' end end as stock_status from part""")
 def html_card_rows(d: Domain) -> DataFrame:
-    n, mark = F.col("p_partkey"), F.when(F.col("p_size") % 3 == 0, "Agotado").when(F.col("p_size") % 3 == 1, "En stock").otherwise("")
-    price = F.concat(F.lit("<del>99,00 €</del> <span>"), F.col("p_size"), F.lit(",50 €</span>"))
-    link = F.concat(F.lit('<a href="/p?product_id='), n, F.lit('"><h3>'), F.col("p_name"), F.lit(" <b></b></h3></a>"))
+    n, kind = F.col("p_partkey"), F.col("p_size") % 3
+    words = F.when(kind == 0, "Agotado").when(kind == 1, "En stock").otherwise("")
+    link = F.concat(F.lit('<a href="/p?product_id='), n, F.lit('">'), F.col("p_name"), F.lit(" <b></b></a>"))
+    amount = F.concat(F.col("p_size"), F.lit(",50 €"))
     shapes = {
-        "woocommerce": F.concat(F.lit('<ul><li class="product type" data-product_id="'), n, F.lit('">'), link, price, mark, F.lit("</li></ul>")),
-        "prestashop": F.concat(F.lit('<article class="product-miniature" data-id-product="'), n, F.lit('">'), link, F.lit("<ins>"), price, F.lit("</ins> 1,00 € "), mark, F.lit("</article>")),
-        "opencart": F.concat(F.lit('<div class="product-thumb">'), link, price, mark, F.lit("</div>"), F.lit('<div class="product-thumb">'), link, F.lit("</div>")),
+        "woocommerce": F.concat(F.lit('<ul><li class="product '), F.when(kind == 0, "outofstock").otherwise("instock"), F.lit('"><h3>'), link, F.lit('</h3><div class="price"><del>99,00 €</del> <span>'), amount, F.lit("</span></div>Agotado</li></ul>")),
+        "prestashop": F.concat(F.lit('<article class="product-miniature" data-id-product="'), n, F.lit('"><h3 class="product-title">'), link, F.lit('</h3><span class="product-price" content="'), F.col("p_size"), F.lit('.5">1,00 €</span>'), F.when(kind == 1, '<span class="product-available">x</span>').otherwise("En stock"), F.lit("</article>")),
+        "opencart": F.concat(F.lit('<div class="product-thumb"><h4>'), link, F.lit('</h4><p class="price">'), amount, F.lit("</p>"), words, F.lit("</div>"), F.lit('<div class="product-thumb"><h4></h4></div>')),
     }
-    parts = [payloads.html_cards(d.raw("part").filter(n % 3 == k).select(page.alias("html")), kind) for k, (kind, page) in enumerate(shapes.items())]
+    parts = [payloads.html_cards(d.raw("part").filter(n % 3 == k).select(n.alias("id"), page.alias("html")), kind) for k, (kind, page) in enumerate(shapes.items())]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.select(F.col("id_product").cast("long").alias("id"), "name", "price", "stock_status")
+    return rows.select("id", "name", "price", "stock_status")
 
 
 @query("""select p_partkey as id, case p_partkey % 5 when 0 then cast(p_size as double) + 0.95 when 1 then cast(p_size as double) * 1000 + 234.5 when 2 then cast(p_size as double) + 0.5 when 3 then null else cast(p_size as double) end as price,

@@ -15,10 +15,13 @@ def parse_price(text: Column) -> Column:
     return F.when(plain.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
 
 
-def parse_minor_units(raw: Column, unit: int = 2) -> Column:
-    """A whole number of minor units ("1600" cents) as a price; null unless it is a whole number."""
-    whole = F.when(F.trim(raw.cast("string")).rlike(r"^[+-]?\d+$"), F.trim(raw.cast("string")).try_cast("decimal(28,0)"))
-    return F.round(whole / F.lit(10**unit).cast("decimal(12,0)"), 2).cast("double")
+def parse_minor_units(raw: Column, unit: int | Column = 2) -> Column:
+    """A whole number of minor units ("1600" cents) as a price, for any number of digits ``unit``; null
+    unless it is a whole number."""
+    text, unit = F.trim(raw.cast("string")), F.lit(unit).cast("int")
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(28,0)"))
+    exact = F.round(whole / F.pow(F.lit(10), unit).cast("decimal(12,0)"), 2).cast("double")
+    return F.when(unit.between(0, 11), exact).otherwise(F.round(whole.cast("double") / F.pow(F.lit(10.0), unit), 2))
 
 
 def drop_percent(before: Column, now: Column) -> Column:

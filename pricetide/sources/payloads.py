@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.columns import contains_any, first_case, found
 from pricetide.functions.prices import parse_minor_units, parse_price
+from pricetide.sources import markup
 
 _SHOPIFY = "products array<struct<id:bigint,title:string,handle:string,tags:string,images:array<struct<src:string>>,variants:array<struct<title:string,price:string,available:boolean,sku:string>>>>"
 _WOO = "array<struct<id:bigint,name:string,permalink:string,sku:string,categories:array<struct<slug:string>>,prices:struct<price:string,currency_minor_unit:int>,is_in_stock:boolean,stock_status:string,images:array<struct<src:string>>>>"
 _JSONLD = "struct<`@type`:string,name:string,sku:string,gtin:string,gtin8:string,gtin12:string,image:string,offers:string>"
+#: An amount with its currency sign on either side.
+_MONEY = r"(\d[\d.,]*\s*€|€\s*\d[\d.,]*)"
 _OFFER = "struct<price:string,lowPrice:string,availability:string,offers:string>"
 
 
@@ -38,9 +41,8 @@ def woocommerce(df: DataFrame, slug: str | None = None, words: tuple[str, ...] =
         p = p.filter(F.exists("_p.categories", lambda c: F.lower(c["slug"]) == slug.lower()))
     for w in words:
         p = p.filter(F.contains(F.lower("_p.name"), F.lit(w.lower())))
-    unit = F.coalesce("_p.prices.currency_minor_unit", F.lit(2))
-    # the unit is a small number, so one expression for each
-    price = first_case([(unit == u, parse_minor_units(F.col("_p.prices.price"), u)) for u in range(5)])
+    unit = F.coalesce(F.nullif(F.col("_p.prices.currency_minor_unit"), F.lit(0)), F.lit(2))  # zero is no unit given
+    price = parse_minor_units(F.col("_p.prices.price"), unit)
     return p.select(*df.drop(payload).columns, F.col("_p.id").cast("string").alias("id_product"), clean_markup(F.col("_p.name")).alias("name"), price.alias("price"), _stock(F.coalesce("_p.is_in_stock", F.col("_p.stock_status") == "instock")).alias("stock_status"), F.col("_p.permalink").alias("url"), F.nullif(F.col("_p.sku"), F.lit("")).alias("sku"), F.get("_p.images", 0)["src"].alias("image_url"))
 
 
@@ -80,40 +82,96 @@ def resolve_truncated(rows: DataFrame, pages: DataFrame, url: str = "url", html:
 
 def last_money(text: Column) -> Column:
     """The last amount with a currency sign in a text: the price after a discount."""
-    return parse_price(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(\d[\d.,]*\s*€|€\s*\d[\d.,]*)"), F.lit(0)), F.lit(-1)))
+    return parse_price(F.try_element_at(F.regexp_extract_all(text, F.lit(_MONEY), F.lit(0)), F.lit(-1)))
+
+
+# BEGIN FIXED VALUES: how each platform's list pages mark their cards and what is in them
+CARDS = {
+    "woocommerce": (
+        "li.product, div.product",
+        {
+            "classes": ("", "class"),
+            "title": (".woocommerce-loop-product__title, .product-title, h2, h3", "text"),
+            "link": ("a.woocommerce-LoopProduct-link, a.product-link, h2 a, h3 a", "href"),
+            "amount": ((".price ins .amount", ".price ins bdi", ".price ins", ".price .amount", ".price bdi"), "text"),
+            "shown": (".price", "text"),
+            "image": ("img", "src|data-src"),
+        },
+    ),
+    "prestashop": (
+        "article.product-miniature",
+        {
+            "own_id": ("", "data-id-product"),
+            "title": (("h3.product-title a", ".product-title a"), "text"),
+            "link": (("h3.product-title a", ".product-title a"), "href"),
+            "reference": (".product-reference", "text"),
+            "amount": ("span.product-price", "content"),
+            "available": (".product-available", "text"),
+            "image": (("img.product-thumbnail-first", "img"), "data-original"),
+        },
+    ),
+    "opencart": (
+        "div.product-thumb, div.product-layout",
+        {
+            "title": (".caption h4 a, h4 a", "text"),
+            "link": (".caption h4 a, h4 a, .image a", "href"),
+            "shown": (".price", "text"),
+            "words": ("", "words"),
+            "image": (".image img, img", "src"),
+        },
+    ),
+    "odoo": (
+        ".o_wsale_product_grid_wrapper .oe_product_cart, .oe_product_cart, .o_wsale_product_grid_wrapper .oe_product, div.oe_product",
+        {"link": ("a[itemprop='url'], .o_wsale_products_item_title a, a", "href")},
+    ),
+}
+PAGERS = {
+    "woocommerce": ("a.next.page-numbers", {"link": ("", "href")}),
+    "prestashop": ("nav.pagination a.js-search-link", {"label": ("", "text")}),
+    "opencart": ("ul.pagination a[rel='next'], .pagination a[rel='next']", {"link": ("", "href")}),
+    "odoo": ("nav.o_website_sale_pager a[rel='next'], .pagination a[rel='next'], .pagination li.active + li a", {"link": ("", "href")}),
+}
+_SOLD_OUT = ["agotado", "sin stock", "no disponible", "out of stock", "sold out"]
+_IN_STOCK = ["en stock", "in stock", "disponible"]
+# END FIXED VALUES
 
 
 def stock_from_words(text: Column) -> Column:
     """Stock from a card's words: what denies it counts before what states it."""
     low = F.lower(text)
-    return first_case([(contains_any(low, ["agotado", "sin stock", "no disponible", "out of stock", "sold out"]), F.lit("agotado")), (contains_any(low, ["disponible", "en stock", "in stock", "añadir"]), F.lit("disponible"))], F.lit("desconocido"))
+    return first_case([(contains_any(low, _SOLD_OUT), F.lit("agotado")), (contains_any(low, _IN_STOCK), F.lit("disponible"))], F.lit("desconocido"))
 
 
-#: How shop platforms mark a product card in a list page, and its id.
-CARDS = {
-    "woocommerce": (r"(?is)<li[^>]*class=\"[^\"]*\bproduct\b[^\"]*\"[^>]*>.*?</li>", r"(?i)data-product_id=\"(\d+)\""),
-    "prestashop": (r"(?is)<article[^>]*product-miniature[^>]*>.*?</article>", r"(?i)data-id-product=\"(\d+)\""),
-    "opencart": (r"(?is)<div[^>]*product-(?:thumb|layout)[^>]*>.*?(?=<div[^>]*product-(?:thumb|layout)|$)", r"(?i)product_id=(\d+)"),
-}
+def list_page(html: Column, platform: str) -> Column:
+    """A page's ``cards`` and ``pager`` links as they stand in it, read in one go."""
+    return markup.read(html, {"cards": CARDS[platform], "pager": PAGERS[platform]})
+
+
+def card_rows(df: DataFrame, platform: str, cards: str = "cards") -> DataFrame:
+    """A row per card of an array of ``list_page``: position, id_product, name, url, price, stock_status, sku, image_url.
+
+    woocommerce: the price is the reduced amount, else a single amount, else the last one with a currency sign;
+    sold out only by a class of the card.  prestashop: the price's ``content`` alone; available only if marked
+    so.  opencart: price and stock from the card's words.  Cards without a name are left out, but for
+    prestashop's, which leave the validity check to decide; so does a missing link."""
+    c = df.select(*df.drop(cards).columns, F.posexplode(cards).alias("position", "_c"))
+    none, title, of = F.lit(None).cast("string"), F.nullif(F.col("_c.title"), F.lit("")), lambda f: F.col(f"_c.{f}")
+    if platform == "woocommerce":
+        shown = F.coalesce(F.try_element_at(F.regexp_extract_all(of("shown"), F.lit(_MONEY), F.lit(0)), F.lit(-1)), of("shown"))
+        price = parse_price(F.when(of("amount").isNotNull(), of("amount")).otherwise(shown))
+        values = {"id_product": none, "name": clean_markup(title), "price": price, "stock_status": _stock(~F.coalesce(F.contains(of("classes"), F.lit("outofstock")), F.lit(False))), "sku": none}
+    elif platform == "prestashop":
+        values = {"id_product": of("own_id"), "name": title, "price": parse_price(of("amount")), "stock_status": _stock(of("available").isNotNull()), "sku": of("reference")}
+    else:
+        values = {"id_product": found(of("link"), r"product_id=(\d+)"), "name": title, "price": parse_price(of("shown")), "stock_status": stock_from_words(of("words")), "sku": none}
+    rows = c.select(*df.drop(cards).columns, "position", *(v.alias(k) for k, v in values.items()), of("link").alias("url"), of("image").alias("image_url"))
+    rows = rows.select(*df.drop(cards).columns, "position", "id_product", "name", "url", "price", "stock_status", "sku", "image_url")
+    return rows if platform == "prestashop" else rows.filter("name is not null")
 
 
 def html_cards(df: DataFrame, platform: str, html: str = "html") -> DataFrame:
-    """One row per product card of list pages: id, name, url, price, stock; the first card of each id.
-
-    The price is the inserted one of a reduction, else the last amount in the card.  Stock comes
-    from the card's classes or else its words.  Cards without a name or a link are left out.  Cards are
-    cut by patterns up to their first closing tag, so a list item or article inside a card ends it."""
-    card, own_id = CARDS[platform]
-    c = df.select(*df.drop(html).columns, F.posexplode(F.regexp_extract_all(html, F.lit(card), F.lit(0))).alias("_at", "_card"))
-    text = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))
-    name = text(F.coalesce(found(F.col("_card"), r"(?is)<h[2-4][^>]*>(.*?)</h[2-4]>"), found(F.col("_card"), r"(?is)class=\"name\"[^>]*>(.*?)</")))
-    price = F.coalesce(last_money(text(found(F.col("_card"), r"(?is)<ins[^>]*>(.*?)</ins>"))), last_money(text(F.col("_card"))))
-    head = F.lower(F.regexp_extract("_card", "(?is)^<[^>]*>", 0))
-    stock = first_case([(contains_any(head, ["outofstock", "out-of-stock"]), F.lit("agotado")), (F.contains(head, F.lit("instock")), F.lit("disponible"))], stock_from_words(text(F.col("_card"))))
-    rows = c.select(*df.drop(html).columns, "_at", found(F.col("_card"), own_id).alias("id_product"), F.nullif(name, F.lit("")).alias("name"), found(F.col("_card"), r"(?i)<a[^>]+href=\"([^\"]+)\"").alias("url"), price.alias("price"), stock.alias("stock_status"))
-    keys = [*df.drop(html).columns, F.coalesce("id_product", "url")]
-    first = Window.partitionBy(*keys).orderBy("_at")
-    return rows.filter("name is not null and url is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_at")
+    """A row per product card of list pages, see ``card_rows``."""
+    return card_rows(df.select(*df.drop(html).columns, list_page(F.col(html), platform)["cards"].alias("cards")), platform)
 
 
 def next_page(html: Column) -> Column:
