@@ -109,8 +109,37 @@ def seed_actions(catalog: DataFrame, seed: DataFrame, key: list[str], derived: l
     return joined.select("s.*", action.alias("action"))
 
 
-def new_urls(found: DataFrame, known: DataFrame, prefix: str, words: list[str], cap: int = 30, store: str = "store_id", url: str = "url") -> DataFrame:
+# BEGIN FIXED VALUES: new URLs that are fetched from a store at once
+URLS_PER_POLL = 30
+# END FIXED VALUES
+
+
+def new_urls(found: DataFrame, known: DataFrame, prefix: str, words: list[str], cap: int = URLS_PER_POLL, store: str = "store_id", url: str = "url") -> DataFrame:
     """Sitemap URLs under a prefix that hold one of the words and are not known: the first of each store."""
     fits = F.col(url).startswith(prefix) & F.lower(url).rlike("|".join(words))
     fresh = found.filter(fits).select(store, url).distinct().join(known.select(url), url, "left_anti")
     return fresh.withColumn("place", F.row_number().over(Window.partitionBy(store).orderBy(url))).filter(F.col("place") <= cap)
+
+
+def listed_urls(found: DataFrame, known: DataFrame, words: list[str], store: str = "store_id", url: str = "url") -> DataFrame:
+    """Sitemap entries that look like products to be had: under one of the store's own prefixes, with one of the
+    words in them, and not known.  A prefix is the address and first folder of a known URL below it; a store without
+    known ones takes any."""
+    parts = F.split(url, "/")
+    prefix = F.when(F.size(parts) > 4, F.concat(F.array_join(F.slice(parts, 1, 4), "/"), F.lit("/")))
+    own = known.filter(F.col(url).isNotNull()).select(store, prefix.alias("_prefix")).filter("_prefix is not null").distinct()
+    has = own.select(store).distinct().withColumn("_has", F.lit(True))
+    wordy = found.filter(F.lower(url).rlike("|".join(words))).withColumn("_prefix", prefix)
+    fits = wordy.join(own.withColumn("_fits", F.lit(True)), [store, "_prefix"], "left").join(has, store, "left").filter("_fits or _has is null")
+    return fits.select(found.columns).join(known.select(store, url).distinct(), [store, url], "left_anti")
+
+
+def paced(urls: DataFrame, cap: int, order: list[str], store: str = "store_id", period: str = "period") -> DataFrame:
+    """``urls`` with ``slot``: the period in which each is fetched if at most ``cap`` of a store are in one, the first
+    in ``order`` first, none before its own ``period``.
+
+    Of every cap-th URL each takes a later period than the one before, so the slot is a running maximum."""
+    own = Window.partitionBy(store)
+    d = urls.withColumn("_k", F.row_number().over(own.orderBy(period, *order)) - 1).withColumn("_turn", F.floor(F.col("_k") / cap))
+    ahead = Window.partitionBy(store, F.col("_k") % cap).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("slot", F.max(F.col(period) - F.col("_turn")).over(ahead) + F.col("_turn")).drop("_k", "_turn")

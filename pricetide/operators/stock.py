@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def transitions(signals: DataFrame, key: str = "listing_id", time: str = "ts", tie: str = "event_id") -> DataFrame:
+def transitions(signals: DataFrame, key: str = "listing_id", time: str = "ts", tie: str = "event_id", forget_days: int | None = None) -> DataFrame:
     """Signals that turn a listing from sold out to available.  First sightings and signals after an
-    unknown state never do."""
-    before = F.lag("stock_status").over(Window.partitionBy(key).orderBy(time, tie))
+    unknown state never do, nor what follows a silence of more than ``forget_days``."""
+    own = Window.partitionBy(key).orderBy(time, tie)
+    before = F.lag("stock_status").over(own)
+    if forget_days is not None:
+        silence = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(own).cast("timestamp"))
+        before = F.when(silence <= forget_days * 86_400_000_000, before)
     return signals.withColumn("before", before).filter("before = 'agotado' and stock_status = 'disponible'").drop("before")
 
 
@@ -46,6 +50,15 @@ def failure_runs(runs: DataFrame, key: str, time: str, tie: str, failed: str, th
     return runs.withColumn("backoff_until", F.when(F.col(failed) & (F.col("failures") >= threshold), F.col(time) + F.make_dt_interval(secs=F.lit(pause_seconds))))
 
 
+def pause_ends(runs: DataFrame, key: str, time: str, tie: str, failed: str, threshold: int = 3, pause_seconds: int = 1800) -> DataFrame:
+    """(key, ts, failures): when a pause runs out.  One that a success cuts short, or a further failure makes longer,
+    before its end does not."""
+    counted = failure_runs(runs.filter(F.col(failed).isNotNull()), key, time, tie, failed, threshold, pause_seconds)
+    following = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
+    ended = counted.withColumn("_next", following).filter(F.col("backoff_until").isNotNull() & F.coalesce(F.col("_next") >= F.col("backoff_until"), F.lit(True)))
+    return ended.select(key, F.col("backoff_until").alias("ts"), "failures")
+
+
 def runnable(stores: DataFrame, now) -> DataFrame:
     """Active stores that are not being left alone."""
     return stores.filter(F.col("active") & F.coalesce(F.col("backoff_until") <= F.lit(now), F.lit(True)))
