@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.catalog_queries import query
-from pricetide.operators import ingest, persist
+from pricetide.operators import ingest, persist, stock
 from pricetide.plans.adapters import Domain
 from pricetide.sources.snapshots import SnapshotTable
 from pricetide.sources.storage import shared_folder
+from pricetide.streaming import notify
 
 _KEY = "store_id long, store_url string, raw_variant string"
 _STATES = """, edge as (select date '1997-01-01' as a, date '1998-01-01' as b),
@@ -69,3 +70,67 @@ def ingested_restocks(d: Domain) -> DataFrame:
         both = rows.unionByName(nameless).filter(F.col("batch") == k).drop("batch")
         persist.ingest_batch(tables, both, f"batch{k}", dt.date(1996 + k, 1, 1), start + dt.timedelta(days=365 * k))
     return tables.restock.read().select("store_id", "product_id", "batch")
+
+
+_RUNS = """, runs as (select listing_id as store_id, ts, event_id, case when stock_status = 'agotado' then true when event_id % 3 > 0 then false end as failed from signal)
+"""
+
+
+@query(_RUNS + """, r as (with recursive step as (
+  select *, row_number() over (partition by store_id order by ts, event_id) as k from runs where failed is not null),
+go as (select store_id, k, ts, case when failed then 1 else 0 end as n from step where k = 1
+  union all select s.store_id, s.k, s.ts, case when s.failed then g.n + 1 else 0 end from go g join step s on s.store_id = g.store_id and s.k = g.k + 1) select * from go)
+select a.store_id, a.ts + interval 12 hour as ts, a.n as failures from r a left join r b on b.store_id = a.store_id and b.k = a.k + 1 where a.n >= 2 and (b.ts is null or b.ts >= a.ts + interval 12 hour)""")
+def pauses_ended(d: Domain) -> DataFrame:
+    """When pauses of half a day after two failures in a row run out; the twin of the stream's timers."""
+    failed = F.when(F.col("stock_status") == "agotado", True).when(F.col("event_id") % 3 > 0, False)
+    runs = d.signal.select(F.col("listing_id").alias("store_id"), "ts", "event_id", failed.alias("failed"))
+    return stock.pause_ends(runs, "store_id", "ts", "event_id", "failed", 2, 43_200)
+
+
+@query("""select event_id, listing_id from (select *, lag(stock_status) over w as before, lag(ts) over w as since from signal window w as (partition by listing_id order by ts, event_id))
+where before = 'agotado' and stock_status = 'disponible' and ts - since <= interval 2 day""")
+def restocks_not_forgotten(d: Domain) -> DataFrame:
+    return stock.transitions(d.signal, forget_days=2).select("event_id", "listing_id")
+
+
+_FOUND = """, known as (select l_suppkey as store_id, 'https://s' || l_suppkey || '/p/' || l_partkey as url from lineitem where l_suppkey % 4 > 0 and l_returnflag = 'R'),
+entry as (select l_suppkey as store_id, 'https://s' || l_suppkey || case l_linenumber % 3 when 0 then '/q/' else '/p/' end || case when l_partkey % 5 < 2 then 'Card-' else '' end || l_partkey as url, min(l_shipdate) as ts from lineitem where l_shipdate >= date '1998-06-01' group by 1, 2),
+fresh as (select * from entry e where contains(lower(url), 'card') and (store_id % 4 = 0 or url like 'https://s' || store_id || '/p/%') and not exists (select 1 from known k where k.url = e.url)),
+"""
+
+
+@query(_FOUND + """ranked as (select *, date_diff('day', date '1970-01-01', ts::date) as period, row_number() over (partition by store_id order by ts, url) as k from fresh),
+slots as (with recursive s as (
+  select store_id, url, k, period, period as slot, 1 as taken from ranked where k = 1
+  union all select r.store_id, r.url, r.k, r.period, case when r.period > s.slot then r.period when s.taken < 2 then s.slot else s.slot + 1 end, case when r.period > s.slot or s.taken = 2 then 1 else s.taken + 1 end
+  from s join ranked r on r.store_id = s.store_id and r.k = s.k + 1) select * from s)
+select store_id, url, period, slot from slots""")
+def paced_new_urls(d: Domain) -> DataFrame:
+    """New card URLs of shops, two a day and shop at most; the twin of the stream that keeps the rest waiting."""
+    li, card = d.raw("lineitem"), F.when(F.col("l_partkey") % 5 < 2, "Card-").otherwise("")
+    base = F.concat(F.lit("https://s"), "l_suppkey")
+    known = li.filter("l_suppkey % 4 > 0 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("store_id"), F.concat(base, F.lit("/p/"), "l_partkey").alias("url"))
+    url = F.concat(base, F.when(F.col("l_linenumber") % 3 == 0, "/q/").otherwise("/p/"), card, "l_partkey")
+    entries = li.filter("l_shipdate >= '1998-06-01'").groupBy(F.col("l_suppkey").alias("store_id"), url.alias("url")).agg(F.min("l_shipdate").alias("ts"))
+    fresh = ingest.listed_urls(entries, known, ["card"]).withColumn("period", F.unix_date(F.col("ts").cast("date")).cast("long"))
+    # within a day by time, as they came
+    return ingest.paced(fresh, 2, ["ts", "url"]).select("store_id", "url", "period", "slot")
+
+
+@query("""select event_id, cast(count(subscriber_id) filter (where subscriber_id % 5 > 1) as bigint) as sent, cast(count(subscriber_id) filter (where subscriber_id % 5 = 0) as bigint) as dead from (
+  select event_id, listing_id + 1 as product_id, listing_id % 25 + 1 as store_id from (select *, lag(stock_status) over (partition by listing_id order by ts, event_id) as before from signal) where before = 'agotado' and stock_status = 'disponible') e
+left join subscription s on s.product_id = e.product_id and (s.store_id is null or s.store_id = e.store_id) group by 1""")
+def notified_once(d: Domain) -> DataFrame:
+    """Restocks told to their subscribers, the batch coming twice; dead subscriptions are gone afterwards."""
+    subscriptions = d.subscription.select(F.col("subscriber_id").alias("subscription_id"), F.col("product_id").cast("long").alias("product_id"), "store_id", F.lit("e").alias("push_endpoint"))
+    shape = lambda s: d.spark.createDataFrame([], s).schema
+    make = lambda s, key: SnapshotTable.create(d.spark, _folder(d), s, key, 8)
+    tables = notify.Tables(make(shape("event_id long, product_id long, store_id long, subscribers_notified long"), ["event_id"]), make(subscriptions.schema, ["subscription_id"]), make(shape(notify.DELIVERY), ["event_id", "subscription_id"]))
+    persist.upsert(tables.subscriptions, subscriptions, [])
+    events = stock.transitions(d.signal).select("event_id", (F.col("listing_id") + 1).alias("product_id"), (F.col("listing_id") % 25 + 1).alias("store_id"))
+    outcome = F.when(F.col("subscription_id") % 5 == 0, "dead").when(F.col("subscription_id") % 5 == 1, "failed").otherwise("sent")
+    for _ in range(2):
+        notify.batch(events, tables, d.product, lambda m: m.withColumn("outcome", outcome))
+    gone = tables.deliveries.read().join(tables.subscriptions.read(), "subscription_id", "left_anti").groupBy("event_id").agg(F.count("*").alias("dead"))
+    return tables.events.read().join(gone, "event_id", "left").select("event_id", F.col("subscribers_notified").alias("sent"), F.coalesce("dead", F.lit(0).cast("long")).alias("dead"))
