@@ -379,7 +379,7 @@ def page_numbers(d: Domain) -> DataFrame:
     return d.raw("pages").select("page_id", payloads.page_number(F.col("url")).alias("page"))
 
 
-@query("""select p_partkey as id, p_name || ' ' || v as name, case when v = 1 then null else 'V' || v end as variant, cast(round(p_retailprice, 2) as double) as price,
+@query("""select p_partkey as id, p_name || ' ' || v as name, case when v = 1 then 'Default Title' else 'V' || v end as variant, cast(round(p_retailprice, 2) as double) as price,
   case when (p_size + v) % 2 = 0 then 'disponible' else 'agotado' end as stock_status, case when p_size % 2 = 0 then 'a, b' else p_brand end as tags
 from part, (values (1), (2)) t(v)""")
 def shopify_rows(d: Domain) -> DataFrame:
@@ -387,7 +387,7 @@ def shopify_rows(d: Domain) -> DataFrame:
     variants = F.concat_ws(",", *(F.format_string('{"title":"%s","price":"%s","available":%s,"sku":"s"}', F.lit("Default Title" if v == 1 else f"V{v}"), F.round("p_retailprice", 2).cast("decimal(12,2)").cast("string"), ((F.col("p_size") + v) % 2 == 0).cast("string")) for v in (1, 2)))
     payload = F.concat(F.lit('{"products":[{"id":'), F.col("p_partkey"), F.lit(',"title":"'), F.col("p_name"), F.lit('","handle":"h","tags":'), tags, F.lit(',"images":[],"variants":['), variants, F.lit("]}]}"))
     rows = payloads.shopify(d.raw("part").select(F.lit("https://shop.example").alias("store_url"), payload.alias("payload")))
-    number = F.when(F.col("variant").isNull(), " 1").otherwise(" 2")
+    number = F.when(F.col("variant") == "Default Title", " 1").otherwise(" 2")
     return rows.select(F.col("id_product").cast("long").alias("id"), F.concat("name", number).alias("name"), "variant", "price", "stock_status", "tags")
 
 

@@ -61,6 +61,25 @@ def matching_products(products: DataFrame, listings: DataFrame, f: ProductFilter
     return found
 
 
+def flat_categories(categories: DataFrame) -> DataFrame:
+    """All categories without their tree, with the place of each by name."""
+    return categories.select("id", "name", "slug", F.row_number().over(Window.orderBy("name", "id")).alias("place"))
+
+
+def raw_products(products: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` ids with their product as it stands, whether it has listings or not: code 200, or 404."""
+    known = products.withColumn("_known", F.lit(True))
+    return wanted.join(known, "product_id", "left").withColumn("code", F.when(F.col("_known"), 200).otherwise(404)).drop("_known")
+
+
+def detailed_stores(stores: DataFrame, health: DataFrame) -> DataFrame:
+    """Every store with its state (store_id, last_scraped_at, consecutive_failures, backoff_until), where there is one,
+    and its place by name."""
+    d = stores.join(health.select("store_id", "last_scraped_at", "consecutive_failures", "backoff_until"), "store_id", "left")
+    place = F.row_number().over(Window.orderBy("store_name", "store_id"))  # of all shops: a short list
+    return d.withColumn("consecutive_failures", F.coalesce("consecutive_failures", F.lit(0))).withColumn("place", place)
+
+
 def search(products: DataFrame, listings: DataFrame, f: ProductFilters) -> DataFrame:
     """One page: best score first, then by id."""
     limit = min(f.limit, PAGE_LIMIT)

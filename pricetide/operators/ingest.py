@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions import tables as t
+from pricetide.functions.classify import classify
 from pricetide.functions.columns import first_case
+from pricetide.sources.sinks import PRODUCT_FIELDS
 
 KEY = ["store_id", "store_url", "raw_variant"]
 WIDTHS = {"store_sku": 255, "raw_name": 500, "raw_variant": 255}
@@ -32,6 +34,24 @@ def valid_rows(rows: DataFrame, observation: Observation | None = None) -> DataF
     return rows.withColumn("stock_status", F.when(low.isin(STOCK), low).otherwise("desconocido"))
 
 
+def product_rows(parsed: DataFrame, store: str = "store", platform: str = "platform") -> DataFrame:
+    """Rows of any parser as products (``sinks.PRODUCT_FIELDS`` and tags), classified by name, variant and tags.  What a
+    parser does not know is null."""
+    known = parsed.select("*", *(F.lit(None).cast("string").alias(c) for c in ("id_product", "variant", "tags", "sku", "image_url", "url") if c not in parsed.columns))
+    texts = ["id_product", "name", "variant", "url", "sku", "image_url", "tags"]
+    c = classify(known.withColumns({t_: F.col(t_).cast("string") for t_ in texts}), "name", "variant", "tags", "_class")
+    values = {"store": F.col(store), "platform": F.col(platform)} | {k: F.col(f"_class.{k}") for k in ("product_type", "main_set", "set_code", "language")}
+    return c.select(*(values.get(f, F.col(f)).alias(f) for f in [*PRODUCT_FIELDS, "tags"]))
+
+
+def scraped_rows(products: DataFrame, stores: DataFrame) -> DataFrame:
+    """Products as rows for ``accepted``, with their store's id by its name (``store_id``, ``store_name``); rows of
+    unknown stores are left out."""
+    ids = stores.groupBy(F.col("store_name").alias("store")).agg(F.min("store_id").alias("store_id"))
+    names = {"url": "store_url", "variant": "raw_variant", "sku": "store_sku", "name": "raw_name", "tags": "raw_tags"}
+    return products.join(ids, "store").select("store_id", *(F.col(c).alias(n) for c, n in names.items()), "price", "stock_status")
+
+
 def quarantined_stores(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Stores whose batch holds a key twice; nulls in a key equal each other."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(key[0]).distinct()

@@ -4,9 +4,12 @@ Pages are landed by whatever fetches them, a row per page with its HTTP status (
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.sources import payloads
 from pricetide.sources.payloads import woocommerce
 
 PAGE = ["store_id", "website_url", "store_url"]
@@ -49,6 +52,34 @@ def woocommerce_items(landed: DataFrame, payload: str = "payload") -> DataFrame:
     return joined.withColumns({c: F.when(F.col("status") == "modified", F.col(c)) for c in ("price", "stock_status")})
 
 
+#: How each platform's own page of a product is read; the other platforms have endpoints for items.
+DETAIL_PAGES: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+    "odoo": lambda df, html: payloads.json_ld(df, html, strict=True),
+    "jsonld": payloads.json_ld,
+    "prestashop": payloads.prestashop_detail,
+    "opencart": payloads.opencart_detail,
+}
+
+
+def page_items(landed: DataFrame, platform: str, html: str = "html") -> DataFrame:
+    """One row per landed product page of a platform of ``DETAIL_PAGES`` with ``status``, and name, price and stock
+    if a product was found in it.  These pages know no variants."""
+    keys = [c for c in landed.columns if c != html]
+    read = DETAIL_PAGES[platform](landed.filter("http_status = 200").select("store_id", "store_url", html), html)
+    found = read.select("store_id", "store_url", "name", "price", "stock_status", F.lit(True).alias("_read"))
+    joined = landed.select(keys).join(found, ["store_id", "store_url"], "left").withColumn("variant", F.lit(None).cast("string"))
+    return joined.withColumn("status", status_of(F.col("http_status"), F.col("_read"))).drop("_read")
+
+
+def shopify_items(landed: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per variant of landed item pages, and one for a page without any, with ``status``; ``place``
+    is the variant's in the page."""
+    keys = [c for c in landed.columns if c != payload]
+    read = payloads.shopify_item(landed.filter("http_status = 200").select("store_id", "store_url", payload), payload).withColumn("_read", F.lit(True))
+    joined = landed.select(keys).join(read, ["store_id", "store_url"], "left")
+    return joined.withColumn("status", status_of(F.col("http_status"), F.col("_read"))).drop("_read")
+
+
 def new_states(hot: DataFrame, refreshed: DataFrame) -> DataFrame:
     """The listings of refreshed pages with the price and stock of the variant of their name (no name is a
     name).  Of variants that come twice the first counts (``place``); listings without one are left out."""

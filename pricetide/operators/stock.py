@@ -25,10 +25,16 @@ def restock_events(previous: DataFrame, now: DataFrame, key: list[str]) -> DataF
     return left.join(right, [*same, turned]).select(*(F.col(f"n.{k}").alias(k) for k in key), F.col("p.product_id").alias("product_id"))
 
 
-def restock_feed(events: DataFrame, products: DataFrame, stores: DataFrame, now, hours: int, limit: int | None = None) -> DataFrame:
-    """Restocks of the last hours with product and store, newest first."""
+def restock_feed(events: DataFrame, products: DataFrame, stores: DataFrame, now, hours: int, limit: int | None = None, game: str | None = None, category: str | None = None, listings: DataFrame | None = None) -> DataFrame:
+    """Restocks of the last hours with product and store, newest first; of one game or category only, if named, and with
+    the listing's present ``price``, if ``listings`` (store_id, product_id) are given."""
     recent = events.filter(F.col("detected_at") >= F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    wanted = {"game_slug": game, "category_slug": category}
+    for column, slug in wanted.items():
+        products = products if slug is None else products.filter(F.col(column) == slug)
     out = recent.join(products, "product_id").join(stores, "store_id")
+    if listings is not None:
+        out = out.join(listings.select("store_id", "product_id", "price"), ["store_id", "product_id"])
     return out if limit is None else out.orderBy(F.desc("detected_at"), "event_id").limit(min(limit, 200))
 
 

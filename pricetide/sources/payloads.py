@@ -24,13 +24,26 @@ def _stock(available: Column) -> Column:
     return F.when(available, "disponible").otherwise("agotado")
 
 
+_VARIANTS = "array<struct<title:string,price:string,available:boolean,sku:string>>"
+
+
 def shopify(df: DataFrame, base: str = "store_url", payload: str = "payload") -> DataFrame:
-    """One row per variant of a product list page.  Tags may be a text or a list."""
-    p = df.withColumn("_p", F.explode(F.from_json(payload, _SHOPIFY)["products"])).withColumn("_v", F.explode("_p.variants"))
+    """One row per variant of a product list page, one without a variant for a product that has none.  Tags
+    may be a text or a list."""
+    p = df.withColumn("_p", F.explode(F.from_json(payload, _SHOPIFY)["products"]))
+    some = F.coalesce(F.nullif("_p.variants", F.array().cast(_VARIANTS)), F.from_json(F.lit("[{}]"), _VARIANTS))
+    p = p.withColumn("_v", F.explode(some))
     listed = F.from_json("_p.tags", "array<string>")
     tags = F.when(F.col("_p.tags").startswith("["), F.array_join(listed, ", ")).otherwise(F.col("_p.tags"))
-    variant = F.nullif(F.col("_v.title"), F.lit("Default Title"))
-    return p.select(*df.drop(payload).columns, F.col("_p.id").cast("string").alias("id_product"), F.col("_p.title").alias("name"), variant.alias("variant"), tags.alias("tags"), parse_price(F.col("_v.price")).alias("price"), _stock(F.col("_v.available")).alias("stock_status"), F.concat(F.col(base), F.lit("/products/"), F.col("_p.handle")).alias("url"), F.col("_v.sku").alias("sku"), F.get("_p.images", 0)["src"].alias("image_url"))
+    return p.select(*df.drop(payload).columns, F.col("_p.id").cast("string").alias("id_product"), F.col("_p.title").alias("name"), F.col("_v.title").alias("variant"), tags.alias("tags"), parse_price(F.col("_v.price")).alias("price"), _stock(F.col("_v.available")).alias("stock_status"), F.concat(F.col(base), F.lit("/products/"), F.col("_p.handle")).alias("url"), F.col("_v.sku").alias("sku"), F.get("_p.images", 0)["src"].alias("image_url"))
+
+
+def shopify_item(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per variant of a single product's page (``{"product": ...}``): place, variant, name, price, stock.  Pages
+    without variants, or that are no such text, have no rows."""
+    item = F.from_json(payload, f"product struct<title:string,variants:{_VARIANTS}>")["product"]
+    p = df.withColumn("_p", item).select("*", F.posexplode("_p.variants").alias("place", "_v"))
+    return p.select(*df.drop(payload).columns, "place", F.col("_v.title").alias("variant"), F.col("_p.title").alias("name"), parse_price(F.col("_v.price")).alias("price"), _stock(F.col("_v.available")).alias("stock_status"))
 
 
 def woocommerce(df: DataFrame, slug: str | None = None, words: tuple[str, ...] = (), payload: str = "payload") -> DataFrame:
