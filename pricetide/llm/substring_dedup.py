@@ -9,9 +9,9 @@ Extend: each occurrence is extended both ways as far as windows over it reach.
 extensions agree throughout form a class, represented by its smallest document: all windows over
 the anchor are repeats in the others.  Where the extensions of an anchor differ, the
 representatives of its classes compare their windows one by one, by 128-bit hashes; no pairs of documents
-are formed, so a passage in a third of all rows costs one class row per occurrence at most.
+are formed: a passage in a third of all rows, each time in other surroundings, costs the rows of its windows.
 
-Anchors and classes of very many occurrences are few (``HOT_KEYS`` at most, as each has so large a
+Anchors, classes and windows of very many occurrences are few (``HOT_KEYS`` at most, as each has so large a
 part of all): what is known of them is broadcast, and their rows are spread evenly in the joins.
 
 Keep: runs of at least ``window`` words, merged into maximal spans.
@@ -136,10 +136,12 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     found = _attach(found, classes, ["anchor", "context"], hot).withColumn("lead", F.coalesce("lead", "_id"))
     found = materialize(found.filter("_id > lead or several").select("_id", "_tag", "at", (F.col("_id") > F.col("lead")).alias("whole")), "leads")
     whole = found.filter("whole").select("_id", "_tag", F.greatest(F.col("at") - (window - k), F.lit(0)).alias("first"), (F.col("at") + window).alias("last"))
-    leads = found.filter("not whole").groupBy("_id", "_tag").agg(F.collect_list("at").alias("anchors"))
+    leads = found.filter("not whole").groupBy("_id", "_tag").agg(F.collect_set("at").alias("anchors"))
     windows = materialize(_windows(keyed.join(leads, ["_id", "_tag"]), window, k), "windows")
-    least = windows.groupBy("hash", "hash2").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).filter("least < most").select("hash", "hash2", "least")
-    single = windows.join(least, ["hash", "hash2"]).filter("_id > least").select("_id", "_tag", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
+    least = windows.groupBy("hash", "hash2").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count("*").alias("n")).filter("least < most")
+    least = materialize(least.select("hash", "hash2", "n", "least"), "least")
+    hot = F.col("n") >= max(HOT_ROWS, (least.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    single = _attach(windows, least, ["hash", "hash2"], hot).filter("_id > least").select("_id", "_tag", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
     return whole.unionByName(single)
 
 
@@ -156,7 +158,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     added = T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("removed", T.ArrayType(T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType())))
     df = df.drop(*(f.name for f in added))
     own_id, own_tag, own_spans = free_names(df, "_id", "_tag", "_spans")
-    spans = repeats(df, id_col, text_col, window, k).groupBy(F.col("_id").alias(own_id), F.col("_tag").alias(own_tag)).agg(F.collect_list(F.struct("first", "last")).alias(own_spans))
+    spans = repeats(df, id_col, text_col, window, k).groupBy(F.col("_id").alias(own_id), F.col("_tag").alias(own_tag)).agg(F.collect_set(F.struct("first", "last")).alias(own_spans))
     tagged = df.withColumn(own_id, F.col(id_col).try_cast("long")).withColumn(own_tag, F.pmod(F.xxhash64(text_col), F.lit(32749)).cast("int"))
     joined = tagged.join(spans, [own_id, own_tag], "left").select(*df.columns, own_spans)
     out = T.StructType([*df.schema.fields, *added.fields])

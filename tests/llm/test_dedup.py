@@ -61,6 +61,17 @@ def test_substrings_equal_brute_force(spark, odd_texts, seed):
     assert got == brute_repeats(docs, 50)
 
 
+def test_a_passage_in_other_surroundings_everywhere(spark, monkeypatch):
+    """Every occurrence is a class of its own and one window is in every row: no task takes them all."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 20)
+    shared = " ".join(f"w{k}" for k in range(55))
+    docs = {k: f"a{k} b{k} {shared} c{k} " + " ".join(f"t{k}.{i}" for i in range(20)) for k in range(60)}
+    rows = [(k, t) for k, t in docs.items()] + [(7, docs[7])] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(docs, 50)
+
+
 def test_substring_edges(spark):
     text = " ".join(f"w{k}" for k in range(60))
     shape = "doc_id long, text string"
