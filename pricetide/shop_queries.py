@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pricetide.catalog_queries import _EVENTS, _events, query
 from pricetide.operators import catalog, ingest, refresh, runs, stock
 from pricetide.plans.adapters import Domain
-from pricetide.sources import payloads
+from pricetide.sources import landed, payloads
+from pricetide.sources.storage import shared_folder
 
 
 @query("""select p_partkey as store_id, v as place, 'V' || v as variant, p_name as name, cast(p_size + v as double) + 0.5 as price, case when (p_size + v) % 2 = 0 then 'disponible' else 'agotado' end as stock_status, 'modified' as status from part, range(3) t(v) where p_size % 5 > 2
@@ -109,3 +111,13 @@ def detailed_stores(d: Domain) -> DataFrame:
     health = d.store.filter("store_id % 3 > 0").select("store_id", F.lit(None).cast("timestamp").alias("last_scraped_at"), (n % 5).alias("consecutive_failures"), F.lit(None).cast("timestamp").alias("backoff_until"))
     rows = catalog.detailed_stores(d.store, health)
     return rows.select("store_id", "store_name", "consecutive_failures", F.col("place").cast("long").alias("place"))
+
+
+@query("""select 'https://shop ' || p_size as store, p_partkey as id, p_name as name, cast(p_partkey % 90 as double) + 0.5 as price, 'https://shop ' || p_size || '/products/h' as url from part where p_size between 10 and 30""")
+def landed_payloads(d: Domain) -> DataFrame:
+    """Payloads as a fetcher leaves them, a folder per store, read back through the source for some of the stores."""
+    path = f"{shared_folder(d.spark)}/pricetide-landed-{uuid.uuid4().hex}"
+    payload = F.concat(F.lit('{"products":[{"id":'), "p_partkey", F.lit(',"title":"'), "p_name", F.lit('","handle":"h","images":[],"variants":[{"price":"'), F.col("p_partkey") % 90, F.lit(',50","available":true}]}]}'))
+    d.raw("part").select(F.concat(F.lit("https://shop "), "p_size").alias("store"), payload.alias("value")).repartition("store").write.partitionBy("store").text(path)
+    rows = landed.scraped(d.spark, path, "shopify", [f"https://shop {k}" for k in range(10, 31)], lines=True)
+    return rows.select("store", F.col("id_product").cast("long").alias("id"), "name", "price", "url")
