@@ -1,7 +1,8 @@
 """Chat formatting into budgeted windows, in DataFrame functions only.
 
 Prefix sums of turn tokens lay a conversation over intervals of ``room`` tokens: the budget less the
-history's and the system turn's.  Turns within an interval make a window.  The turn across an
+history's and the system turn's.  The system turn is always kept: a long one takes its tokens from the history
+as well, until ``LEAST`` tokens are left to own turns.  Turns within an interval make a window.  The turn across an
 interval's end joins the window before it, or else the one after it, if the sum fits in ``room``;
 else it is a window of its own.  So no window depends on how earlier ones were chosen.
 
@@ -20,6 +21,8 @@ from pricetide.llm.common import materialize
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of a window, and of those that history may take.
 BUDGET, HISTORY = 1280, 256
+#: Tokens of own turns for which there is room in any window, whatever the system turn takes.
+LEAST = 256
 #: Order of a window's turns.
 _SYSTEM, _HISTORY, _OWN = 0, 1, 2
 #: Turn numbers of one block of prefix sums.
@@ -55,9 +58,9 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     ``formatted``, ``n_context`` (turns that repeat earlier windows or the system turn), ``n_own``,
     ``n_tokens`` and ``loss`` (array of start and length in characters of ``formatted``, from 0).
 
-    ``n_tokens`` is at most ``budget``, unless a single own turn leaves no room in it; then the window
-    holds that turn and the system turn only.  ``tokens`` gives a turn's size (``turn_tokens``, an
-    estimate, if left out).  A system turn of more than a quarter of the budget is not repeated.
+    ``n_tokens`` is at most ``budget``, unless a single own turn leaves no room in it, or the system turn leaves
+    less than ``LEAST``; then the window holds its own turns and the system turn only.  ``tokens`` gives a turn's
+    size (``turn_tokens``, an estimate, if left out).
     Null roles and texts count as empty; equal turn numbers are ordered by role and text;
     repeated rows are turns of their own; a null conversation id is a conversation; other columns
     are not read; an empty table gives none.
@@ -92,8 +95,12 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     at = [*keys, "_block", "_rank"]
     turns = materialize(turns.select(*at, "_begin", "_end", "_tokens", "_total", "_system", "_role", "_text"), "turns")
     slim = turns.drop("_role", "_text")
-    systems = slim.filter("_system").select(*keys, F.when(F.col("_tokens") <= budget // 4, F.col("_tokens")).otherwise(0).alias("_kept"))
-    slim = slim.join(systems, keys, "left").withColumn("_kept", F.coalesce("_kept", F.lit(0))).withColumn("_room", budget - history - F.col("_kept"))
+    # a conversation's system turn goes to its blocks first, so that not all of its turns meet in one task
+    systems = slim.filter("_system").select(*keys, F.col("_tokens").alias("_kept"))
+    systems = slim.select(*keys, "_block").distinct().join(systems, keys)
+    slim = slim.join(systems, [*keys, "_block"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0)))
+    slim = slim.withColumn("_room", F.greatest(budget - history - F.col("_kept"), F.lit(min(LEAST, budget - history))))
+    slim = slim.withColumn("_past", F.greatest(F.lit(0), F.least(F.lit(history), budget - F.col("_kept") - F.col("_room"))))
     slim = slim.withColumn("_k", F.floor(F.col("_begin") / F.col("_room"))).withColumn("_across", F.col("_end") > (F.col("_k") + 1) * F.col("_room"))
     part = lambda across: F.coalesce(F.sum(F.when(F.col("_across") == across, F.col("_tokens"))), F.lit(0))
     intervals = slim.groupBy(*keys, "_k").agg(part(False).alias("_inside"), part(True).alias("_over"), F.max("_room").alias("_r"))
@@ -105,12 +112,12 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     of_window = Window.partitionBy(*keys, "_number")
     slim = slim.withColumn("_number", number)
     slim = slim.withColumn("_window", F.min("_begin").over(of_window)).withColumn("_last", F.max("_end").over(of_window))
-    places = materialize(slim.select(*at, "_window", "_last", "_kept", "_room"), "places")
+    places = materialize(slim.select(*at, "_window", "_last", "_kept", "_room", "_past"), "places")
     turns = turns.join(places, at)
 
     piece = F.concat(F.lit(START), escape(F.col("_role"), True), F.lit("\n"), escape(F.col("_text")), F.lit(END + "\n"))
     head = F.length(escape(F.col("_role"), True)) + len(START) + 1
-    turns = turns.select(*keys, "_window", "_begin", "_tokens", "_last", "_total", "_system", "_kept", "_room", piece.alias("piece"), (F.col("_role") == "assistant").alias("target"), head.cast("long").alias("skip"), F.length(escape(F.col("_text"))).cast("long").alias("size"))
+    turns = turns.select(*keys, "_window", "_begin", "_tokens", "_last", "_total", "_system", "_kept", "_room", "_past", piece.alias("piece"), (F.col("_role") == "assistant").alias("target"), head.cast("long").alias("skip"), F.length(escape(F.col("_text"))).cast("long").alias("size"))
 
     def cell(place: int) -> Column:
         return F.struct(F.lit(place).alias("place"), F.col("_begin").alias("begin"), F.col("_tokens").alias("tokens"), "piece", "target", "skip", "size")
@@ -118,7 +125,7 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     # own turns stay where they are; only what a later window repeats moves
     own = turns.groupBy(*keys, F.col("_window").alias("window")).agg(F.collect_list(cell(_OWN)).alias("own"), F.sum("_tokens").alias("own_tokens"), F.max("_room").alias("room"))
     # the next window begins where this one ends
-    follows = turns.filter((F.col("_last") < F.col("_total")) & (F.col("_begin") >= F.col("_last") - history) & ~F.col("_system"))
+    follows = turns.filter((F.col("_last") < F.col("_total")) & (F.col("_begin") >= F.col("_last") - F.col("_past")) & ~F.col("_system"))
     repeated = follows.select(*keys, F.col("_last").alias("window"), cell(_HISTORY).alias("cell"))
     system = turns.filter("_system and _kept > 0").select(*keys, cell(_SYSTEM).alias("cell"))
     system = places.filter("_window > 0").select(*keys, F.col("_window").alias("window")).distinct().join(system, keys)

@@ -41,9 +41,9 @@ with t0 as (
   select *, sum(tokens) over (partition by conv_id order by rk) as e, sum(tokens) over (partition by conv_id) as total from t1
 ), t3 as (
   select *, e - tokens as b, rk = 1 and role = 'system' as sys,
-    coalesce(max(tokens) filter (where rk = 1 and role = 'system' and tokens <= 320) over (partition by conv_id), 0) as kept from t2
+    coalesce(max(tokens) filter (where rk = 1 and role = 'system') over (partition by conv_id), 0) as kept from t2
 ), t4 as (
-  select *, 1024 - kept as room, b // (1024 - kept) as k, e > (b // (1024 - kept) + 1) * (1024 - kept) as across from t3
+  select *, b // room as k, e > (b // room + 1) * room as across, greatest(0, least(256, 1280 - kept - room)) as past from (select *, greatest(1024 - kept, 256) as room from t3)
 ), iv as (
   select conv_id, k, coalesce(sum(tokens) filter (where not across), 0) as inside, coalesce(sum(tokens) filter (where across), 0) as over, max(room) as r from t4 group by 1, 2
 ), t5 as (
@@ -54,7 +54,7 @@ with t0 as (
 ), win as (select conv_id, first, sum(tokens) as own, max(room) as room from t6 group by 1, 2
 ), sizes as (
   select conv_id, sum(chars) as c from t6 group by 1
-  union all select t.conv_id, sum(chars) from t6 t join win on win.conv_id = t.conv_id and win.first = t.last and win.own <= win.room where b >= last - 256 and not sys group by 1
+  union all select t.conv_id, sum(chars) from t6 t join win on win.conv_id = t.conv_id and win.first = t.last and win.own <= win.room where b >= last - past and not sys group by 1
   union all select s.conv_id, sum(s.chars) from t6 s join win on win.conv_id = s.conv_id and win.first > 0 where s.sys and s.kept > 0 group by 1
 )
 select t.conv_id, count(*) as n_turns,

@@ -59,6 +59,20 @@ def test_every_window_of_the_query_keeps_its_budget(spark):
     assert sum(r.n_tokens > chat.BUDGET for r in rows) == 0 and sum(r.n_context > 1 for r in rows) > 0
 
 
+@pytest.mark.parametrize("system", [0, 1400, 2400, 3600, 4400, 9000])
+def test_system_turns_of_any_length_stay(spark, system):
+    """However long, it is in every window; history gives way to it, and only with no room left the budget does."""
+    rng = random.Random(system)
+    rows = [(7, 0, "system", "s" * system)] + [(7, k, "user" if k % 2 else "assistant", f"{k} " + "w" * rng.randint(0, 600)) for k in range(1, 120)]
+    windows = sorted(chat.read_turns(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect(), key=lambda w: w.window)
+    assert [tuple(t) for w in windows for t in w.turns] == [r[2:] for r in rows] and len(windows) > 5
+    size = -(-system // 4) + 4
+    for w in windows[1:]:
+        assert w.formatted.startswith(f"<|im_start|>system\n{'s' * system}<|im_end|>\n<|im_start|>")
+        assert w.n_tokens <= max(chat.BUDGET, size + chat.LEAST)
+    assert any(w.n_context > 1 for w in windows) == (size + chat.LEAST < chat.BUDGET)
+
+
 def test_chat_query_is_native_and_equals_sql(spark):
     import duckdb
 
