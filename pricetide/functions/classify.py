@@ -6,11 +6,14 @@ families in order, the first that applies wins.  Tags only count when name and v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions import tables as t
 from pricetide.functions.columns import contains_any, first_case, found
+from pricetide.functions.titles import with_titles
 
 _PREFIXES = "|".join(t.SET_CODE_PREFIXES)
 _GENERIC = rf"(?i)\b({_PREFIXES})[\s-]?0*(\d{{1,3}})\b"
@@ -74,9 +77,19 @@ def _volume(text: Column, prefix: str = "VOL") -> Column:
     return _code(prefix, found(text, _VOLUME))
 
 
-def _one_pass(nv: Column, norm: Column, text: Column, name: Column, language: Column) -> Column:
+#: Title tables of ``functions.tables`` that ``classify`` looks texts up in.
+TITLE_TABLES = ("BOOSTER_TITLES", "PREMIUM_BOOSTER_TITLES", "EXTRA_BOOSTER_TITLES", "STARTER_DECK_TITLES", "STARTER_DECK_CHARACTERS", "DOUBLE_PACK_TITLES", "PREMIUM_CARD_EDITIONS", "PREMIUM_CARD_EDITIONS_SHORT", "PLAYMAT_CHARACTERS", "SLEEVES_VARIANTS")
+
+
+def standard_titles(spark: SparkSession) -> DataFrame:
+    """The built-in title tables, to be changed and given to ``classify``."""
+    rows = [(name, place, title, code) for name in TITLE_TABLES for place, (title, code) in enumerate(getattr(t, name))]
+    return spark.createDataFrame(rows, "table string, place int, title string, code string")
+
+
+def _one_pass(nv: Column, norm: Column, text: Column, name: Column, language: Column, title: Callable[[str], Column]) -> Column:
     """The decision as a struct.  ``nv``: name and variant; ``norm``: the same, normalized; ``text``: all
-    in lower case, with tags on the second pass."""
+    in lower case, with tags on the second pass; ``title``: the code that a title table has for ``norm``."""
     single = ~nv.rlike(_RANGE)
     numbered = lambda prefix: _code(prefix, found(nv, _family(prefix)))
 
@@ -85,16 +98,16 @@ def _one_pass(nv: Column, norm: Column, text: Column, name: Column, language: Co
         return F.struct(*((F.lit(None) if v is None else v).cast("string").alias(n) for n, v in zip(_SCHEMA, values, strict=True)))
 
     packed = lambda kind, code, main=None: result(kind, code, main, packaging_of(kind, text))
-    titled = lambda prefix, table: F.when(single, F.coalesce(numbered(prefix), look_up(norm, table)))
+    titled = lambda prefix, table: F.when(single, F.coalesce(numbered(prefix), title(table)))
     low = F.lower(nv)
     deck = F.coalesce(
-        F.when(single, F.coalesce(numbered("ST"), _code("ST", found(low, r"\bstarter deck\s*0*(\d{1,2})\b")), _code("ST", found(low, r"\bmazo\b(?:\s+one\s+piece)?\s*0*(\d{1,2})\b")), look_up(norm, t.STARTER_DECK_TITLES))),
-        look_up(norm, t.STARTER_DECK_CHARACTERS),
+        F.when(single, F.coalesce(numbered("ST"), _code("ST", found(low, r"\bstarter deck\s*0*(\d{1,2})\b")), _code("ST", found(low, r"\bmazo\b(?:\s+one\s+piece)?\s*0*(\d{1,2})\b")), title("STARTER_DECK_TITLES"))),
+        title("STARTER_DECK_CHARACTERS"),
     )
-    double = F.when(single, F.coalesce(numbered("DP"), _code("DP", F.coalesce(found(text, r"(?i)\bdouble pack set\s*0*(\d{1,3})\b"), found(text, r"(?i)\bdouble pack.*?vol\.?\s*0*(\d{1,3})\b"))), look_up(norm, t.DOUBLE_PACK_TITLES)))
+    double = F.when(single, F.coalesce(numbered("DP"), _code("DP", F.coalesce(found(text, r"(?i)\bdouble pack set\s*0*(\d{1,3})\b"), found(text, r"(?i)\bdouble pack.*?vol\.?\s*0*(\d{1,3})\b"))), title("DOUBLE_PACK_TITLES")))
     main_of_double = first_case([(double == dp, F.lit(op)) for dp, op in t.BOOSTER_OF_DOUBLE_PACK.items()])
-    sleeves = F.coalesce(_volume(nv), _code("VOL", found(nv, r"(?i)\bsleeves?\s*0*(\d{1,2})\b")), _code("VOL", found(nv, r"(?i)\bv\.?\s*0*(\d{1,2})\b")), look_up(norm, t.SLEEVES_VARIANTS))
-    booster = titled("OP", t.BOOSTER_TITLES)
+    sleeves = F.coalesce(_volume(nv), _code("VOL", found(nv, r"(?i)\bsleeves?\s*0*(\d{1,2})\b")), _code("VOL", found(nv, r"(?i)\bv\.?\s*0*(\d{1,2})\b")), title("SLEEVES_VARIANTS"))
+    booster = titled("OP", "BOOSTER_TITLES")
 
     return first_case([
         (contains_any(text, t.LOT_WORDS), result("LOTE_CARTAS", generic_code(nv))),
@@ -104,32 +117,37 @@ def _one_pass(nv: Column, norm: Column, text: Column, name: Column, language: Co
         (contains_any(text, t.DICE_WORDS), result("DICE_ACCESSORY")),
         (text.rlike(_family("DF")) | contains_any(text, t.DEVIL_FRUIT_WORDS), result("DEVIL_FRUITS_COLLECTION", F.when(single, F.coalesce(numbered("DF"), _volume(nv, "DF"))))),
         (text.rlike(_family("IB")) | contains_any(text, t.ILLUSTRATION_WORDS), result("ILLUSTRATION_BOX", F.coalesce(_volume(nv), F.when(single, _code("VOL", found(nv, _family("IB"))))))),
-        (contains_any(text, t.PLAYMAT_WORDS), result("PLAYMAT", F.coalesce(_volume(nv), look_up(norm, t.PLAYMAT_CHARACTERS)))),
+        (contains_any(text, t.PLAYMAT_WORDS), result("PLAYMAT", F.coalesce(_volume(nv), title("PLAYMAT_CHARACTERS")))),
         (contains_any(text, t.SLEEVE_WORDS), result("SLEEVES", sleeves)),
-        (contains_any(text, t.CARD_COLLECTION_WORDS), result("PREMIUM_CARD_COLLECTION", F.coalesce(_volume(nv), look_up(norm, t.PREMIUM_CARD_EDITIONS), look_up(norm, t.PREMIUM_CARD_EDITIONS_SHORT)))),
+        (contains_any(text, t.CARD_COLLECTION_WORDS), result("PREMIUM_CARD_COLLECTION", F.coalesce(_volume(nv), title("PREMIUM_CARD_EDITIONS"), title("PREMIUM_CARD_EDITIONS_SHORT")))),
         (contains_any(text, t.LEARNING_WORDS), packed("STARTER_DECK", F.coalesce(_code("LD", found(nv, r"(?i)\bLD[\s-]?0*(\d{1,2})\b")), F.lit("LD01")))),
         (text.rlike(_family("ST")) | contains_any(text, t.DECK_WORDS), packed("STARTER_DECK", deck)),
         (text.rlike(_family("DP")) | contains_any(text, t.DOUBLE_PACK_WORDS), packed("DOUBLE_PACK", double, main_of_double)),
-        (text.rlike(_family("PRB")) | look_up(norm, t.PREMIUM_BOOSTER_TITLES).isNotNull(), packed("PREMIUM_BOOSTER_BOX", titled("PRB", t.PREMIUM_BOOSTER_TITLES))),
-        (text.rlike(_family("OP")) | look_up(norm, t.BOOSTER_TITLES).isNotNull(), packed("ONE_PIECE", booster, booster)),
-        (text.rlike(_family("EB")) | contains_any(text, t.EXTRA_BOOSTER_WORDS) | look_up(norm, t.EXTRA_BOOSTER_TITLES).isNotNull(), packed("EXTRA_BOOSTER", titled("EB", t.EXTRA_BOOSTER_TITLES))),
+        (text.rlike(_family("PRB")) | title("PREMIUM_BOOSTER_TITLES").isNotNull(), packed("PREMIUM_BOOSTER_BOX", titled("PRB", "PREMIUM_BOOSTER_TITLES"))),
+        (text.rlike(_family("OP")) | title("BOOSTER_TITLES").isNotNull(), packed("ONE_PIECE", booster, booster)),
+        (text.rlike(_family("EB")) | contains_any(text, t.EXTRA_BOOSTER_WORDS) | title("EXTRA_BOOSTER_TITLES").isNotNull(), packed("EXTRA_BOOSTER", titled("EB", "EXTRA_BOOSTER_TITLES"))),
         (text.rlike(t.SEALED) & ~text.rlike(t.ACCESSORY), packed("ONE_PIECE", None)),
     ], result("OTROS", generic_code(nv)))
 
 
-def classify(df: DataFrame, name: str = "name", variant: str = "variant", tags: str = "tags", out: str = "cls") -> DataFrame:
-    """``df`` with the classification struct ``out``.  An empty or missing name is OTROS throughout."""
+def classify(df: DataFrame, name: str = "name", variant: str = "variant", tags: str = "tags", out: str = "cls", titles: DataFrame | None = None) -> DataFrame:
+    """``df`` with the classification struct ``out``.  An empty or missing name is OTROS throughout.
+
+    ``titles`` (table, place, title, code; see ``standard_titles``) stand in for the built-in title tables."""
     have = F.coalesce(F.col(name), F.lit("")) != ""
     variant_text, tag_text = F.coalesce(F.col(variant), F.lit("")), F.coalesce(F.col(tags), F.lit(""))
     staged = df.withColumn("_nv", F.concat_ws(" ", F.col(name), variant_text))
     named = F.coalesce(language_of(F.col(name)), language_of(F.col(variant)))
     staged = staged.withColumn("_norm", normalized(F.col("_nv"))).withColumn("_lang", F.coalesce(named, F.when(~contains_any(F.lower("_nv"), t.NOT_ENGLISH), F.lit("EN"))))
     staged = staged.withColumn("_low", F.lower(F.concat(F.col("_nv"), F.lit(" ")))).withColumn("_all", F.concat(F.col("_low"), F.lower(tag_text)))
-    once = lambda text: _one_pass(F.col("_nv"), F.col("_norm"), F.col(text), F.col(name), F.col("_lang"))
+    title = lambda table: look_up(F.col("_norm"), getattr(t, table))
+    if titles is not None:
+        staged, title = with_titles(staged, "_norm", titles, "_titles"), lambda table: F.col("_titles")[table]
+    once = lambda text: _one_pass(F.col("_nv"), F.col("_norm"), F.col(text), F.col(name), F.col("_lang"), title)
     staged = staged.withColumn("_first", once("_low"))
     nothing = F.struct(F.lit("OTROS").alias(_SCHEMA[0]), *(F.lit(None).cast("string").alias(n) for n in _SCHEMA[1:]))
     cls = F.when(~have, nothing).when((F.col("_first.product_type") != "OTROS") | (tag_text == ""), F.col("_first")).otherwise(once("_all"))
-    return staged.withColumn(out, cls).drop("_nv", "_norm", "_lang", "_low", "_all", "_first")
+    return staged.withColumn(out, cls).drop("_nv", "_norm", "_lang", "_low", "_all", "_first", "_titles")
 
 
 def category_of(product_type: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.catalog_queries import _EVENTS, _events, query
+from pricetide.functions.titles import with_titles
 from pricetide.operators import catalog, ingest, refresh, runs, stock
 from pricetide.plans.adapters import Domain
 from pricetide.sources import landed, payloads
@@ -121,3 +122,17 @@ def landed_payloads(d: Domain) -> DataFrame:
     d.raw("part").select(F.concat(F.lit("https://shop "), "p_size").alias("store"), payload.alias("value")).repartition("store").write.partitionBy("store").text(path)
     rows = landed.scraped(d.spark, path, "shopify", [f"https://shop {k}" for k in range(10, 31)], lines=True)
     return rows.select("store", F.col("id_product").cast("long").alias("id"), "name", "price", "url")
+
+
+@query("""
+, lines as (select 'names' as tab, row_number() over (order by p_name) as place, substring(p_name, 1, 9) as title, p_name as code from (select distinct p_name from part) union all
+  select 'brands', min(p_partkey), substring(lower(p_brand), 1, 7), p_brand from part group by p_brand),
+names as (select distinct store_id, listed_id, lower(raw_name) as name from listing)
+select store_id, listed_id, arg_min(code, place) filter (where tab = 'names') as title, arg_min(code, place) filter (where tab = 'brands') as brand from names left join lines on contains(name, title) group by 1, 2""")
+def titles_in_names(d: Domain) -> DataFrame:
+    """Listing names looked up in two tables made from the catalog; parts of titles stand for several lines."""
+    part = d.raw("part")
+    names = part.select("p_name").distinct().select(F.lit("names").alias("table"), F.expr("row_number() over (order by p_name)").alias("place"), F.substring("p_name", 1, 9).alias("title"), F.col("p_name").alias("code"))
+    brands = part.groupBy("p_brand").agg(F.min("p_partkey").alias("place")).select(F.lit("brands").alias("table"), "place", F.substring(F.lower("p_brand"), 1, 7).alias("title"), F.col("p_brand").alias("code"))
+    rows = with_titles(d.listing.withColumn("name", F.lower("raw_name")), "name", names.unionByName(brands))
+    return rows.select("store_id", "listed_id", F.col("titles")["names"].alias("title"), F.col("titles")["brands"].alias("brand"))
