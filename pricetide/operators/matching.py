@@ -34,21 +34,65 @@ def _flags() -> dict[str, Column]:
     }
 
 
+#: Products of a cell from which a listing meets only those that can be among its best, and postings it looks at first.
+LARGE, FIRST_POSTINGS = 1000, 64
+
+
 def _best(mine: DataFrame, catalog: DataFrame, key: list[str], asked: str, offered: str, k: int) -> DataFrame:
     """Each listing's k best products with ``offered`` equal to ``asked``: by flags, similarity, id.
 
-    Nulls are values of the other attributes, so they travel as a struct that equals itself."""
-    groups = mine.select(*_ASKED, F.struct(*_ASKED).alias("_asked")).distinct()
+    Listings of one name and attributes ask once.  Nulls are values of the other attributes, so they travel as
+    a struct that equals itself."""
+    mine = mine.withColumn("_ask", F.struct("raw_name", *_ASKED))
+    asks = mine.select("_ask", "_g", *_ASKED).dropDuplicates(["_ask"]).withColumn("_asked", F.struct(*_ASKED))
+    groups = asks.select(*_ASKED, "_asked").distinct()
     cells = catalog.groupBy(*_OFFERED).agg(F.count("*").alias("_n")).withColumn("_offered", F.struct(*_OFFERED))
     met = groups.join(cells, F.col(asked) == F.col(offered)).withColumns(_flags())
     better = Window.partitionBy("_asked").orderBy(*(F.desc(c) for c in _flags())).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     level = Window.partitionBy("_asked", *_flags())
     open_cells = met.withColumn("_before", F.sum("_n").over(better) - F.sum("_n").over(level)).filter(F.col("_before") < k)
-    pairs = mine.withColumn("_asked", F.struct(*_ASKED)).join(open_cells.select("_asked", "_offered", *_flags()), "_asked")
-    pairs = pairs.join(catalog.withColumn("_offered", F.struct(*_OFFERED)), "_offered")
-    scored = pairs.withColumn("score", similarity(F.col("_g"), F.col("_p"))).drop("_g", "_p", "_asked", "_offered")
-    order = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in _flags()), F.desc("score"), "product_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    opened = asks.select("_ask", "_g", "_asked").join(open_cells.select("_asked", "_offered", "_n", *_flags()), "_asked").drop("_asked")
+    # of a name that comes often in a cell only the k smallest ids can be among the best
+    same = Window.partitionBy("_offered", "_name").orderBy("product_id")
+    offers = catalog.withColumn("_offered", F.struct(*_OFFERED)).withColumn("_name", F.struct("name_canonical")).withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k).drop("_r")
+    if (cells.agg(F.max("_n")).first()[0] or 0) > LARGE:
+        small = opened.filter(F.col("_n") <= LARGE).join(offers, "_offered")
+        large = opened.filter(F.col("_n") > LARGE)
+        pairs = small.unionByName(large.join(_likely(large, offers, k), ["_ask", "_offered"]).join(offers, ["_offered", "_name"]).select(small.columns))
+    else:
+        pairs = opened.join(offers, "_offered")
+    scored = pairs.withColumn("score", similarity(F.col("_g"), F.col("_p"))).drop("_g", "_p", "_offered", "_name", "_n")
+    order = Window.partitionBy("_ask").orderBy(*(F.desc(c) for c in _flags()), F.desc("score"), "product_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return mine.drop("_g").join(best, "_ask").drop("_ask")
+
+
+def _likely(opened: DataFrame, offers: DataFrame, k: int) -> DataFrame:
+    """(_ask, _offered, _name): the names of a cell that can be among an ask's k best ones in it.
+
+    Trigrams are ordered by rarity in the cell.  The names that a few of the rarest lead to give a bound on the
+    k-th best score.  A name as good as that shares a trigram so early in both orders that enough is
+    left behind it on both sides; names are looked up by such trigrams alone.  Names that share nothing score
+    zero, so of these the products of smallest id come along."""
+    names = offers.join(opened.select("_offered").distinct(), "_offered", "left_semi").groupBy("_offered", "_name").agg(F.first("_p").alias("_p"), F.min("product_id").alias("_id"))
+    grams = names.select("_offered", "_name", F.size("_p").alias("_m"), F.explode("_p").alias("_t"))
+    often = grams.groupBy("_offered", "_t").agg(F.count("*").alias("_d"))
+    place = lambda *own: F.row_number().over(Window.partitionBy(*own).orderBy("_d", "_t")) - 1
+    postings = grams.join(often, ["_offered", "_t"]).withColumn("_j", place("_offered", "_name")).drop("_d")
+    own = opened.select("_ask", "_offered", F.size("_g").alias("_s"), F.explode("_g").alias("_t")).join(often, ["_offered", "_t"], "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
+    before = Window.partitionBy("_ask", "_offered").orderBy("_d", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_i", place("_ask", "_offered")).withColumn("_seen", F.coalesce(F.sum("_d").over(before), F.lit(0))).filter("_d > 0")
+    pair = ["_ask", "_offered", "_name"]
+    first = own.filter(F.col("_seen") < FIRST_POSTINGS).join(postings, ["_offered", "_t"]).select(*pair).distinct()
+    first = first.join(opened.select("_ask", "_offered", "_g"), ["_ask", "_offered"]).join(names.select("_offered", "_name", "_p"), ["_offered", "_name"])
+    ranked = first.withColumn("_score", similarity(F.col("_g"), F.col("_p"))).withColumn("_r", F.row_number().over(Window.partitionBy("_ask", "_offered").orderBy(F.desc("_score"))))
+    bounds = ranked.filter(F.col("_r") == k).select("_ask", "_offered", F.col("_score").alias("_least"))
+    bounded = own.join(bounds, ["_ask", "_offered"], "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)))
+    enough = F.least(F.col("_s") - F.col("_i"), F.col("_m") - F.col("_j")) * (1 + F.col("_least")) >= F.col("_least") * (F.col("_s") + F.col("_m")) - 1e-9
+    early = (F.col("_s") - F.col("_i")) >= F.col("_least") * F.col("_s") - 1e-9
+    found = bounded.filter(early).join(postings, ["_offered", "_t"]).filter(enough).select(*pair)
+    low = names.withColumn("_r", F.row_number().over(Window.partitionBy("_offered").orderBy("_id"))).filter(F.col("_r") <= k).select("_offered", "_name")
+    return found.unionByName(opened.select("_ask", "_offered").join(low, "_offered")).distinct()
 
 
 def candidates(listings: DataFrame, products: DataFrame, key: list[str], k: int, prefixes: list[str]) -> DataFrame:
