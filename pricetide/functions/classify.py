@@ -19,7 +19,6 @@ _PREFIXES = "|".join(t.SET_CODE_PREFIXES)
 _GENERIC = rf"(?i)\b({_PREFIXES})[\s-]?0*(\d{{1,3}})\b"
 #: Two codes of one prefix with a dash between: a range, which is no single product.
 _RANGE = rf"(?i)\[?({_PREFIXES})[\s-]?\d{{1,3}}\]?\s*[-~]\s*\[?\1[\s-]?\d{{1,3}}\]?"
-_VOLUME = r"(?i)\bvol\.?\s*0*(\d{1,3})\b"
 _SCHEMA = ("product_type", "set_code", "language", "main_set", "packaging")
 
 
@@ -74,7 +73,7 @@ def packaging_of(family: str, text: Column) -> Column:
 
 
 def _volume(text: Column, prefix: str = "VOL") -> Column:
-    return _code(prefix, found(text, _VOLUME))
+    return _code(prefix, found(text, t.VOLUME))
 
 
 #: Title tables of ``functions.tables`` that ``classify`` looks texts up in.
@@ -101,12 +100,12 @@ def _one_pass(nv: Column, norm: Column, text: Column, name: Column, language: Co
     titled = lambda prefix, table: F.when(single, F.coalesce(numbered(prefix), title(table)))
     low = F.lower(nv)
     deck = F.coalesce(
-        F.when(single, F.coalesce(numbered("ST"), _code("ST", found(low, r"\bstarter deck\s*0*(\d{1,2})\b")), _code("ST", found(low, r"\bmazo\b(?:\s+one\s+piece)?\s*0*(\d{1,2})\b")), title("STARTER_DECK_TITLES"))),
+        F.when(single, F.coalesce(numbered("ST"), *(_code("ST", found(low, p)) for p in t.DECK_NUMBERS), title("STARTER_DECK_TITLES"))),
         title("STARTER_DECK_CHARACTERS"),
     )
-    double = F.when(single, F.coalesce(numbered("DP"), _code("DP", F.coalesce(found(text, r"(?i)\bdouble pack set\s*0*(\d{1,3})\b"), found(text, r"(?i)\bdouble pack.*?vol\.?\s*0*(\d{1,3})\b"))), title("DOUBLE_PACK_TITLES")))
+    double = F.when(single, F.coalesce(numbered("DP"), _code("DP", F.coalesce(*(found(text, p) for p in t.DOUBLE_PACK_NUMBERS))), title("DOUBLE_PACK_TITLES")))
     main_of_double = first_case([(double == dp, F.lit(op)) for dp, op in t.BOOSTER_OF_DOUBLE_PACK.items()])
-    sleeves = F.coalesce(_volume(nv), _code("VOL", found(nv, r"(?i)\bsleeves?\s*0*(\d{1,2})\b")), _code("VOL", found(nv, r"(?i)\bv\.?\s*0*(\d{1,2})\b")), title("SLEEVES_VARIANTS"))
+    sleeves = F.coalesce(_volume(nv), *(_code("VOL", found(nv, p)) for p in t.SLEEVE_NUMBERS), title("SLEEVES_VARIANTS"))
     booster = titled("OP", "BOOSTER_TITLES")
 
     return first_case([
@@ -120,7 +119,7 @@ def _one_pass(nv: Column, norm: Column, text: Column, name: Column, language: Co
         (contains_any(text, t.PLAYMAT_WORDS), result("PLAYMAT", F.coalesce(_volume(nv), title("PLAYMAT_CHARACTERS")))),
         (contains_any(text, t.SLEEVE_WORDS), result("SLEEVES", sleeves)),
         (contains_any(text, t.CARD_COLLECTION_WORDS), result("PREMIUM_CARD_COLLECTION", F.coalesce(_volume(nv), title("PREMIUM_CARD_EDITIONS"), title("PREMIUM_CARD_EDITIONS_SHORT")))),
-        (contains_any(text, t.LEARNING_WORDS), packed("STARTER_DECK", F.coalesce(_code("LD", found(nv, r"(?i)\bLD[\s-]?0*(\d{1,2})\b")), F.lit("LD01")))),
+        (contains_any(text, t.LEARNING_WORDS), packed("STARTER_DECK", F.coalesce(_code("LD", found(nv, t.LEARNING_NUMBER)), F.lit("LD01")))),
         (text.rlike(_family("ST")) | contains_any(text, t.DECK_WORDS), packed("STARTER_DECK", deck)),
         (text.rlike(_family("DP")) | contains_any(text, t.DOUBLE_PACK_WORDS), packed("DOUBLE_PACK", double, main_of_double)),
         (text.rlike(_family("PRB")) | title("PREMIUM_BOOSTER_TITLES").isNotNull(), packed("PREMIUM_BOOSTER_BOX", titled("PRB", "PREMIUM_BOOSTER_TITLES"))),

@@ -1,6 +1,6 @@
 """Fixed values of the listing classifier: word lists, code tables, units."""
 
-# --- Fixed values: they must equal the source catalog's for right results. ---
+# BEGIN FIXED VALUES: they must equal the source catalog's for right results
 
 SET_CODE_PREFIXES = ["OP", "ST", "DP", "EB", "PRB", "DF"]
 
@@ -220,8 +220,6 @@ DISPLAY_LABELS = {"Starter Deck": "Starter Deck Display", "Double Pack Set": "Do
 #: Categories that are also sold in Japanese.
 JAPANESE_CATEGORIES = ["one-piece", "extra-booster", "premium-booster-box", "double-pack", "starter-deck", "premium-card-collection"]
 
-# --- End of fixed values. ---
-
 #: Words that name a language (lower case), and codes that do so in capitals only.
 LANGUAGE_WORDS = {"JP": ["japones", "japonés"], "KR": ["coreano"], "EN": ["ingles", "inglés", "- en"], "ES": ["castellano", "español"]}
 LANGUAGE_CODES = {"JP": r"\bJP\b", "EN": r"\bEN\b"}
@@ -248,8 +246,18 @@ SEALED = r"\bbooster\b|\bcaja\b|\bsobres?\b"
 ACCESSORY = "ultimate guard|comic mania|caja de almacenamiento|storage box"
 CASE = r"(?i)\bcase\b"
 DISPLAY = r"(?i)\bdisplay\b|\bcajas?\b|\bbox(es)?\b"
+#: A deck's number behind its words, and the ways to write a double pack's.
+DECK_NUMBERS = [r"\bstarter deck\s*0*(\d{1,2})\b", r"\bmazo\b(?:\s+one\s+piece)?\s*0*(\d{1,2})\b"]
+DOUBLE_PACK_NUMBERS = [r"(?i)\bdouble pack set\s*0*(\d{1,3})\b", r"(?i)\bdouble pack.*?vol\.?\s*0*(\d{1,3})\b"]
+SLEEVE_NUMBERS = [r"(?i)\bsleeves?\s*0*(\d{1,2})\b", r"(?i)\bv\.?\s*0*(\d{1,2})\b"]
+LEARNING_NUMBER = r"(?i)\bLD[\s-]?0*(\d{1,2})\b"
+VOLUME = r"(?i)\bvol\.?\s*0*(\d{1,3})\b"
+#: Names that end in an ellipsis were cut; markup that leaked into a name; an amount with its currency sign on either side.
+CUT_NAME = r"(\.\s*){2,}$|…\s*$"
+LEAKED_TAG = r"</?[a-zA-Z][^<>]*>"
+MONEY = r"(\d[\d.,]*\s*€|€\s*\d[\d.,]*)"
 QUANTITY = r"(?i)\bpack\s*(\d+)\b|\b(\d+)\s*sobres\b|\bx\s*(\d+)\b"
 
-# --- End of the fixed values. ---
+# END FIXED VALUES
 
 DOUBLE_PACK_TITLES = [(title, dp) for title, code in BOOSTER_TITLES for dp, op in BOOSTER_OF_DOUBLE_PACK.items() if code == op]

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricetide.functions import tables
 from pricetide.functions.columns import contains_any, first_case, found
 from pricetide.functions.prices import parse_minor_units, parse_price
 from pricetide.sources import markup
@@ -15,8 +16,6 @@ from pricetide.sources import markup
 _SHOPIFY = "products array<struct<id:bigint,title:string,handle:string,tags:string,images:array<struct<src:string>>,variants:array<struct<title:string,price:string,available:boolean,sku:string>>>>"
 _WOO = "array<struct<id:bigint,name:string,permalink:string,sku:string,categories:array<struct<slug:string>>,prices:struct<price:string,currency_minor_unit:int>,is_in_stock:boolean,stock_status:string,images:array<struct<src:string>>>>"
 _JSONLD = "struct<`@type`:string,name:string,sku:string,gtin:string,gtin8:string,gtin12:string,image:string,offers:string>"
-#: An amount with its currency sign on either side.
-_MONEY = r"(\d[\d.,]*\s*€|€\s*\d[\d.,]*)"
 _OFFER = "struct<price:string,lowPrice:string,availability:string,offers:string>"
 
 
@@ -66,13 +65,13 @@ def api_or_html(api: DataFrame, html: DataFrame, store: str = "store_id") -> Dat
 
 def clean_markup(c: Column) -> Column:
     """A text cut at the first tag that leaked into it; null if nothing is left."""
-    cut = F.regexp_replace(c, r"(?s)</?[a-zA-Z][^<>]*>.*$", "")
-    return F.when(c.rlike(r"</?[a-zA-Z][^<>]*>"), F.nullif(F.trim(cut), F.lit(""))).otherwise(c)
+    cut = F.regexp_replace(c, f"(?s){tables.LEAKED_TAG}.*$", "")
+    return F.when(c.rlike(tables.LEAKED_TAG), F.nullif(F.trim(cut), F.lit(""))).otherwise(c)
 
 
 def looks_truncated(name: Column) -> Column:
     """Ends in an ellipsis; one elsewhere in the name means nothing."""
-    return name.rlike(r"(\.\s*){2,}$|…\s*$")
+    return name.rlike(tables.CUT_NAME)
 
 
 def _text(markup: Column) -> Column:
@@ -95,7 +94,7 @@ def resolve_truncated(rows: DataFrame, pages: DataFrame, url: str = "url", html:
 
 def last_money(text: Column) -> Column:
     """The last amount with a currency sign in a text: the price after a discount."""
-    return parse_price(F.try_element_at(F.regexp_extract_all(text, F.lit(_MONEY), F.lit(0)), F.lit(-1)))
+    return parse_price(F.try_element_at(F.regexp_extract_all(text, F.lit(tables.MONEY), F.lit(0)), F.lit(-1)))
 
 
 # BEGIN FIXED VALUES: how each platform's list pages mark their cards and what is in them
@@ -170,7 +169,7 @@ def card_rows(df: DataFrame, platform: str, cards: str = "cards") -> DataFrame:
     c = df.select(*df.drop(cards).columns, F.posexplode(cards).alias("position", "_c"))
     none, title, of = F.lit(None).cast("string"), F.nullif(F.col("_c.title"), F.lit("")), lambda f: F.col(f"_c.{f}")
     if platform == "woocommerce":
-        shown = F.coalesce(F.try_element_at(F.regexp_extract_all(of("shown"), F.lit(_MONEY), F.lit(0)), F.lit(-1)), of("shown"))
+        shown = F.coalesce(F.try_element_at(F.regexp_extract_all(of("shown"), F.lit(tables.MONEY), F.lit(0)), F.lit(-1)), of("shown"))
         price = parse_price(F.when(of("amount").isNotNull(), of("amount")).otherwise(shown))
         values = {"id_product": none, "name": clean_markup(title), "price": price, "stock_status": _stock(~F.coalesce(F.contains(of("classes"), F.lit("outofstock")), F.lit(False))), "sku": none}
     elif platform == "prestashop":
