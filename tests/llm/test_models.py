@@ -230,3 +230,27 @@ def test_pipeline(spark):
     for parts in sequences.values():
         ends = [a + n for a, n in sorted(parts)]
         assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048 and ends[-1] & (ends[-1] - 1) == 0
+
+
+def test_pipeline_stages_on_odd_documents(spark, odd_texts):
+    """Nulls anywhere, repeated rows, columns named like those that stages add: defined results, nothing lost."""
+    folder = "/root/testdata/sf0.001"
+    shape = "doc_id long, text string, lang string, source string, n_chars long, toxic string, severity int, removed string, n_words int, kept string"
+    passage, tail = (" ".join(f"{c}{k}" for k in range(60)) for c in "pq")
+    rows = [(1000 + k, t) for k, t in enumerate(odd_texts)] + [(None, "no id " * 30), (None, None), (2000, passage + " start"), (2000, passage + " start"), (2001, f"other {passage} {tail}"), (2002, passage + " start")]
+    odd = spark.createDataFrame([(i, t, None, None, None if t is None else len(t), "mine", 7, "r", 8, "k") for i, t in rows], shape)
+    own = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "text", "lang", "source", "n_chars", "'mine' as toxic", "7 as severity", "'r' as removed", "8 as n_words", "'k' as kept")
+    docs = corpus_pipeline.materialize(odd.unionByName(own.limit(60)), "odd")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:3]:
+        before, docs = docs, corpus_pipeline.materialize(stages[name](spark, docs, folder), "odd")
+        assert docs.columns == before.columns and docs.filter("toxic <> 'mine' or severity <> 7 or removed <> 'r' or n_words <> 8 or kept <> 'k'").isEmpty()
+        ids = [r.doc_id for r in docs.filter("doc_id is null or doc_id >= 1000").collect()]
+        assert ids.count(None) == 2 and ids.count(2000) == 2 and {1000, 1001, 1002} <= set(ids)  # without words
+        assert (2002 in ids) == (name == "toxicity")  # a copy of the smaller id
+    texts = {r.doc_id: (r.text, r.n_chars) for r in docs.filter("doc_id >= 2000").collect()}
+    assert texts == {2000: (passage + " start", len(passage) + 6), 2001: (f"other {tail}", 6 + len(tail))}
+    pieces = stages["packing"](spark, docs, folder).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+    for name, stage in stages.items():
+        assert stage(spark, odd.limit(0), folder).count() == 0, name
