@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from pricetide import page_queries, review_queries, shop_queries, table_queries  # noqa: F401 (each adds its queries)
+from pricetide import page_queries, report_queries, review_queries, shop_queries, table_queries  # noqa: F401 (each adds its queries)
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
