@@ -1,6 +1,8 @@
+import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -21,6 +23,7 @@ def libraries():
     return tok, sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
 
+@functools.cache
 def byte_of(char):
     """The byte-level alphabet, found by asking for the visible characters first."""
     visible = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
@@ -52,7 +55,11 @@ def brute(libraries, rows):
     out = []
     for (i, a, b), links in zip(docs, found, strict=True):
         cuts = sorted({x[2] for x in a} & {x[2] for x in b})
-        groups = [tuple(",".join(str(x[0]) for x in side if lo < x[2] <= hi) for side in (a, b)) for lo, hi in zip([0, *cuts], cuts, strict=False)]
+        parts = [([], []) for _ in cuts]
+        for k, side in enumerate((a, b)):
+            for x in side:
+                parts[bisect_left(cuts, x[2])][k].append(str(x[0]))
+        groups = [tuple(map(",".join, p)) for p in parts]
         digest = hashlib.sha256(";".join(map("|".join, groups)).encode()).hexdigest() if groups else ""
         out.append((i, len(a), len(b), len(groups), len(links), sum(counts[p] == most[p[1]] for p in links), sum(counts[p] for p in links), digest))
     return sorted(out, key=repr)
@@ -87,7 +94,7 @@ def test_links(spark, odd_texts, libraries):
     for d, t in rows:
         a, b = tokens(libraries, t)
         cuts = sorted({x[2] for x in a} & {x[2] for x in b})
-        group = lambda e, cuts=cuts: next(k for k, c in enumerate(cuts) if e <= c)
+        group = lambda e, cuts=cuts: bisect_left(cuts, e)
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 shared = min(x[2], y[2]) - max(x[1], y[1])
