@@ -41,17 +41,15 @@ LARGE, FIRST_POSTINGS = 1000, 64
 def _best(mine: DataFrame, catalog: DataFrame, key: list[str], asked: str, offered: str, k: int) -> DataFrame:
     """Each listing's k best products with ``offered`` equal to ``asked``: by flags, similarity, id.
 
-    Listings of one name and attributes ask once.  Nulls are values of the other attributes, so they travel as
-    a struct that equals itself."""
-    mine = mine.withColumn("_ask", F.struct("raw_name", *_ASKED))
-    asks = mine.select("_ask", "_g", *_ASKED).dropDuplicates(["_ask"]).withColumn("_asked", F.struct(*_ASKED))
+    Nulls are values of the other attributes, so they travel as a struct that equals itself."""
+    asks = mine.withColumn("_ask", F.struct(*key)).withColumn("_asked", F.struct(*_ASKED))
     groups = asks.select(*_ASKED, "_asked").distinct()
     cells = catalog.groupBy(*_OFFERED).agg(F.count("*").alias("_n")).withColumn("_offered", F.struct(*_OFFERED))
     met = groups.join(cells, F.col(asked) == F.col(offered)).withColumns(_flags())
     better = Window.partitionBy("_asked").orderBy(*(F.desc(c) for c in _flags())).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     level = Window.partitionBy("_asked", *_flags())
     open_cells = met.withColumn("_before", F.sum("_n").over(better) - F.sum("_n").over(level)).filter(F.col("_before") < k)
-    opened = asks.select("_ask", "_g", "_asked").join(open_cells.select("_asked", "_offered", "_n", *_flags()), "_asked").drop("_asked")
+    opened = asks.join(open_cells.select("_asked", "_offered", "_n", *_flags()), "_asked").drop("_asked")
     # of a name that comes often in a cell only the k smallest ids can be among the best
     same = Window.partitionBy("_offered", "_name").orderBy("product_id")
     offers = catalog.withColumn("_offered", F.struct(*_OFFERED)).withColumn("_name", F.struct("name_canonical")).withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k).drop("_r")
@@ -63,8 +61,7 @@ def _best(mine: DataFrame, catalog: DataFrame, key: list[str], asked: str, offer
         pairs = opened.join(offers, "_offered")
     scored = pairs.withColumn("score", similarity(F.col("_g"), F.col("_p"))).drop("_g", "_p", "_offered", "_name", "_n")
     order = Window.partitionBy("_ask").orderBy(*(F.desc(c) for c in _flags()), F.desc("score"), "product_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return mine.drop("_g").join(best, "_ask").drop("_ask")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_ask")
 
 
 def _likely(opened: DataFrame, offers: DataFrame, k: int) -> DataFrame:
