@@ -2,7 +2,8 @@
 
 Candidates are ranked by three flags before similarity, and flags depend on four attributes only.  So
 groups of equal attributes meet cells of equal attributes first, cells that cannot reach the k-th
-place go, and names are compared only where flags leave the order open.
+place go, and names are compared only where flags leave the order open.  Listings of one name and
+attributes ask once, so the work follows the different ones.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.columns import first_case, is_true
 from pricetide.functions.trigram import similarity, trigrams
+from pricetide.sources.storage import written
 
 REVIEW, CONFIRMED = 0.35, 0.6
 LANGUAGES = ["EN", "JP", "ES"]
@@ -34,34 +36,42 @@ def _flags() -> dict[str, Column]:
     }
 
 
-#: Products of a cell from which a listing meets only those that can be among its best, and postings it looks at first.
+#: Names of a cell from which a listing meets only those that can be among its best, and postings it looks at first.
 LARGE, FIRST_POSTINGS = 1000, 64
 
 
-def _best(mine: DataFrame, catalog: DataFrame, key: list[str], asked: str, offered: str, k: int) -> DataFrame:
-    """Each listing's k best products with ``offered`` equal to ``asked``: by flags, similarity, id.
+def _best(asks: DataFrame, catalog: DataFrame, asked: str, offered: str, k: int) -> DataFrame:
+    """Each ask's k best products with ``offered`` equal to ``asked``: by flags, similarity, id.
 
-    Nulls are values of the other attributes, so they travel as a struct that equals itself."""
-    asks = mine.withColumn("_ask", F.struct(*key)).withColumn("_asked", F.struct(*_ASKED))
+    Nulls are values of the other attributes, so they travel as a struct that equals itself.  A name is compared once
+    with the k smallest ids of its flags, however many products of however many cells bear it."""
+    flags = _flags()
     groups = asks.select(*_ASKED, "_asked").distinct()
-    cells = catalog.groupBy(*_OFFERED).agg(F.count("*").alias("_n")).withColumn("_offered", F.struct(*_OFFERED))
-    met = groups.join(cells, F.col(asked) == F.col(offered)).withColumns(_flags())
-    better = Window.partitionBy("_asked").orderBy(*(F.desc(c) for c in _flags())).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    level = Window.partitionBy("_asked", *_flags())
-    open_cells = met.withColumn("_before", F.sum("_n").over(better) - F.sum("_n").over(level)).filter(F.col("_before") < k)
-    opened = asks.join(open_cells.select("_asked", "_offered", "_n", *_flags()), "_asked").drop("_asked")
+    cells = catalog.groupBy(*_OFFERED).agg(F.count("*").alias("_n"), F.count_distinct(F.struct("name_canonical")).alias("_names")).withColumn("_offered", F.struct(*_OFFERED))
+    met = groups.join(cells, F.col(asked) == F.col(offered)).withColumns(flags)
+    better = Window.partitionBy("_asked").orderBy(*(F.desc(c) for c in flags)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy("_asked", *flags)
+    open_cells = met.withColumn("_before", F.sum("_n").over(better) - F.sum("_n").over(level)).filter(F.col("_before") < k).select("_asked", "_offered", "_names", *flags)
     # of a name that comes often in a cell only the k smallest ids can be among the best
-    same = Window.partitionBy("_offered", "_name").orderBy("product_id")
-    offers = catalog.withColumn("_offered", F.struct(*_OFFERED)).withColumn("_name", F.struct("name_canonical")).withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k).drop("_r")
-    if (cells.agg(F.max("_n")).first()[0] or 0) > LARGE:
-        small = opened.filter(F.col("_n") <= LARGE).join(offers, "_offered")
-        large = opened.filter(F.col("_n") > LARGE)
-        pairs = small.unionByName(large.join(_likely(large, offers, k), ["_ask", "_offered"]).join(offers, ["_offered", "_name"]).select(small.columns))
-    else:
-        pairs = opened.join(offers, "_offered")
-    scored = pairs.withColumn("score", similarity(F.col("_g"), F.col("_p"))).drop("_g", "_p", "_offered", "_name", "_n")
-    order = Window.partitionBy("_ask").orderBy(*(F.desc(c) for c in _flags()), F.desc("score"), "product_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_ask")
+    same = Window.partitionBy(*_OFFERED, "name_canonical").orderBy("product_id")
+    few = catalog.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k)
+    offers = few.groupBy(F.struct(*_OFFERED).alias("_offered"), F.struct("name_canonical").alias("_name")).agg(F.sort_array(F.collect_list(F.struct("product_id", *_OFFERED))).alias("_ids"))
+    grams = trigrams(F.col("_name.name_canonical")).alias("_p")
+    meant = open_cells.filter(F.col("_names") <= LARGE).join(offers, "_offered").repartition("_asked")
+    meant = meant.groupBy("_asked", *flags, "_name").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_ids"))), 1, k).alias("_ids"))
+    shape = ["_asked", "_ask", *flags, "_name", "_ids", similarity(F.col("_g"), F.col("_p")).alias("score")]
+    scored = asks.select("_asked", "_ask", "_g").join(meant.select("*", grams), "_asked").select(*shape)
+    if (cells.agg(F.max("_names")).first()[0] or 0) > LARGE:
+        large = asks.select("_asked", "_ask", "_g").join(open_cells.filter(F.col("_names") > LARGE), "_asked")
+        sized = offers.select("*", grams, F.get("_ids", 0)["product_id"].alias("product_id"))
+        likely = _likely(large, sized, k)
+        scored = scored.unionByName(large.join(likely, ["_ask", "_offered"]).join(sized, ["_offered", "_name"]).select(*shape))
+    own = Window.partitionBy("_asked", "_ask")
+    first = own.orderBy(*(F.desc(c) for c in flags), F.desc("score"), F.get("_ids", 0)["product_id"])
+    named = scored.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k)
+    rows = named.select("_asked", "_ask", *flags, "score", F.col("_name.name_canonical").alias("name_canonical"), F.explode("_ids").alias("_o")).select("_asked", "_ask", "_o.*", "name_canonical", *flags, "score")
+    order = own.orderBy(*(F.desc(c) for c in flags), F.desc("score"), "product_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _likely(opened: DataFrame, offers: DataFrame, k: int) -> DataFrame:
@@ -97,16 +107,19 @@ def candidates(listings: DataFrame, products: DataFrame, key: list[str], k: int,
 
     If no product of the category has the listing's code and the code has a real prefix, the best
     product with that code of any category comes before them (``is_fallback``).  Pass only the
-    listings that are wanted: nothing here depends on the others."""
-    mine = listings.select(*key, "raw_name", *_ASKED).withColumn("_g", trigrams(F.col("raw_name")))
-    catalog = products.select("product_id", "name_canonical", F.col("category_slug").alias("p_category"), F.col("set_code").alias("p_set_code"), F.col("language").alias("p_language"), F.col("packaging").alias("p_packaging")).withColumn("_p", trigrams(F.col("name_canonical")))
-    within = _best(mine, catalog, key, "category_slug", "p_category", k).withColumn("is_fallback", F.lit(False))
+    listings that are wanted: nothing here depends on the others.  Asks and their answers are written
+    and read again, as both are needed several times."""
+    mine = listings.select(*key, "raw_name", *_ASKED)
+    asks = written(mine.drop(*key).distinct(), "asks").withColumns({"_asked": F.struct(*_ASKED), "_ask": F.struct("raw_name", *_ASKED), "_g": trigrams(F.col("raw_name"))})
+    catalog = products.select("product_id", "name_canonical", F.col("category_slug").alias("p_category"), F.col("set_code").alias("p_set_code"), F.col("language").alias("p_language"), F.col("packaging").alias("p_packaging"))
+    within = _best(asks, catalog, "category_slug", "p_category", k).withColumn("is_fallback", F.lit(False))
     held = catalog.select(F.col("p_category").alias("category_slug"), F.col("p_set_code").alias("cls_set_code")).distinct()
-    lost = mine.filter(F.col("category_slug").isNotNull() & F.col("cls_set_code").rlike(f"^({'|'.join(prefixes)})")).join(held, ["category_slug", "cls_set_code"], "left_anti").select(mine.columns)
-    other = _best(lost, catalog, key, "cls_set_code", "p_set_code", 1).withColumn("is_fallback", F.lit(True))
-    order = Window.partitionBy(*key).orderBy(F.desc("is_fallback"), "rank")
+    lost = asks.filter(F.col("category_slug").isNotNull() & F.col("cls_set_code").rlike(f"^({'|'.join(prefixes)})")).join(held, ["category_slug", "cls_set_code"], "left_anti").select(asks.columns)
+    other = _best(lost, catalog, "cls_set_code", "p_set_code", 1).withColumn("is_fallback", F.lit(True))
+    order = Window.partitionBy("_ask").orderBy(F.desc("is_fallback"), "rank")
     both = within.unionByName(other).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
-    return both.withColumn("rank", F.col("_place")).drop("_place")
+    answers = written(both.withColumn("rank", F.col("_place")).drop("_place", "_asked"), "answers")
+    return mine.withColumn("_ask", F.struct("raw_name", *_ASKED)).join(answers, "_ask").drop("_ask")
 
 
 def evidence(pairs: DataFrame, singles: DataFrame, ambiguous: Column) -> DataFrame:

@@ -64,3 +64,18 @@ def test_listings_meet_few_names_of_a_large_cell(spark):
     assert found.count() < 50 * 40  # of 51 * 1500
     hits = {r._ask: r.names for r in found.groupBy("_ask").agg(F.collect_set("_name.name_canonical").alias("names")).collect()}
     assert all(f"booster box {rare[7 * k]} english" in hits[k] for k in range(50)) and hits[99] == [f"booster box {rare[0]} english"]
+
+
+def test_listings_alike_ask_once(spark, monkeypatch):
+    asked = {}
+
+    def counted(df, name):
+        asked[name] = df.count()
+        return df
+
+    monkeypatch.setattr(matching, "written", counted)
+    products, listings = catalog_and_listings(3)
+    many = [(100 * copy + n, *rest) for copy in range(20) for n, *rest in listings]
+    got = matching.candidates(spark.createDataFrame(many, LISTINGS), spark.createDataFrame(products, PRODUCTS), ["listing"], 3, ["NONE"]).collect()
+    assert {(r.listing, r["rank"]): (r.product_id, round(r.score, 9)) for r in got} == brute(many, products, 3)
+    assert asked["asks"] == len({tuple(rest) for _, *rest in listings}) and asked["answers"] <= 3 * asked["asks"]
