@@ -50,11 +50,12 @@ def finish(spark: SparkSession, log: str, run_id: str, status: str, at: dt.datet
 def states(log: DataFrame) -> DataFrame:
     """A row per run: its kind, last status, begin and end, stores done and in total, rows, dropped and cut.
 
-    A store that is logged twice in a run (it was tried again) counts once, with its last numbers."""
-    stores = log.filter("status is null").groupBy("run_id", "store_label").agg(F.max_by(F.struct("rows", "dropped", "cut"), "at").alias("c"))
+    A store that is logged twice in a run (it was tried again) counts once, with its last numbers; of the same
+    time the greatest."""
+    stores = log.filter("status is null").groupBy("run_id", "store_label").agg(F.max(F.struct("at", "rows", "dropped", "cut")).alias("c"))
     sums = stores.groupBy("run_id").agg(F.count("*").alias("stores_done"), *(F.sum(f"c.{c}").alias(c) for c in ("rows", "dropped", "cut")))
     marks = log.filter("status is not null")
-    order = F.struct("at", F.col("status") != "running")
+    order = F.struct("at", F.col("status") != "running", "status")
     first = [F.min_by(c, order).alias(c) for c in ("job_type", "store_label", "stores_total")]
     runs = marks.groupBy("run_id").agg(*first, F.max_by("status", order).alias("status"), F.min("at").alias("started_at"), F.max(F.when(F.col("status") != "running", F.col("at"))).alias("finished_at"))
     return runs.join(sums, "run_id", "left").fillna(0, ["stores_done", "rows", "dropped", "cut"])

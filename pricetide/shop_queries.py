@@ -78,7 +78,7 @@ _LOG = """, marks as (select o_orderkey // 4 as run_id, o_custkey % 9 as store,
 
 
 @query(_LOG + """, begun as (select run_id, moment as started_at from marks where k = 0), ended as (select run_id, max(moment) as finished_at, arg_max(case when o_orderkey % 8 = 3 then 'failed' else 'completed' end, moment) as status from marks where k = 3 group by 1),
-stores as (select run_id, store, arg_max(cast(floor(o_totalprice) as bigint), moment) as n from marks where k in (1, 2) group by 1, 2),
+stores as (select run_id, store, max({'at': moment, 'n': cast(floor(o_totalprice) as bigint)}).n as n from marks where k in (1, 2) group by 1, 2),
 sums as (select run_id, count(*) as stores_done, sum(n) as n from stores group by 1)
 select run_id, coalesce(status, 'running') as status, started_at, finished_at, cast(coalesce(stores_done, 0) as bigint) as stores_done, cast(coalesce(n, 0) as bigint) as n from begun left join ended using (run_id) left join sums using (run_id) where finished_at is null or finished_at > started_at""")
 def run_states(d: Domain) -> DataFrame:

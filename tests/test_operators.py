@@ -191,3 +191,13 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(df, f"{tmp_path}/c", ["v"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").columns == ["v"]
     assert spark.read.parquet(sinks.write_snapshot(df, f"{tmp_path}/s")).count() == 2
+
+
+def test_run_counts_of_one_moment_do_not_hang_on_order(spark):
+    from pricetide.operators import runs
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [("r", "daily_sweep", None, "running", at, 1, None, None, None, None), *(("r", None, "s", None, at, None, 1, n, 10 - n, 0) for n in (3, 7, 5))]
+    for order in (rows, rows[::-1], [rows[0], rows[2], rows[3], rows[1]]):
+        got = runs.states(spark.createDataFrame(order, runs.LOG).coalesce(1)).first()
+        assert (got.rows, got.dropped, got.stores_done) == (7, 3, 1)
