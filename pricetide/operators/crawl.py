@@ -97,6 +97,26 @@ def frontier(starts: DataFrame, pages: DataFrame, store: str = "store_id", limit
         ahead = named.groupBy(store, F.col("_next").alias("url")).agg(F.min(F.struct(F.col("place").alias("a"), "b")).alias("_order")).join(visited, [store, "url"], "left_anti")
 
 
+def trail(starts: DataFrame, links: DataFrame, store: str = "store_id") -> DataFrame:
+    """(store, url, place): as ``frontier`` without a limit, where a page (store, url) has one link (``to``) at most.
+
+    Each round jumps twice as far as the one before, so a trail of n pages takes log n rounds.  A page keeps its least
+    distance from a start and the first start at that distance, which is its place in the queue."""
+    first = F.row_number().over(Window.partitionBy(store).orderBy("place", "url"))
+    at = F.struct(F.lit(0).cast("long").alias("far"), first.alias("first")).alias("_at")
+    reached = written(starts.groupBy(store, "url").agg(F.min("place").alias("place")).select(store, "url", at), "trail")
+    jumps, step, known = written(links.filter("to is not null").select(store, "url", "to"), "jumps"), 1, reached.count()
+    while True:
+        farther = F.struct((F.col("_at.far") + step).alias("far"), F.col("_at.first").alias("first")).alias("_at")
+        ahead = reached.join(jumps, [store, "url"]).select(store, F.col("to").alias("url"), farther)
+        reached = written(reached.unionByName(ahead).groupBy(store, "url").agg(F.min("_at").alias("_at")), "trail")
+        if (now := reached.count()) == known:
+            return reached.select(store, "url", F.row_number().over(Window.partitionBy(store).orderBy("_at")).cast("long").alias("place"))
+        known, step = now, 2 * step
+        then = jumps.select(store, F.col("url").alias("to"), F.col("to").alias("_to"))
+        jumps = written(jumps.join(then, [store, "to"]).select(store, "url", F.col("_to").alias("to")), "jumps")
+
+
 def linked_products(starts: DataFrame, pages: DataFrame, products: str, base: str = "base", store: str = "store_id", url: str = "url", html: str = "html") -> DataFrame:
     """(store, url, page, position): product links (a selector) of the list pages a crawl gets to by any pager link
     from its start pages, ``MAX_PAGES`` at most; each absolute URL once, where it is met first."""
@@ -120,8 +140,7 @@ def followed_products(starts: DataFrame, pages: DataFrame, words: tuple[str, ...
     parsed = written(parsed, "pages")
     following = F.get("pager", 0)["link"]
     named = F.exists("cards", lambda c: F.coalesce(payloads.clean_markup(c["title"]) != "", F.lit(False)))
-    links = F.when(named & following.isNotNull(), F.array(absolute(following, F.col(base)))).otherwise(F.array().cast("array<string>"))
-    visited = frontier(starts, parsed.select(store, F.col("page_url").alias("url"), links.alias("links")), store, None)
+    visited = trail(starts, parsed.select(store, F.col("page_url").alias("url"), F.when(named, absolute(following, F.col(base))).alias("to")), store)
     read = parsed.join(visited.select(store, F.col("url").alias("page_url"), F.col("place").alias("page")), [store, "page_url"])
     rows = payloads.card_rows(read.select(store, "page", "cards"), "woocommerce")
     for w in words:

@@ -124,3 +124,20 @@ def test_empty_tables(spark):
     starts = spark.createDataFrame([(1, "u", 0)], "store_id int, url string, place int")
     assert crawl.listed_products(pages, "prestashop").count() == crawl.listed_products(pages, "opencart").count() == crawl.grid_urls(pages).count() == 0
     assert crawl.linked_products(starts, pages, "a").count() == crawl.followed_products(starts.limit(0), pages).count() == 0
+
+
+def test_trails_equal_a_queue(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(crawl, "written", lambda df, name: rounds.append(name) or df.localCheckpoint())
+    rng = random.Random(4)
+    links = {(0, f"u{i}"): f"u{i + 1}" for i in range(200)} | {(1, f"u{i}"): f"u{rng.randrange(40)}" for i in range(30)} | {(2, "u0"): "u0"}
+    starts = [(0, "u0", 0), (1, "u3", 5), (1, "u9", 2), (1, "u7", 7), (2, "u0", 0), (3, "u1", 0)]
+    want = set()
+    for store in range(4):
+        queue = [u for s, u, p in sorted(starts, key=lambda x: x[2]) if s == store]
+        for u in queue:
+            if links.get((store, u)) and links[store, u] not in queue:
+                queue.append(links[store, u])
+        want |= {(store, u, k) for k, u in enumerate(queue, 1)}
+    got = crawl.trail(spark.createDataFrame(starts, "store_id int, url string, place int"), spark.createDataFrame([(s, u, to) for (s, u), to in links.items()] + [(3, "u1", None)], "store_id int, url string, to string"))
+    assert {tuple(r) for r in got.collect()} == want and len(rounds) < 25
