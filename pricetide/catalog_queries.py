@@ -421,7 +421,7 @@ def html_card_rows(d: Domain) -> DataFrame:
         "prestashop": F.concat(F.lit('<article class="product-miniature" data-id-product="'), n, F.lit('"><h3 class="product-title">'), link, F.lit('</h3><span class="product-price" content="'), F.col("p_size"), F.lit('.5">1,00 €</span>'), F.when(kind == 1, '<span class="product-available">x</span>').otherwise("En stock"), F.lit("</article>")),
         "opencart": F.concat(F.lit('<div class="product-thumb"><h4>'), link, F.lit('</h4><p class="price">'), amount, F.lit("</p>"), words, F.lit("</div>"), F.lit('<div class="product-thumb"><h4></h4></div>')),
     }
-    parts = [payloads.html_cards(d.raw("part").filter(n % 3 == k).select(n.alias("id"), page.alias("html")), kind) for k, (kind, page) in enumerate(shapes.items())]
+    parts = [payloads.html_cards(d.spread("part").filter(n % 3 == k).select(n.alias("id"), page.alias("html")), kind) for k, (kind, page) in enumerate(shapes.items())]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.select("id", "name", "price", "stock_status")
 

@@ -35,7 +35,7 @@ def woocommerce_cards(d: Domain) -> DataFrame:
     sold = F.when(F.col("p_size") % 3 == 0, " outofstock").otherwise("")
     title = _html("<h2><a href=/p/", n, ">", F.col("p_name"), "</a> &lt;b class=&quot;y&quot;&gt;rest</h2>")
     shape = F.when(n % 3 == 0, _html("<div class='post product", sold, "'>", link, image, "</a>", tags, title, price, "</div>")).otherwise(_html("<li class='product", sold, "'>", tags, link, image, "</a>", title, price, "</li><!-- <li class=product> -->"))
-    rows = payloads.html_cards(d.raw("part").select(n.alias("id"), _html("<ul>", shape, "<li class=productos><h2>x</h2></li></ul>").alias("html")), "woocommerce")
+    rows = payloads.html_cards(d.spread("part").select(n.alias("id"), _html("<ul>", shape, "<li class=productos><h2>x</h2></li></ul>").alias("html")), "woocommerce")
     return rows.select("id", "name", "price", "stock_status", "url", "image_url")
 
 
@@ -49,7 +49,7 @@ def prestashop_cards(d: Domain) -> DataFrame:
     seen = F.when(F.col("p_size") % 2 == 0, "<ul><li><span class='product-available'></span></li></ul>").otherwise("<ul><li>Disponible</li></ul>")
     reference = F.when(n % 5 == 0, _html("<p class=product-reference> R-", n, " </p>")).otherwise("")
     card = _html("<article class='js product-miniature'", own, "><div><article>inner</article>", seen, title, reference, price, "</div></article>")
-    rows = payloads.html_cards(d.raw("part").select(n.alias("id"), card.alias("html")), "prestashop")
+    rows = payloads.html_cards(d.spread("part").select(n.alias("id"), card.alias("html")), "prestashop")
     return rows.select("id", "id_product", "name", "price", "stock_status", "url", "sku")
 
 
@@ -62,7 +62,7 @@ def opencart_cards(d: Domain) -> DataFrame:
     link = F.when(n % 3 == 0, _html("?product_id=", n, "&amp;x=1")).otherwise(_html("/item/", n))
     price = F.when(n % 2 == 0, _html("<p class=price>", F.col("p_size"), ",95 €</p>")).otherwise("<p class=price><s>9,00 €</s>8,00 €</p>")
     card = _html("<div class='col product-thumb'><div class=caption><h4><a href='", link, "'>", F.col("p_name"), "</a></h4><div><div>", words, "</div></div>", price, "</div></div><div class=product-thumb><h4></h4></div>")
-    rows = payloads.html_cards(d.raw("part").select(n.alias("id"), card.alias("html")), "opencart")
+    rows = payloads.html_cards(d.spread("part").select(n.alias("id"), card.alias("html")), "opencart")
     return rows.select("id", "id_product", "name", "price", "stock_status")
 
 

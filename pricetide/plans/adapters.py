@@ -20,6 +20,11 @@ class Domain:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table of few bytes with much work per row: its rows dealt evenly, however few splits its file has."""
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 3 * self.spark.sparkContext.defaultParallelism)
+        return self.raw(name).repartition(parts)
+
     @property
     def store(self) -> DataFrame:
         return self.raw("supplier").select(F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name"), F.concat(F.lit("https://shop"), F.col("s_suppkey"), F.lit(".example")).alias("website_url"), (F.col("s_acctbal") >= 0).alias("active"), F.col("s_nationkey").alias("nation_id"))

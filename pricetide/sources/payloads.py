@@ -183,7 +183,7 @@ def card_rows(df: DataFrame, platform: str, cards: str = "cards") -> DataFrame:
 
 def html_cards(df: DataFrame, platform: str, html: str = "html") -> DataFrame:
     """A row per product card of list pages, see ``card_rows``."""
-    return card_rows(df.select(*df.drop(html).columns, list_page(F.col(html), platform)["cards"].alias("cards")), platform)
+    return card_rows(df.select(*df.drop(html).columns, markup.read(F.col(html), {"cards": CARDS[platform]})["cards"].alias("cards")), platform)
 
 
 def next_page(html: Column) -> Column:

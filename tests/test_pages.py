@@ -141,3 +141,13 @@ def test_trails_equal_a_queue(spark, monkeypatch):
         want |= {(store, u, k) for k, u in enumerate(queue, 1)}
     got = crawl.trail(spark.createDataFrame(starts, "store_id int, url string, place int"), spark.createDataFrame([(s, u, to) for (s, u), to in links.items()] + [(3, "u1", None)], "store_id int, url string, to string"))
     assert {tuple(r) for r in got.collect()} == want and len(rounds) < 25
+
+
+def test_cards_read_each_page_once_on_many_tasks(spark):
+    from pricetide import page_queries  # noqa: F401 (adds its queries)
+    from pricetide.catalog_queries import QUERIES
+    from pricetide.plans.adapters import Domain
+
+    plan = QUERIES["woocommerce_cards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert Domain(spark, "/root/testdata/sf0.001").spread("part").rdd.getNumPartitions() >= 12
