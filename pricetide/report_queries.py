@@ -87,9 +87,9 @@ def daily_partitions(d: Domain) -> DataFrame:
     """A history in partitions (of a year here) of which the last is written again; the others stay."""
     path = _path(d, "days")
     history = d.price_history.select("store_id", "product_id", "scraped_date", F.year("scraped_date").alias("year"), F.col("price").cast("double").alias("price"))
-    sinks.write_days(history.repartition("year"), path, "year")
+    sinks.write_days(history.repartition("year", "store_id"), path, "year")  # a year is no single task
     raised = F.when(F.col("scraped_date") >= "1998-06-01", F.col("price") + 1).otherwise(F.col("price"))
-    sinks.write_days(history.filter("year >= 1998").withColumn("price", raised).coalesce(2), path, "year")
+    sinks.write_days(history.filter("year >= 1998").withColumn("price", raised).repartition("year", "store_id"), path, "year")
     sinks.append(history.limit(0), path)
     return d.spark.read.parquet(path).select("store_id", "product_id", "scraped_date", "price")
 

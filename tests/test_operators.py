@@ -201,3 +201,22 @@ def test_run_counts_of_one_moment_do_not_hang_on_order(spark):
     for order in (rows, rows[::-1], [rows[0], rows[2], rows[3], rows[1]]):
         got = runs.states(spark.createDataFrame(order, runs.LOG).coalesce(1)).first()
         assert (got.rows, got.dropped, got.stores_done) == (7, 3, 1)
+
+
+def test_a_year_is_written_by_several_tasks(spark, monkeypatch):
+    from pricetide import report_queries
+    from pricetide.catalog_queries import QUERIES
+
+    tasks, write = [], sinks.write_days
+
+    def spied(df, path, day):
+        tasks.append(df.filter("year = 1998").select(F.spark_partition_id()).distinct().count())
+        write(df, path, day)
+
+    monkeypatch.setattr(report_queries.sinks, "write_days", spied)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        QUERIES["daily_partitions"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert min(tasks) > 2
