@@ -66,7 +66,7 @@ def grid_urls(pages: DataFrame, base: str = "base", store: str = "store_id", pag
     """(store, url, page) of the products in numbered odoo grids: each absolute URL once, at its first page.
 
     It goes on while a page holds a new URL and points to a next one, for at most ``MAX_PAGES`` pages."""
-    parsed = _parsed(pages, "odoo", store, page, html)
+    parsed = _parsed(pages.filter(F.col(page) <= MAX_PAGES), "odoo", store, page, html)  # ``chain`` takes none beyond
     bases = pages.groupBy(store).agg(F.min(base).alias("_base"))
     links = parsed.select(store, page, F.explode("cards.link").alias("_link")).filter("_link is not null").join(bases, store)
     first = links.groupBy(store, absolute(F.col("_link"), F.col("_base")).alias("url")).agg(F.min(page).alias(page))

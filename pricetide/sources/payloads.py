@@ -213,7 +213,8 @@ def json_ld(df: DataFrame, html: str = "html", strict: bool = False) -> DataFram
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     entries = F.flatten(F.transform(scripts, lambda s: F.coalesce(_listed(s, _JSONLD), F.array().cast(f"array<{_JSONLD}>"))))
     kind = (lambda x: x["@type"] == "Product") if strict else (lambda x: F.lower(x["@type"]) == "product")
-    d = df.withColumn("_p", F.get(F.filter(entries, lambda x: F.coalesce(kind(x), F.lit(False))), 0)).filter("_p is not null")
+    # a generator, as a filter on a plain column would be put before it and read every page a second time
+    d = df.withColumn("_p", F.explode_outer(F.slice(F.filter(entries, lambda x: F.coalesce(kind(x), F.lit(False))), 1, 1))).filter("_p is not null")
     d = d.withColumn("_o", F.get(_listed(F.col("_p.offers"), _OFFER), 0))
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     if strict:

@@ -151,3 +151,27 @@ def test_cards_read_each_page_once_on_many_tasks(spark):
     plan = QUERIES["woocommerce_cards"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert Domain(spark, "/root/testdata/sf0.001").spread("part").rdd.getNumPartitions() >= 12
+
+
+def test_plain_pages_read_as_by_the_parser():
+    """What is read token by token is what the parser reads, whatever stands in a page; and list pages are."""
+    import random
+
+    class Parsed(markup.Page):
+        def _plain(self, html):
+            return False
+
+    seen = ("tags", "attributes", "classes", "parents", "previous", "end", "text_begin", "text_end", "texts")
+    bits = ["<div class='a b'>", "</div>", "text", "a &amp; b", "&lt", "<br/>", "<img src=a/>", "<img src='x' />", "<!-- c -->", "<!--->", "<A HREF=/p/1>", "</A>", "<script>", "</script>", "a<2", "<a href='?a&amp;b'>", "</p >", "<title>", "</title>", "<b a b=''>", "'", ">", "<a b=\xa0>", "<a b='1'c='2'>", "<svg/>"]
+    pick = random.Random(7)
+    for _ in range(5000):
+        html = "".join(pick.choice(bits) for _ in range(pick.randint(0, 9)))
+        assert [getattr(markup.Page(html), f) for f in seen] == [getattr(Parsed(html), f) for f in seen], html
+    assert markup.Page("")._plain("<ul class=pagination><li class='page active'><b>1</b></li> <li><a href='#'>2 &gt;</a></li></ul>")
+
+
+def test_json_ld_pages_are_read_once(spark):
+    """A filter on the product must not read every page a second time."""
+    rows = payloads.json_ld(spark.createDataFrame([(1, '<script type="application/ld+json">{"@type":"Product","name":"x"}</script>'), (2, None), (3, "<p>")], "id long, html string"))
+    assert [r["id"] for r in rows.collect()] == [1]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
