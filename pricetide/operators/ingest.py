@@ -6,6 +6,8 @@ the old one (``sources.sinks``); nothing is updated in place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +65,21 @@ def accepted(rows: DataFrame, key: list[str] = KEY) -> DataFrame:
     return rows.join(quarantined_stores(rows, key), key[0], "left_anti")
 
 
-def merge_snapshot(old: DataFrame, new: DataFrame, key: list[str], updated: list[str]) -> DataFrame:
+def merge_snapshot(old: DataFrame, new: DataFrame, key: list[str], updated: list[str], dealt: Callable[[DataFrame], DataFrame] | None = None, places: tuple[str, ...] = ()) -> DataFrame:
     """The snapshot after an upsert: ``updated`` columns come from the new row where there is one, all
     others stay; unseen keys are inserted.  Keys are compared null-safe.
 
     Old and new rows meet in one aggregation over the key, so each side is shuffled once and null
-    keys group by themselves."""
+    keys group by themselves.  ``dealt`` puts rows where they are to be written and adds ``places`` (functions of the key),
+    which the result keeps."""
     columns = old.columns
     fill = lambda df, flag: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in columns), F.lit(flag).alias("_new"))
     both = fill(old, 0).unionByName(fill(new, 1))
     rest = [c for c in columns if c not in key]
     row = F.struct(*rest)
-    merged = both.groupBy(*key).agg(F.max(F.when(F.col("_new") == 0, row)).alias("_o"), F.max(F.when(F.col("_new") == 1, row)).alias("_n"))
+    merged = (dealt(both) if dealt else both).groupBy(*places, *key).agg(F.max(F.when(F.col("_new") == 0, row)).alias("_o"), F.max(F.when(F.col("_new") == 1, row)).alias("_n"))
     pick = lambda c: F.when(F.col("_n").isNotNull() & (F.lit(c in updated) | F.col("_o").isNull()), F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}"))
-    return merged.select(*(F.col(c) if c in key else pick(c).alias(c) for c in columns))
+    return merged.select(*places, *(F.col(c) if c in key else pick(c).alias(c) for c in columns))
 
 
 def touch(old: DataFrame, seen: DataFrame, key: list[str], column: str, now) -> DataFrame:

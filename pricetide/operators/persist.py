@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.operators import ingest, stock
-from pricetide.sources.snapshots import Outdated, SnapshotTable
+from pricetide.sources.snapshots import BUCKET, SLICE, Outdated, SnapshotTable
 from pricetide.sources.storage import written
 
 LISTING_VALUES = ["store_sku", "raw_name", "raw_tags", "price", "stock_status", "last_etag", "last_modified", "last_checked_at"]
@@ -34,11 +34,13 @@ def _retried(table: SnapshotTable, touched: list[int], change: Callable[[DataFra
     raise Outdated(f"{TRIES} tries on {table.folder}")
 
 
-def upsert(table: SnapshotTable, new: DataFrame, updated: list[str], note: str | None = None) -> tuple[int, int]:
+def upsert(table: SnapshotTable, new: DataFrame, updated: list[str], note: str | None = None, at_rest: bool = False) -> tuple[int, int]:
     """Rows of new keys are inserted; of known keys the ``updated`` columns change.  Without any this appends what
-    is not there yet, so a repeated batch adds nothing.  One row per key.  (version before, version after)."""
-    new = written(new, "batch")
-    return _retried(table, table.touched(new), lambda old: ingest.merge_snapshot(old, new, table.key, updated), note)
+    is not there yet, so a repeated batch adds nothing.  One row per key.  (version before, version after).
+
+    ``at_rest``: the rows are read from files that stay as they are, so they are not written first."""
+    new = new if at_rest else written(new, "batch")
+    return _retried(table, table.touched(new), lambda old: ingest.merge_snapshot(old, new, table.key, updated, table.dealt, (BUCKET, SLICE)), note)
 
 
 def delete(table: SnapshotTable, keys: DataFrame, note: str | None = None) -> tuple[int, int]:
@@ -46,8 +48,12 @@ def delete(table: SnapshotTable, keys: DataFrame, note: str | None = None) -> tu
     keys = written(keys.select(*table.key).distinct(), "keys")
 
     def without(old: DataFrame) -> DataFrame:
-        o, k = old.alias("o"), keys.alias("k")
-        return o.join(k, [F.col(f"o.{c}").eqNullSafe(F.col(f"k.{c}")) for c in table.key], "left_anti")
+        rest = [f for f in old.schema if f.name not in table.key]
+        row = F.struct(F.lit(1).alias("_kept"), *(f.name for f in rest))
+        none = keys.select(*table.key, F.lit(None).cast(old.select(row.alias("_row")).schema[0].dataType).alias("_row"))
+        met = table.dealt(old.select(*table.key, row.alias("_row")).unionByName(none)).groupBy(BUCKET, SLICE, *table.key)
+        left = met.agg(F.max("_row").alias("_row"), F.count_if(F.col("_row").isNull()).alias("_gone")).filter("_gone = 0")
+        return left.select(BUCKET, *table.key, *(F.col("_row")[f.name].alias(f.name) for f in rest))
 
     return _retried(table, table.touched(keys), without, note)
 
@@ -83,7 +89,7 @@ def ingest_batch(tables: Tables, rows: DataFrame, batch: str, day, now) -> DataF
     after = tables.listing.version_of(batch)
     if after is None:
         taken = written(ingest.accepted(rows, key).withColumn("last_checked_at", F.lit(now)), "accepted")
-        before, after = upsert(tables.listing, taken, [c for c in LISTING_VALUES if c in taken.columns], batch)
+        before, after = upsert(tables.listing, taken, [c for c in LISTING_VALUES if c in taken.columns], batch, at_rest=True)
         if before == after:  # nothing came
             return tables.restock.read(buckets=[])
     # the one before, whoever wrote it: its buckets that changed are this batch's
@@ -91,7 +97,10 @@ def ingest_batch(tables: Tables, rows: DataFrame, batch: str, day, now) -> DataF
     buckets = [b for b, p in new.items() if old.get(b) != p]
     previous, current = tables.listing.read(after - 1, buckets), tables.listing.read(after, buckets)
     mine = current.filter(F.col("last_checked_at") == F.lit(now))
-    upsert(tables.history, mine.select(*key, F.lit(day).alias("scraped_date"), "price", "stock_status"), ["price", "stock_status"])
-    events = stock.restock_events(previous, mine, key).select(*key, "product_id", F.lit(batch).alias("batch"), F.lit(now).alias("detected_at"))
-    upsert(tables.restock, events, [])
+    # a step whose commit bears the batch's name is done
+    if tables.history.version_of(batch) is None:
+        upsert(tables.history, mine.select(*key, F.lit(day).alias("scraped_date"), "price", "stock_status"), ["price", "stock_status"], batch, at_rest=True)
+    if tables.restock.version_of(batch) is None:
+        events = stock.restock_events(previous, mine, key).select(*key, "product_id", F.lit(batch).alias("batch"), F.lit(now).alias("detected_at"))
+        upsert(tables.restock, events, [], batch)
     return tables.restock.read().filter(F.col("batch") == batch)
