@@ -12,7 +12,7 @@ from pricetide.catalog_queries import query
 from pricetide.operators import ingest, persist, stock
 from pricetide.plans.adapters import Domain
 from pricetide.sources.snapshots import SnapshotTable
-from pricetide.sources.storage import shared_folder
+from pricetide.sources.storage import shared_folder, written
 from pricetide.streaming import notify
 
 _KEY = "store_id long, store_url string, raw_variant string"
@@ -23,12 +23,14 @@ state as (select * from part_of qualify row_number() over (partition by store_id
 
 
 def _batches(d: Domain) -> DataFrame:
-    """The last state of each listing before 1997, in 1997 and after."""
+    """The last state of each listing before 1997, in 1997 and after, written once.  It is the last of all observations, so
+    that those of a day need not be told apart first."""
     day = F.col("scraped_date")
     batch = F.when(day < "1997-01-01", 0).when(day < "1998-01-01", 1).otherwise(2)
-    last = d.price_history.withColumn("batch", batch).groupBy("store_id", "product_id", "batch").agg(F.max_by(F.struct("price", "stock_status"), F.struct("scraped_date", "seq")).alias("s"))
+    last = d.observation.withColumn("batch", batch).groupBy("store_id", "product_id", "batch").agg(F.max_by(F.struct("price", "stock_status"), F.struct("scraped_date", "seq")).alias("s"))
     variant = F.when(F.col("product_id") % 2 == 0, "V")
-    return last.select("store_id", F.concat(F.lit("u/"), "product_id").alias("store_url"), variant.alias("raw_variant"), "batch", "product_id", F.col("s.price").cast("decimal(12,2)").alias("price"), "s.stock_status")
+    states = last.select("store_id", F.concat(F.lit("u/"), "product_id").alias("store_url"), variant.alias("raw_variant"), "batch", "product_id", F.col("s.price").cast("decimal(12,2)").alias("price"), "s.stock_status")
+    return written(states, "states")
 
 
 def _folder(d: Domain) -> str:
@@ -43,9 +45,9 @@ def versioned_table(d: Domain) -> DataFrame:
     available go again.  The result shows the last version beside the first."""
     states = _batches(d).withColumnRenamed("product_id", "id")
     table = SnapshotTable.create(d.spark, _folder(d), states.drop("batch").schema, ["store_id", "store_url", "raw_variant"], 16)
-    _, first = persist.upsert(table, states.filter("batch = 0").drop("batch"), [])
-    persist.upsert(table, states.filter("batch = 1").drop("batch"), ["price", "stock_status"])
-    _, before = persist.upsert(table, states.filter("batch = 2").drop("batch"), [])
+    _, first = persist.upsert(table, states.filter("batch = 0").drop("batch"), [], at_rest=True)
+    persist.upsert(table, states.filter("batch = 1").drop("batch"), ["price", "stock_status"], at_rest=True)
+    _, before = persist.upsert(table, states.filter("batch = 2").drop("batch"), [], at_rest=True)
     known = states.filter("batch < 2").select(*table.key)
     late = table.read(before).join(known.withColumn("k", F.coalesce("raw_variant", F.lit(""))).drop("raw_variant").distinct(), ["store_id", "store_url"], "left_anti")
     persist.delete(table, late.filter("stock_status <> 'disponible'"))
