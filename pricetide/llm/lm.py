@@ -12,10 +12,10 @@ class of any size is one without going through it.
 
 The passes over the corpus: (1) texts become codes of their block's own words, written packed, with
 the words' hashes and counts cut into ranges; (2) these ranges of all blocks meet for corpus counts, which
-go back to the blocks; (3) blocks send their distinct features with counts, packed, to parts of the feature table and
-get the corpus counts back; codes become counts, scores within classes and unit sequences, written
-again; (4) each task runs gradient steps
-over its training documents and the tasks' weights are averaged feature by feature; (5) scoring.
+go back to the blocks; (3) one context after the other, blocks send their distinct features with counts, packed, to parts
+of the feature table, whose corpus counts are written, so that no two contexts' features are on disk at once; (4) blocks get
+these counts back; codes become counts, scores within classes and unit sequences, written again; (5) each task runs gradient steps
+over its training documents and the tasks' weights are averaged feature by feature; (6) scoring.
 Only the list of the most frequent words, class totals and weights, all of fixed size, reach the driver.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import give_back, materialize, slices
+from pricetide.llm.common import FREED, give_back, materialize, slices
 
 TOP, TOP_CLASSES, ENDINGS, NGRAMS = 2048, 16, 16, 2048
 CLASSES = TOP_CLASSES + ENDINGS
@@ -51,8 +52,8 @@ _STEP = 8192
 PRIOR = (200.0, 10.0, 5.0)
 #: The feature table grows with the training tokens: hash values for each, and tokens of a part.
 KEYS_A_TOKEN, PART_TOKENS = 1 << 10, 1 << 21
-#: Tokens of a block whose features are in memory at once (and one document more).
-FEATURE_TOKENS = 1 << 22
+#: Tokens of a block whose features are in memory at once (and one document more), and tokens hashed at once.
+FEATURE_TOKENS, _HASHED = 1 << 22, 1 << 18
 
 
 def held_out(doc_id: int) -> bool:
@@ -235,17 +236,26 @@ def _key_bits(tokens: int) -> tuple[int, int]:
     return grown + KEYS_A_TOKEN.bit_length() - 1, max(0, grown + 1 - PART_TOKENS.bit_length())
 
 
-def _keys(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, classes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Hashes of the features of each token: (skip, word), (skip, class), and so for last word and both."""
-    end = np.uint64(xxhash.xxh3_64_intdigest(_END))
-    words, begins = hashes[codes], np.cumsum(lengths) - lengths
-    last, skip = np.roll(words, 1), np.roll(words, 2)
-    last[begins] = skip[begins] = end
-    skip[begins[lengths > 1] + 1] = end
-    cls = classes[codes].astype(np.uint64)
-    for context in (skip, last, _mixed(skip, last)):
-        for target in (words, cls):
-            yield _mixed(context, target) >> np.uint64(64 - bits)
+def _keys(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, classes: np.ndarray, bits: int, contexts: Iterable[int]) -> Iterator[np.ndarray]:
+    """Hashes of each token's features in the given contexts (skip word, last word, both): with the word, then with its class."""
+    hashes = np.append(hashes, np.uint64(xxhash.xxh3_64_intdigest(_END)))
+    begins = np.cumsum(lengths) - lengths
+    last, skip = np.roll(codes, 1), np.roll(codes, 2)
+    last[begins] = skip[begins] = len(hashes) - 1
+    skip[begins[lengths > 1] + 1] = len(hashes) - 1
+
+    def of(context: int, by_class: bool) -> np.ndarray:
+        out = np.empty(len(codes), np.uint64)
+        for a in range(0, len(codes), _HASHED):
+            at = slice(a, a + _HASHED)
+            target = classes[codes[at]].astype(np.uint64) if by_class else hashes[codes[at]]
+            history = _mixed(hashes[skip[at]], hashes[last[at]]) if context == 2 else hashes[(skip, last)[context][at]]
+            out[at] = _mixed(history, target) >> np.uint64(64 - bits)
+        return out
+
+    for context in contexts:
+        yield of(context, False)
+        yield of(context, True)
 
 
 def _cuts(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -272,24 +282,29 @@ class _Block:
         self.unit = t.units(self.hashes, np.frombuffer(b"".join(words["endings"]), np.uint8)[order])
         self.classes = t.class_of_unit[self.unit]
 
-    def keys(self, begin: int, end: int, bits: int) -> Iterator[np.ndarray]:
-        return _keys(self.codes[self.ends[begin] : self.ends[end]], self.lengths[begin:end], self.hashes, self.classes, bits)
+    def keys(self, begin: int, end: int, bits: int, contexts: Iterable[int] = range(len(PRIOR))) -> Iterator[np.ndarray]:
+        return _keys(self.codes[self.ends[begin] : self.ends[end]], self.lengths[begin:end], self.hashes, self.classes, bits, contexts)
 
 
-def _feature_counts(blocks: DataFrame, t: Tables) -> DataFrame:
-    """(block, cut, kind, part, n, totals): corpus counts of the distinct features of a block's slice, in order of their hashes."""
+def _feature_counts(blocks: DataFrame, t: Tables, context: int) -> DataFrame:
+    """(block, cut, kind, part, n, totals): corpus counts of the distinct features of a block's slice in one context,
+    in order of their hashes; kinds are numbered through all contexts."""
     bits, part_bits = _key_bits(t.total)
     low = np.uint64(bits - part_bits)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         of, out = _Block(pdf, t), []
         for cut, begin, end in _cuts(of.lengths):
-            flags = np.repeat(of.trained[begin:end], of.lengths[begin:end]).astype(np.uint64)
-            for kind, keys in enumerate(of.keys(begin, end, bits)):
-                keys = np.sort(keys << np.uint64(1) | flags)
-                first = np.flatnonzero(np.diff(keys >> np.uint64(1), prepend=np.uint64(2**63)))
-                counts = np.add.reduceat(keys & np.uint64(1), first)
-                keys = keys[first] >> np.uint64(1)
+            flags = np.repeat(of.trained[begin:end], of.lengths[begin:end])
+            for kind, keys in enumerate(of.keys(begin, end, bits, [context]), 2 * context):
+                keys <<= np.uint64(1)
+                keys |= flags
+                keys.sort()
+                counted = (keys & np.uint64(1)).astype(bool)
+                keys >>= np.uint64(1)
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                counts = np.add.reduceat(counted, first, dtype=np.uint32)
+                keys = keys[first]
                 for part, a, b in _pieces(keys >> low):
                     own = keys[a:b] & ((np.uint64(1) << low) - np.uint64(1))
                     out.append((of.number, cut, kind, part, b - a, _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[a:b])))
@@ -330,7 +345,7 @@ def _sequences(coded: DataFrame, counts: DataFrame, t: Tables) -> DataFrame:
             for kind, keys in enumerate(of.keys(begin, end, bits)):
                 own = places.get_group((cut, kind))
                 found = np.concatenate([_unpack(x, n) for x, n in zip(own["totals"], own["n"], strict=True)])
-                yield _spread(found, *_grouped(keys, bits)).astype(np.float64)
+                yield _spread(found, *_grouped(keys, bits))
 
         begins, codes, c = of.ends[:-1], of.codes, of.c.astype(np.float64)
         base = np.log10((c + 1) / (total + distinct + 1))
@@ -345,7 +360,8 @@ def _sequences(coded: DataFrame, counts: DataFrame, t: Tables) -> DataFrame:
     docs = coded.drop("counts")
     totals = counts.filter("kind = 0").select("block", "part", "n", "totals")
     blocks = docs.unionByName(totals, allowMissingColumns=True)
-    found = _feature_counts(blocks, t)
+    found = [materialize(_feature_counts(blocks, t, k), f"features{k}", FREED) for k in range(len(PRIOR))]
+    found = reduce(DataFrame.unionByName, found)
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(run, "_id long, held boolean, n_tokens long, n_known long, base double, within double, units binary")
 
 
@@ -417,9 +433,9 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = df.select(F.col(id_col).try_cast("long").alias("_id"), F.col(text_col).alias("_text"))
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     coded = materialize(_coded(docs, min(24, (int(size) // PART_BYTES).bit_length())), "coded")
-    counts = materialize(_counts(coded), "counts")
+    counts = materialize(_counts(coded), "counts", FREED)
     t = Tables(counts)
-    sequences = materialize(_sequences(coded, counts, t), "sequences")
+    sequences = materialize(_sequences(coded, counts, t), "sequences", FREED)
     w, unit_class, end_unit, total = fit(sequences, t), t.class_of_unit, t.end_unit, t.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

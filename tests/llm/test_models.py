@@ -1,6 +1,8 @@
 import math
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -105,6 +107,28 @@ def test_words_within_a_class_depend_on_history(spark):
         assert total < 1 and total == pytest.approx(1, abs=0.01)
 
 
+def test_features_of_a_context_leave_the_disk_before_the_next(spark, monkeypatch):
+    """Each context's features are shuffled alone, and shuffle files go once the table made of them is written."""
+    folders = [x.getPath() for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    write, left = lm.materialize, {}
+
+    def watched(df, name, *conf):
+        before = shuffled()
+        out = write(df, name, *conf)
+        for _ in range(100):  # files go in the background
+            left[name] = shuffled() - before
+            if not left[name]:
+                break
+            time.sleep(0.1)
+        return out
+
+    monkeypatch.setattr(lm, "materialize", watched)
+    rows = op9_lm(spark, "/root/testdata/sf0.001").count()
+    assert rows == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert {k: len(x) for k, x in left.items()} == dict.fromkeys(["coded", "counts", "features0", "features1", "features2", "sequences"], 0)
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(1)
     rows, grades = [], []
